@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_bytes, cut, mix64, pieces_of, prefix_hash, range_hash
+from .common import column_bytes, cut, discard, mix64, pieces_of, prefix_hash, range_hash
 
 GRAM = 40
 HOT = 2000
@@ -219,30 +219,37 @@ def _remove(length: int):
 
 
 class SuffixIndex:
-    """Levels of entries ``(key, ctx, places, recurs, doc_id, th, start, count)``; a batch is added once."""
+    """Levels of entries ``(key, ctx, places, recurs)``; each batch of runs is added once."""
 
     def __init__(self) -> None:
         self.levels: list[tuple[int, DataFrame]] = []
 
     def add(self, runs: DataFrame) -> None:
         """Aggregate a batch to a level of rank 0, then merge levels of equal rank."""
-        here = F.struct("doc_id", "th", "start", "count")
-        level = runs.groupBy("key", "ctx").agg(F.count("*").alias("places"), F.max("recurs").alias("recurs"), F.min(here).alias("at"))
-        rank = 0
+        level, rank = cut(runs.groupBy("key", "ctx").agg(F.count("*").alias("places"), F.max("recurs").alias("recurs")), "level0"), 0
         while self.levels and self.levels[-1][0] == rank:
-            level = self._merged([self.levels.pop()[1], level])
+            parts = [self.levels.pop()[1], level]
             rank += 1
-        self.levels.append((rank, cut(level, f"level{rank}")))
+            level = cut(self._merged(parts), f"level{rank}")
+            for x in parts:
+                discard(x)
+        self.levels.append((rank, level))
 
     @staticmethod
     def _merged(levels: list[DataFrame]) -> DataFrame:
         both = levels[0]
         for other in levels[1:]:
             both = both.unionByName(other)
-        return both.groupBy("key", "ctx").agg(F.sum("places").alias("places"), F.max("recurs").alias("recurs"), F.min("at").alias("at"))
+        return both.groupBy("key", "ctx").agg(F.sum("places").alias("places"), F.max("recurs").alias("recurs"))
 
     def entries(self) -> DataFrame:
-        return self._merged([x for _, x in self.levels]) if len(self.levels) > 1 else self.levels[0][1]
+        """All entries, as one level."""
+        if len(self.levels) > 1:
+            parts = [x for _, x in self.levels]
+            self.levels = [(self.levels[0][0] + 1, cut(self._merged(parts), "entries"))]
+            for x in parts:
+                discard(x)
+        return self.levels[0][1]
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, gram: int = GRAM, batches: int = 2, hot: int = HOT) -> DataFrame:
@@ -259,13 +266,19 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = GRAM, batches
     index = SuffixIndex()
     for k in range(batches):
         index.add(runs.where(F.pmod(F.xxhash64("doc_id", "th"), F.lit(batches)) == k) if batches > 1 else runs)
-    entries = cut(index.entries(), "entries")
+    entries = index.entries()
     single = F.sum((F.col("places") == 1).cast("long"))
     per_key = entries.groupBy("key").agg(F.count("*").alias("n"), single.alias("single"), F.max("recurs").alias("again"))
-    per_key = per_key.where("single > 0 and (n > 1 or again)")
-    whole = entries.where("places > 1").select("key", "ctx")
-    spans = cut(runs.join(whole, ["key", "ctx"], "left_semi").select("doc_id", "th", "start", "count"), "whole")
-    asked = entries.join(per_key, "key").select("key", "ctx", F.least("places", F.lit(2)).cast("int").alias("places"), "at.*", (F.col("n") > hot).alias("hot"))
+    per_key = per_key.where("single > 0 and (n > 1 or again)").select("key", (F.col("n") > hot).alias("hot"))
+    open_ = entries.join(per_key, "key", "left").where("places > 1 or hot is not null").select("key", "ctx", F.least("places", F.lit(2)).cast("int").alias("places"), "hot")
+    found = cut(runs.drop("recurs").join(open_, ["key", "ctx"]), "found")
+    discard(runs)
+    discard(entries)
+    spans = found.where("places > 1").select("doc_id", "th", "start", "count")
+    asked = found.where("hot is not null")
+    place = F.struct("doc_id", "th", "start", "count")
+    several = asked.where("places > 1").groupBy("key", "ctx", "places", "hot").agg(F.min(place).alias("at")).select("key", "ctx", "places", "at.*", "hot")
+    asked = several.unionByName(asked.where("places = 1"))
     asked = asked.groupBy("doc_id", "th").agg(F.collect_list(F.struct("key", "ctx", "start", "count", "places", "hot")).alias("asked"))
     one = src.select("doc_id", "th", "text").join(asked, ["doc_id", "th"])
     contexts = one.mapInArrow(_contexts(length), "doc_id long, th long, key long, ctx long, start int, places int, hot boolean, bytes binary")

@@ -159,7 +159,7 @@ def _survival(v: DataFrame) -> DataFrame:
 
 query("e8_survival", "dom v", f", {SURV} SELECT src, rank, dst, l_drop, r_drop FROM sv")(_survival)
 query("f10_survival_gate", "dom v q", f", {SURV} SELECT query_id, src, dst FROM q JOIN v x ON x.label BETWEEN ql AND qr JOIN sv ON sv.dst = x.pos WHERE rank < 4 OR NOT (coalesce(ql <= l_drop, false) OR coalesce(qr >= r_drop, false))")(lambda v: graph.survival_gate(_survival(v), v, fx.queries(v), 4))
-query("e9_conflicts_full", "dom", "SELECT src, dst, count(*) AS n, min("by") AS lowest, max("by") AS highest FROM dom GROUP BY src, dst")(lambda v: graph.dominators(fx.knn(v), v).groupBy("src", "dst").agg(F.count("*").alias("n"), F.min("by").alias("lowest"), F.max("by").alias("highest")))
+query("e9_conflicts_full", "dom", "SELECT src, dst, count(*) AS n, min(\"by\") AS lowest, max(\"by\") AS highest FROM dom GROUP BY src, dst")(lambda v: graph.dominators(fx.knn(v), v).groupBy("src", "dst").agg(F.count("*").alias("n"), F.min("by").alias("lowest"), F.max("by").alias("highest")))
 ROLE = "ro AS MATERIALIZED (SELECT src, rank, dst, CASE WHEN rank < 4 OR EXISTS (SELECT 1 FROM knn b WHERE b.src = a.dst AND b.dst = a.src AND b.rank < 4) THEN 'skeleton' WHEN gap > 0.3 THEN 'bridge' WHEN gap <= 0.1 THEN 'useful' ELSE 'reserve' END AS role, gap AS label_gap FROM (SELECT *, abs(src - dst) / CAST((SELECT count(*) FROM v) AS DOUBLE) AS gap FROM knn) a)"
 query("e12_roles", "knn", f", {ROLE} SELECT src, rank, dst, role, label_gap FROM ro")(lambda v: graph.roles(fx.knn(v), v.count(), 4))
 query("f12_role_gate", "knn", f", {ROLE} SELECT src, row_number() OVER (PARTITION BY src ORDER BY rank) - 1 AS rank, dst, role FROM (SELECT *, row_number() OVER (PARTITION BY src, role ORDER BY label_gap, rank) - 1 AS k FROM ro) WHERE k < CASE role WHEN 'skeleton' THEN 6 WHEN 'useful' THEN 4 ELSE 2 END")(lambda v: graph.role_gate(graph.roles(fx.knn(v), v.count(), 4), {"skeleton": 6, "useful": 4, "bridge": 2, "reserve": 2}))

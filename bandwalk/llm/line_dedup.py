@@ -2,8 +2,9 @@
 
 A line is the set of its lower-cased words.  Words are ordered by rarity: their number of
 occurrences over all documents, counted in a fixed number of buckets (so the table has a
-proven size), then by hash.  Two lines of similarity ``percent`` share a word within short
-prefixes of that order, at positions and sizes that leave room for the overlap needed.
+proven size), then by hash.  Two lines of similarity ``percent`` share two words (or all, if
+they need fewer) within short prefixes of that order, at positions and sizes that leave room
+for the overlap needed.
 What passes these filters is verified on the full sets.
 
 Copies never meet as pairs: lines with equal sets keep only their first in the index.  Each
@@ -15,12 +16,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
 
-BUCKETS = 16384
+BUCKETS = 1 << 15
+#: Words that two similar lines have to share within their prefixes, which are longer by one word less.
+SHARED = 2
 LINE = ("d", "th", "ln")
 
 
@@ -28,31 +31,34 @@ def _words(col) -> object:
     return F.array_remove(F.split(F.lower(col), r"\s+"), "")
 
 
-def rarity(src: DataFrame, buckets: int = BUCKETS) -> str:
-    """SQL array of one byte for each bucket: its words' occurrences on a logarithmic scale, 0 to 127."""
+def rarity(src: DataFrame, buckets: int = BUCKETS) -> Column:
+    """A literal with one byte for each bucket: its words' occurrences on a logarithmic scale, 0 to 127.
+
+    What reaches the driver is one count a bucket, whatever the size of the input.
+    """
     words = src.select(F.explode(F.split(F.lower("text"), r"\s+")).alias("w"))
     counts = dict(words.groupBy(F.pmod(F.xxhash64("w"), F.lit(buckets)).alias("b")).count().collect())
-    scale = [min(127, round(3 * math.log2(counts[b]))) if b in counts else 0 for b in range(buckets)]
-    return "cast(split('" + ",".join(map(str, scale)) + "', ',') AS array<tinyint>)"
+    scale = (min(127, round(3 * math.log2(counts[b]))) if b in counts else 0 for b in range(buckets))
+    return F.expr("cast(split('" + ",".join(map(str, scale)) + "', ',') AS array<tinyint>)")
 
 
-def token_codes(line: str, scale: str, buckets: int = BUCKETS) -> object:
+def token_codes(line: str, scale: Column, buckets: int = BUCKETS) -> Column:
     """Sorted distinct codes of a line's words, rarest first: rarity in the top byte, 56 bits of hash below."""
     hashes = F.transform(_words(F.col(line)), lambda w: F.xxhash64(w))
     return F.sort_array(F.array_distinct(F.transform(hashes, lambda h: _code(h, scale, buckets))))
 
 
-def _code(h, scale: str, buckets: int):
-    rare = F.get(F.expr(scale), F.pmod(h, F.lit(buckets)).cast("int")).cast("long")
+def _code(h: Column, scale: Column, buckets: int) -> Column:
+    rare = F.get(scale, F.pmod(h, F.lit(buckets)).cast("int")).cast("long")
     return F.shiftleft(rare, 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
 
 
 def line_matches(docs: DataFrame, percent: int = 90, min_words: int = 1) -> DataFrame:
     """Lines ``(d, th, ln)`` to remove: id, hash of the text, number of the line from 0."""
-    lines, scale, fits = _prepare(docs, percent, min_words)
+    lines, scale, fits, enough = _prepare(docs, percent, min_words)
     coded = lines.withColumn("t", token_codes("line", scale)).withColumn("n", F.size("t")).where(F.col("n") >= max(1, min_words))
     coded = coded.withColumn("sh", F.xxhash64("t"))
-    prefix = F.expr(f"slice(t, 1, n - ({percent} * n + 99) div 100 + 1)")
+    prefix = F.expr(f"slice(t, 1, n - ({percent} * n + 99) div 100 + {SHARED})")
     rows = coded.select(*LINE, "n", "sh", F.posexplode(prefix).alias("i", "tok")).repartition("tok")
     order = [F.col(c) for c in LINE]
     copy = Window.partitionBy("tok", "sh", "n").orderBy(*order)
@@ -63,25 +69,31 @@ def line_matches(docs: DataFrame, percent: int = 90, min_words: int = 1) -> Data
     post = cut(kept.where("(nth > 1 and i = 0) or (nth = 1 and c > 1)").select(*LINE, "n", "i", "tok", "nth", "lead"), "post")
     gone = post.where("nth > 1").select(*LINE)
     first = post.where("nth = 1").drop("nth")
-    star = first.where("struct(d, th, ln) <> struct(lead.d, lead.th, lead.ln)").selectExpr(*LINE, "n", "i", "lead.d AS d2", "lead.th AS th2", "lead.ln AS ln2", "lead.n AS n2", "lead.i AS i2")
-    done = _verified(cut(star.where(fits).select(*LINE, "d2", "th2", "ln2").distinct(), "star"), lines, scale, percent)
-    open_ = first.join(done, list(LINE), "left_anti").select(*LINE, "n", "i", "tok", "lead")
+    star = first.where("struct(d, th, ln) <> struct(lead.d, lead.th, lead.ln)").selectExpr(*LINE, "n", "i", "lead.d AS d2", "lead.th AS th2", "lead.ln AS ln2", "lead.n AS n2", "lead.i AS i2", "tok")
+    done = _verified(cut(_sharing(star.where(fits), enough), "star"), lines, scale, percent)
+    open_ = first.join(done, list(LINE), "left_anti").select(*LINE, "n", "i", "tok")
     other = first.selectExpr("d AS d2", "th AS th2", "ln AS ln2", "n AS n2", "i AS i2", "tok")
-    rest = open_.join(other, "tok").where("struct(d2, th2, ln2) < struct(d, th, ln) and struct(d2, th2, ln2) <> struct(lead.d, lead.th, lead.ln)").where(fits)
-    rest = cut(rest.select(*LINE, "d2", "th2", "ln2").distinct(), "rest")
+    rest = open_.join(other, "tok").where("struct(d2, th2, ln2) < struct(d, th, ln)").where(fits)
+    rest = cut(_sharing(rest, enough), "rest")
     out = gone.unionByName(done)
     if not rest.isEmpty():
         out = out.unionByName(_verified(rest, lines, scale, percent))
     return out.distinct()
 
 
+def _sharing(pairs: DataFrame, enough: str) -> DataFrame:
+    """Pairs of lines that share as many prefix words as similar ones must."""
+    count = pairs.groupBy(*LINE, "d2", "th2", "ln2").agg(F.size(F.collect_set("tok")).alias("c"), F.expr(f"{enough} AS wanted"))
+    return count.where("c >= wanted").select(*LINE, "d2", "th2", "ln2")
+
+
 def _prepare(docs: DataFrame, percent: int, min_words: int):
     src = _source(docs)
     scale = rarity(src)
     lines = src.where("text <> ''").select("d", "th", F.posexplode(F.split("text", "\n")).alias("ln", "line"))
     need = f"(({percent} * (n + n2) + {99 + percent}) div {100 + percent})"
-    fits = f"least(n, n2) * 100 >= {percent} * greatest(n, n2) and 1 + least(n - i - 1, n2 - i2 - 1) >= {need}"
-    return lines, scale, fits
+    fits = f"least(n, n2) * 100 >= {percent} * greatest(n, n2) and {SHARED} + least(n - i - 1, n2 - i2 - 1) >= {need}"
+    return lines, scale, fits, f"least({SHARED}, max({need}))"
 
 
 def _source(docs: DataFrame) -> DataFrame:

@@ -6,7 +6,9 @@ give candidates; links are confirmed on the full shingle sets.
 
 Groups of copies never meet as all pairs.  Equal sets are one class.  Each bucket first
 compares its members with its smallest class only; what that joins is contracted to
-components, and a bucket then compares only members of different components.
+components.  Two more rounds compare each member with a few pivots drawn by hash from other
+components of its bucket.  At last a bucket compares all members of components that still
+differ, so no candidate pair is left out unless both are in one component already.
 """
 
 from __future__ import annotations
@@ -19,7 +21,8 @@ from .common import column_bytes, components, cut, mix64, shingle_sets
 
 PERMUTATIONS = 64
 BAND = 4
-STAR_ROUNDS = 2
+STAR_ROUNDS = 3
+PIVOTS = 6
 
 
 def _signer(width: int, permutations: int, band: int):
@@ -139,10 +142,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, permutat
                 lead = rows.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("lead"))
                 pairs = rows.join(lead, "band").where("rep <> lead.rep").select(F.col("lead.rep").alias("a"), F.col("rep").alias("b"), "n", F.col("lead.n").alias("m"))
             else:
-                first = at.groupBy("band").agg(F.min(F.struct("rep", "component")).alias("first"))
-                rest = at.join(first, "band").where("component <> first.component").select("band", "rep", "n", "component")
-                lead = rest.groupBy("band").agg(F.min(F.struct("rep", "n", "component")).alias("lead"))
-                pairs = at.join(lead, "band").where("component <> lead.component").select(F.col("lead.rep").alias("a"), F.col("rep").alias("b"), "n", F.col("lead.n").alias("m"))
+                pivot = [F.min(F.struct(F.xxhash64("rep", F.lit(PIVOTS * turn + k)).alias("h"), "rep", "n", "component")) for k in range(PIVOTS)]
+                leads = at.groupBy("band").agg(F.array(*pivot).alias("leads"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+                pairs = at.join(leads, "band").select("rep", "n", F.explode(F.expr("filter(leads, l -> l.component <> component)")).alias("lead"))
+                pairs = pairs.select(F.col("lead.rep").alias("a"), F.col("rep").alias("b"), "n", F.col("lead.n").alias("m"))
         else:
             mixed = at.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
             left = at.join(mixed, "band", "left_semi")

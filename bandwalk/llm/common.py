@@ -125,7 +125,7 @@ def column_bytes(col) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces_of(table, size: int = 2 << 20):
+def pieces_of(table, size: int = 1 << 20):
     """Runs [i, j) of rows of about ``size`` bytes by the offsets given; a longer row stands alone."""
     i, n = 0, len(table) - 1
     while i < n:

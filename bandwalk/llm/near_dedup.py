@@ -22,7 +22,14 @@ from .common import column_bytes, components, cut, mix64, shingle_sets
 PERMUTATIONS = 64
 BAND = 4
 STAR_ROUNDS = 3
-PIVOTS = 6
+PIVOTS = 4
+
+
+def _slices(batches, rows: int = 1000):
+    """Parts of the batches: what a worker holds at once is bounded by them."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
 
 
 def _signer(width: int, permutations: int, band: int):
@@ -31,7 +38,7 @@ def _signer(width: int, permutations: int, band: int):
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in _slices(batches):
             values, at = shingle_sets(*column_bytes(b.column("text")), width)
             n = len(at) - 1
             size = np.diff(at)
@@ -73,7 +80,7 @@ def _sets(width: int):
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in _slices(batches):
             values, at = shingle_sets(*column_bytes(b.column("text")), width)
             raw = pa.py_buffer(np.ascontiguousarray(values).tobytes())
             offsets = pa.py_buffer((at * 8).astype(np.int32).tobytes())

@@ -6,9 +6,12 @@ give candidates; links are confirmed on the full shingle sets.
 
 Groups of copies never meet as all pairs.  Equal sets are one class.  Each bucket first
 compares its members with its smallest class only; what that joins is contracted to
-components.  Two more rounds compare each member with a few pivots drawn by hash from other
-components of its bucket.  At last a bucket compares all members of components that still
-differ, so no candidate pair is left out unless both are in one component already.
+components.  Another round compares each member with a few pivots drawn by hash from other
+components of its bucket.  At last a bucket of few members compares those of components that
+still differ as pairs.  Members of larger buckets are joined by an exact prefix filter: sets
+in order of rarity that reach the similarity share a shingle early enough, at positions that
+leave room for the overlap needed.  So no candidate pair is left out unless both are in one
+component already, and documents that only share a bucket do not meet.
 """
 
 from __future__ import annotations
@@ -21,8 +24,12 @@ from .common import column_bytes, components, cut, mix64, shingle_sets
 
 PERMUTATIONS = 64
 BAND = 4
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 PIVOTS = 4
+#: Members of a bucket up to which the last comparison takes its pairs as they are.
+SMALL = 16
+#: A class of equal sets is spread over tasks if it holds more than one in so many documents.
+HOT_SHARE = 1000
 
 
 def _slices(batches, rows: int = 1000):
@@ -89,6 +96,41 @@ def _sets(width: int):
     return run
 
 
+def _members(batches):
+    """One row for each shingle of a set."""
+    import pyarrow as pa
+
+    for b in batches:
+        for c in (b.slice(i, 500) for i in range(0, b.num_rows, 500)):
+            data, at = column_bytes(c.column("set"))
+            row = pa.array(np.repeat(np.arange(c.num_rows), np.diff(at) // 8))
+            yield pa.RecordBatch.from_arrays([c.column("rep").take(row), pa.array(np.frombuffer(data.tobytes(), np.int64))], names=["rep", "tok"])
+
+
+def prefix_pairs(sets: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` of different components that may reach ``percent``, by rarest shingles.
+
+    ``sets(rep, n, set)``, ``comp(rep, component)``.  Every pair that reaches it is among them.
+    """
+    toks = cut(sets.mapInArrow(_members, "rep long, tok long"), "toks")
+    shared = toks.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1")
+    common = toks.join(shared, "tok").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("t"))
+    # Shingles of one set only come first in the order and join with nothing.
+    known = common.join(sets.select("rep", "n"), "rep").withColumn("lone", F.col("n") - F.size("t"))
+    reach = f"cast(n - ({percent} * n + 99) div 100 + 1 - lone AS int)"
+    known = known.join(comp, "rep").where(f"{reach} > 0")
+    post = cut(known.select("rep", "n", "component", "lone", F.expr(f"posexplode(transform(slice(t, 1, {reach}), x -> x.tok)) AS (p, tok)")).selectExpr("rep", "n", "component", "lone + p AS i", "tok"), "prefixes")
+    sizes = post.groupBy("tok", "component").agg(F.count("*").alias("c"))
+    most = sizes.groupBy("tok").agg(F.max_by("component", F.struct("c", "component")).alias("most"), F.count("*").alias("k")).where("k > 1").select("tok", "most")
+    right = post.join(most, "tok")
+    left = right.where("component <> most")  # a pair of two components has an end outside the largest
+    right = right.selectExpr("tok", "rep AS b", "n AS m", "component AS other", "i AS j", "most AS same")
+    need = f"({percent} * (n + m) + {99 + percent}) div {100 + percent}"
+    room = f"least(n, m) * 100 >= {percent} * greatest(n, m) and 1 + least(n - i - 1, m - j - 1) >= {need}"
+    pairs = left.join(right, "tok").where("component <> other and (other = same or rep < b)").where(room)
+    return pairs.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
+
+
 def _confirm(percent: int):
     def run(batches):
         import pyarrow as pa
@@ -125,8 +167,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, permutat
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     sig = cut(src.mapInArrow(_signer(width, permutations, band), "doc_id long, n_shingles long, fp long, fp2 long, bands array<long>"), "sig")
     full = sig.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("fp", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    member = cut(full.select("doc_id", "fp", "fp2", "n_shingles").join(classes, ["fp", "fp2", "n_shingles"]).select("doc_id", "rep", "n_shingles"), "member")
+    same = ["fp", "fp2", "n_shingles"]
+    classes = cut(full.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")), "classes")
+    hot = classes.where(F.col("c") > max(1, sig.count() // HOT_SHARE))  # at most HOT_SHARE rows
+    keyed, hot = full.select("doc_id", *same), F.broadcast(hot.drop("c"))
+    member = keyed.join(hot, same).unionByName(keyed.join(hot, same, "left_anti").join(classes.drop("c"), same))
+    member = cut(member.select("doc_id", "rep", "n_shingles"), "member")
     reps = member.where("doc_id = rep").select("doc_id").distinct()
     rows = full.join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("bands").alias("band")).distinct()
     crowd = rows.groupBy("band").agg(F.count("*").alias("c")).where("c > 1").select("band")
@@ -154,10 +200,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, permutat
                 pairs = at.join(leads, "band").select("rep", "n", F.explode(F.expr("filter(leads, l -> l.component <> component)")).alias("lead"))
                 pairs = pairs.select(F.col("lead.rep").alias("a"), F.col("rep").alias("b"), "n", F.col("lead.n").alias("m"))
         else:
-            mixed = at.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
-            left = at.join(mixed, "band", "left_semi")
+            mixed = at.groupBy("band").agg(F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band", "c")
+            left = at.join(mixed, "band")
+            large = cut(left.where(F.col("c") > SMALL).select("rep", "n", "component").distinct(), "large")
+            left = left.where(F.col("c") <= SMALL)
             right = left.select("band", F.col("rep").alias("a"), F.col("n").alias("m"), F.col("component").alias("other"))
             pairs = left.join(right, "band").where("a < rep and component <> other").where(fits).select("a", F.col("rep").alias("b"), "n", "m")
+            far = prefix_pairs(sets.join(large.select("rep", "n"), "rep"), large.select("rep", "component"), percent)
+            pairs = pairs.unionByName(far.withColumn("n", F.lit(1)).withColumn("m", F.lit(1)))
         pairs = pairs.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")

@@ -53,6 +53,34 @@ def test_near_duplicates_in_a_crowd(spark):
     assert {r[0]: tuple(r)[1:] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
 
 
+def test_near_duplicates_in_a_crowd_that_stays_apart(spark, monkeypatch):
+    rng, rows = np.random.default_rng(5), []
+    for i in range(160):
+        words = [f"t{k}" for k in range(120)]
+        for k in rng.choice(120, i % 12, replace=False):
+            words[k] = f"new{i}_{k}" if i % 3 else f"new{k}"
+        rows.append((i, " ".join(words[: 120 - i % 5])))
+    want = plain.near_duplicates(rows)
+    assert len({c for _, c, _ in want.values()}) > 40
+    monkeypatch.setattr(near_dedup, "SMALL", 2)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for rounds in (2, 1):
+        monkeypatch.setattr(near_dedup, "STAR_ROUNDS", rounds)
+        assert {r[0]: tuple(r)[1:] for r in near_dedup.near_duplicates(df).collect()} == want
+
+
+def test_prefix_pairs_hold_every_similar_pair(spark):
+    rng, rows = np.random.default_rng(8), []
+    for i in range(60):
+        x = np.unique(np.concatenate([rng.choice(40, rng.integers(20, 41), replace=False), 1000 * i + np.arange(rng.integers(0, 9))])).astype(np.int64)
+        rows.append((i, len(x), bytearray(x.tobytes()), i % 7))
+    df = spark.createDataFrame(rows, "rep long, n long, set binary, component long")
+    got = {tuple(r) for r in near_dedup.prefix_pairs(df.drop("component"), df.select("rep", "component"), 75).collect()}
+    sets = [set(np.frombuffer(bytes(r[2]), np.int64).tolist()) for r in rows]
+    want = {(a, b) for b in range(60) for a in range(b) if a % 7 != b % 7 and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert want and want <= got and all(a < b and a % 7 != b % 7 for a, b in got)
+
+
 def test_minmax_estimates_jaccard():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**63, 900).astype(np.uint64)

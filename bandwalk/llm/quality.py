@@ -19,6 +19,11 @@ FEATURES = ("upper", "bang", "bar", "symbol", "digit", "repeat", "distinct", "le
 TRAINING_ROWS = 20_000
 
 
+def distinct_share(w: np.ndarray, window: int = 400) -> float:
+    """Distinct words over words, each counted within its window of the text, so that length does not lower it."""
+    return sum(len(np.unique(w[i : i + window])) for i in range(0, len(w), window)) / max(1, len(w))
+
+
 def document_features(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """One row of FEATURES for each text."""
     out = np.zeros((len(at) - 1, len(FEATURES)))
@@ -48,7 +53,6 @@ def document_features(data: np.ndarray, at: np.ndarray) -> np.ndarray:
             count = {f: float(v[hi] - v[lo]) for f, v in total.items()}
             w = range_hash(h, s, e)
             repeat = float((w[1:] == w[:-1]).mean()) if n > 1 else 0.0
-            sample = w[:400]
             out[k] = (
                 count["upper"] / max(1.0, count["upper"] + count["lower"]),
                 count["bang"] / max(1, n),
@@ -56,7 +60,7 @@ def document_features(data: np.ndarray, at: np.ndarray) -> np.ndarray:
                 count["symbol"] / max(1, n),
                 count["digit"] / (hi - lo),
                 repeat,
-                len(np.unique(sample)) / max(1, len(sample)),
+                distinct_share(w),
                 np.log1p(n),
                 float((e - s > 25).mean()) if n else 0.0,
                 count["newline"] / max(1, n),

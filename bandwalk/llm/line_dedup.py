@@ -32,14 +32,14 @@ def _words(col) -> object:
 
 
 def rarity(src: DataFrame, buckets: int = BUCKETS) -> Column:
-    """A literal with one byte for each bucket: its words' occurrences on a logarithmic scale, 0 to 127.
+    """A literal with one entry for each bucket: its words' occurrences on a logarithmic scale, 0 to 127, as a code's top byte.
 
     What reaches the driver is one count a bucket, whatever the size of the input.
     """
     words = src.select(F.explode(F.split(F.lower("text"), r"\s+")).alias("w"))
     counts = dict(words.groupBy(F.pmod(F.xxhash64("w"), F.lit(buckets)).alias("b")).count().collect())
-    scale = (min(127, round(3 * math.log2(counts[b]))) if b in counts else 0 for b in range(buckets))
-    return F.expr("cast(split('" + ",".join(map(str, scale)) + "', ',') AS array<tinyint>)")
+    scale = (min(127, round(3 * math.log2(counts[b]))) << 56 if b in counts else 0 for b in range(buckets))
+    return F.expr("cast(split('" + ",".join(map(str, scale)) + "', ',') AS array<bigint>)")
 
 
 def token_codes(line: str, scale: Column, buckets: int = BUCKETS) -> Column:
@@ -49,31 +49,37 @@ def token_codes(line: str, scale: Column, buckets: int = BUCKETS) -> Column:
 
 
 def _code(h: Column, scale: Column, buckets: int) -> Column:
-    rare = F.get(scale, F.pmod(h, F.lit(buckets)).cast("int")).cast("long")
-    return F.shiftleft(rare, 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
+    rare = F.get(scale, F.pmod(h, F.lit(buckets)).cast("int"))
+    return rare.bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
 
 
 def line_matches(docs: DataFrame, percent: int = 90, min_words: int = 1) -> DataFrame:
     """Lines ``(d, th, ln)`` to remove: id, hash of the text, number of the line from 0."""
     lines, scale, fits, enough = _prepare(docs, percent, min_words)
-    coded = lines.withColumn("t", token_codes("line", scale)).withColumn("n", F.size("t")).where(F.col("n") >= max(1, min_words))
+    # A filter on the size of the codes would move below their projection and compute them twice.
+    coded = lines.where(F.col("line").rlike(r"\S")).withColumn("t", token_codes("line", scale)).withColumn("n", F.size("t"))
+    if min_words > 1:
+        coded = coded.where(F.col("n") >= min_words)
     coded = coded.withColumn("sh", F.xxhash64("t"))
     prefix = F.expr(f"slice(t, 1, n - ({percent} * n + 99) div 100 + {SHARED})")
-    rows = coded.select(*LINE, "n", "sh", F.posexplode(prefix).alias("i", "tok")).repartition("tok")
+    # Similar lines stand in the same size class or in neighbouring ones.
+    size_class = F.floor(F.log("n") / math.log(100 / percent) + 1e-9).cast("int") if percent < 100 else F.col("n")
+    rows = coded.select(*LINE, "n", size_class.alias("k"), "sh", F.posexplode(prefix).alias("i", "tok")).repartition("tok")
     order = [F.col(c) for c in LINE]
-    copy = Window.partitionBy("tok", "sh", "n").orderBy(*order)
+    copy = Window.partitionBy("tok", "k", "sh", "n").orderBy(*order)
     rows = rows.withColumn("nth", F.rank().over(copy))
-    posting = Window.partitionBy("tok")
+    beside = Window.partitionBy("tok").orderBy("k", "sh", "n", *order)
+    rows = rows.withColumn("k1", F.lag("k").over(beside)).withColumn("k2", F.lead("k").over(beside))
     me = F.struct(*LINE, "n", "i")
-    kept = rows.withColumn("lead", F.min(F.when(F.col("nth") == 1, me)).over(posting)).withColumn("c", F.sum((F.col("nth") == 1).cast("int")).over(posting))
-    post = cut(kept.where("(nth > 1 and i = 0) or (nth = 1 and c > 1)").select(*LINE, "n", "i", "tok", "nth", "lead"), "post")
+    kept = rows.withColumn("lead", F.min(F.when(F.col("nth") == 1, me)).over(Window.partitionBy("tok")))
+    post = cut(kept.where("(nth > 1 and i = 0) or (nth = 1 and (k1 >= k - 1 or k2 <= k + 1))").select(*LINE, "n", "k", "i", "tok", "nth", "lead"), "post")
     gone = post.where("nth > 1").select(*LINE)
     first = post.where("nth = 1").drop("nth")
     star = first.where("struct(d, th, ln) <> struct(lead.d, lead.th, lead.ln)").selectExpr(*LINE, "n", "i", "lead.d AS d2", "lead.th AS th2", "lead.ln AS ln2", "lead.n AS n2", "lead.i AS i2", "tok")
     done = _verified(cut(_sharing(star.where(fits), enough), "star"), lines, scale, percent)
-    open_ = first.join(done, list(LINE), "left_anti").select(*LINE, "n", "i", "tok")
-    other = first.selectExpr("d AS d2", "th AS th2", "ln AS ln2", "n AS n2", "i AS i2", "tok")
-    rest = open_.join(other, "tok").where("struct(d2, th2, ln2) < struct(d, th, ln)").where(fits)
+    open_ = first.join(done, list(LINE), "left_anti").select(*LINE, "n", "i", "tok", F.explode(F.expr("sequence(k - 1, k + 1)")).alias("k"))
+    other = first.selectExpr("d AS d2", "th AS th2", "ln AS ln2", "n AS n2", "k", "i AS i2", "tok")
+    rest = open_.join(other, ["tok", "k"]).where("struct(d2, th2, ln2) < struct(d, th, ln)").where(fits)
     rest = cut(_sharing(rest, enough), "rest")
     out = gone.unionByName(done)
     if not rest.isEmpty():

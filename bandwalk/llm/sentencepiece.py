@@ -1,21 +1,33 @@
-"""SentencePiece encoding and decoding as relations.
+"""SentencePiece encoding and decoding by a lattice of each word.
 
 A text is cut into words (a run of word marks and what follows it; no piece of the model
-may cross such a border).  Distinct words are encoded once: substrings up to the longest
-piece are exploded, joined by equality to the piece table, and grouped by word; a
-higher-order aggregate then folds the edges.  For unigram models the fold is Viterbi over
-the lattice.  A BPE model's segmentation is not the best path of any sum of scores, so for
-those the fold merges the best-scored neighbouring pair, leftmost first, until none is
-left.  Characters without a piece become byte pieces.
+may cross such a border).  A word's substrings up to the longest piece are looked up in the
+piece table; those found are the edges of its lattice, and a fold takes the pieces from
+them.  For unigram models the fold is Viterbi.  A BPE model's segmentation is not the best
+path of any sum of scores, so for those the fold merges the best-scored neighbouring pair,
+leftmost first, until none is left.  Characters without a piece become byte pieces.
+
+``encode_words`` does this as relations: substrings exploded, joined by equality to the
+piece table, grouped by word, folded by a higher-order aggregate.  To bring its result back
+to the texts every occurrence of a word has to be shuffled, so ``encode`` builds the same
+lattice inside each Arrow batch, for words not met lately by the process: nothing is
+shuffled, and memory is bounded by the batch, the longest word and ``KEPT`` words.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
+import re
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MARK = "▁"
 LONG = 200
+#: Words whose ids a Python process keeps at most.
+KEPT = 1 << 19
 
 
 def piece_table(spark: SparkSession, model: str) -> DataFrame:
@@ -35,14 +47,6 @@ def _pieces(model: str):
     return plain, (first if sp.is_byte(first) else None), sp.unk_id()
 
 
-def _marked(text) -> object:
-    return F.concat(F.lit(MARK), F.replace(text, F.lit(" "), F.lit(MARK)))
-
-
-def _words(text) -> object:
-    return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(_marked(text), f"(?<=[^{MARK}])(?={MARK})"))
-
-
 def _best_merge(edges: str = "edges") -> str:
     """One step of the BPE fold over ``st``, an array of pieces."""
     pairs = f"transform(sequence(1, size(st) - 1), i -> struct(coalesce({edges}[concat(st[i - 1], st[i])].score, double('-Infinity')) AS score, -i AS at))"
@@ -79,8 +83,7 @@ def encode_words(words: DataFrame, model: str, kind: str = "bpe") -> DataFrame:
     fold = f"aggregate(sequence(1, n), chars, (st, i) -> {_best_merge()})"
     ids = f"flatten(transform({fold}, p -> if(map_contains_key(edges, p), array(edges[p].id), {_byte_ids('p', byte0, unk)})))"
     short = full.where(F.col("n") <= LONG).selectExpr("word", f"{ids} AS ids")
-    table = {p: (i, s) for p, i, s in plain}
-    far = full.where(F.col("n") > LONG).select("word").mapInArrow(_merge_long(table, byte0, unk), "word string, ids array<int>")
+    far = full.where(F.col("n") > LONG).select("word").mapInArrow(_long_words(Lattice(model)), "word string, ids array<int>")
     return short.unionByName(far)
 
 
@@ -91,81 +94,153 @@ def _byte_ids(piece: str, byte0: int | None, unk: int) -> str:
     return f"transform(sequence(1, length({hexed}) div 2), k -> {byte0} + cast(conv(substring({hexed}, 2 * k - 1, 2), 16, 10) AS int))"
 
 
-def _merge_long(table: dict, byte0: int | None, unk: int):
-    """The same fold with a heap, for words whose length would make the plain fold quadratic."""
+def _long_words(lattice: Lattice):
+    """Words whose length would make the fold over arrays quadratic."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            words = b.column("word")
+            ids = [np.frombuffer(lattice.encode_word(w), "<i4") for w in words.to_pylist()]
+            yield pa.RecordBatch.from_arrays([words, pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
 
-    def merge(word: str) -> list[int]:
-        import heapq
+    return run
 
-        part, after, before = list(word), list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))
+
+class Lattice:
+    """The piece table of a model and the folds over a word's edges."""
+
+    def __init__(self, model: str, kind: str = "bpe") -> None:
+        plain, self.byte0, self.unk = _pieces(model)
+        self.kind = kind
+        self.table = {p: (i, s) for p, i, s in plain}
+        self.longest = max(map(len, self.table))
+        self.reach: dict[str, int] = {}  # by the first two characters: the longest piece that starts with them
+        for p in self.table:
+            self.reach[p[:2]] = max(self.reach.get(p[:2], 1), len(p))
+        self.lost = min(s for _, s in self.table.values()) - 10.0
+
+    def edges(self, word: str) -> dict[tuple[int, int], tuple[int, float]]:
+        """``(start, end) -> (id, score)`` of the substrings that are pieces."""
+        find, reach, n = self.table.get, self.reach.get, len(word)
+        return {(s, e): hit for s in range(n) for e in range(s + 1, min(n, s + reach(word[s : s + 2], 1)) + 1) if (hit := find(word[s:e]))}
+
+    def encode_word(self, word: str) -> bytes:
+        """The word's ids as little-endian 32-bit integers."""
+        edges = self.edges(word)
+        out: list[int] = []
+        for span in (self._merge if self.kind == "bpe" else self._viterbi)(len(word), edges):
+            if hit := edges.get(span):
+                out.append(hit[0])
+            elif self.byte0 is None:
+                out.append(self.unk)
+            else:
+                out += [self.byte0 + b for b in word[slice(*span)].encode()]
+        return np.array(out, "<i4").tobytes()
+
+    def _merge(self, n: int, edges: dict) -> list[tuple[int, int]]:
+        """Spans left when the best edge over two neighbours, leftmost first, is merged again and again."""
+        end, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap: list = []
 
         def offer(i: int) -> None:
-            j = after[i] if i >= 0 else len(part)
-            if j < len(part) and (e := table.get(part[i] + part[j])):
-                heapq.heappush(heap, (-e[1], i, part[i], part[j]))
+            if i >= 0 and end[i] < n and (hit := edges.get((i, end[end[i]]))):
+                heapq.heappush(heap, (-hit[1], i, end[i], end[end[i]]))
 
-        for i in range(len(part)):
+        for i in range(n):
             offer(i)
         while heap:
-            _, i, x, y = heapq.heappop(heap)
-            j = after[i]
-            if part[i] != x or j >= len(part) or part[j] != y:
-                continue
-            part[i], part[j], after[i] = x + y, None, after[j]
-            if after[i] < len(part):
-                before[after[i]] = i
+            _, i, j, e = heapq.heappop(heap)
+            if end[i] != j or end[j] != e:
+                continue  # one of the two is part of another piece by now
+            end[i], end[j] = e, 0
+            if e < n:
+                before[e] = i
             offer(i)
             offer(before[i])
-        out = []
-        for p in part:
-            if p is not None:
-                out += [table[p][0]] if p in table else [unk] if byte0 is None else [byte0 + b for b in p.encode()]
-        return out
-
-    def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array([merge(w) for w in b.column("word").to_pylist()], pa.list_(pa.int32()))], names=["word", "ids"])
-
-    return run
+        spans, i = [], 0
+        while i < n:
+            spans.append((i, end[i]))
+            i = end[i]
+        return spans
+
+    def _viterbi(self, n: int, edges: dict) -> list[tuple[int, int]]:
+        """Spans of the best path; of equal paths the one whose last edge starts first. Single characters without an edge cost ``lost``."""
+        score, back = [0.0] + [-math.inf] * n, [0] * (n + 1)
+        for e in range(1, n + 1):
+            for s in range(max(0, e - self.longest), e):
+                hit = edges.get((s, e))
+                step = hit[1] if hit else self.lost if s == e - 1 else -math.inf
+                if score[s] + step > score[e]:
+                    score[e], back[e] = score[s] + step, s
+        spans, e = [], n
+        while e > 0:
+            spans.append((back[e], e))
+            e = back[e]
+        return spans[::-1]
+
+
+class _Known(dict):
+    """Ids of words by word; a word that is not there is encoded. Emptied when it holds ``KEPT``."""
+
+    def __init__(self, lattice: Lattice) -> None:
+        self.lattice = lattice
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= KEPT:
+            self.clear()
+        ids = self.lattice.encode_word(word)
+        if len(word) <= LONG:
+            self[word] = ids
+        return ids
 
 
 def encode(docs: DataFrame, model: str, kind: str = "bpe") -> DataFrame:
     """``doc_id, ids`` per row of ``docs(doc_id, text)``.
 
-    Null and empty texts have no ids.  Repeated rows and null ids are rows like any other:
-    rows are told apart by a number of their own.  Other columns are ignored.
+    Null and empty texts have no ids.  Repeated rows and null ids are rows like any other.
+    Other columns are ignored.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), _words(F.col("text").cast("string")).alias("words"))
-    return _assemble(rows, model, kind)
+    lattice = Lattice(model, kind)
 
+    def run(batches):
+        import pyarrow as pa
 
-def _assemble(rows: DataFrame, model: str, kind: str) -> DataFrame:
-    from .common import cut
+        known = _Known(lattice)
+        cut = re.compile(f"{MARK}+[^{MARK}]*").findall
+        for batch in batches:
+            for i in range(0, len(batch), 256):
+                rows = batch.slice(i, 256)
+                found = []
+                for text in rows.column("text").to_pylist():
+                    words = cut(MARK + text.replace(" ", MARK)) if text else ()
+                    found.append(b"".join(map(known.__getitem__, words)))
+                ends = np.cumsum([0] + [len(x) // 4 for x in found]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<i4")))
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), ids], names=["doc_id", "ids"])
 
-    rows = cut(rows, "rows")  # row numbers are drawn once
-    words = rows.select(F.explode("words").alias("word")).distinct()
-    ids = encode_words(words, model, kind)
-    placed = rows.select("row", F.posexplode("words").alias("pos", "word")).join(ids, "word")
-    whole = placed.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("x"))
-    whole = whole.select("row", F.flatten(F.transform("x", lambda p: p["ids"])).alias("ids"))
-    return rows.select("doc_id", "row").join(whole, "row", "left").select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
-    """``doc_id, text`` of rows ``doc_id, ids``: pieces are joined by id, bytes put together, marks become spaces."""
-    spark = encoded.sparkSession
+    """``doc_id, text`` of rows ``doc_id, ids``: pieces are looked up by id, their bytes put together, marks become spaces.
+
+    Null and empty ids give an empty text; ids without a piece (control, unknown) give nothing.
+    """
     plain, byte0, _ = _pieces(model)
-    known = [(i, p.encode()) for p, i, _ in plain] + ([(byte0 + b, bytes([b])) for b in range(256)] if byte0 is not None else [])
-    table = F.broadcast(spark.createDataFrame([(i, bytearray(p)) for i, p in known], "id int, raw binary"))  # bounded by the vocabulary
-    rows = encoded.withColumn("row", F.monotonically_increasing_id())
-    from .common import cut
-
-    rows = cut(rows.select("doc_id", "row", "ids"), "ids")
-    raw = rows.select("row", F.posexplode("ids").alias("pos", "id")).join(table, "id")
-    raw = raw.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("pos", F.hex("raw").alias("h")))).alias("x"))
-    text = F.decode(F.unhex(F.array_join(F.transform("x", lambda p: p["h"]), "")), "UTF-8")
-    raw = raw.select("row", F.substring(F.replace(text, F.lit(MARK), F.lit(" ")), 2, 2**31 - 1).alias("text"))
-    return rows.select("doc_id", "row").join(raw, "row", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    raw = {i: p.encode() for p, i, _ in plain}
+    if byte0 is not None:
+        raw |= {byte0 + b: bytes([b]) for b in range(256)}
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for i in range(0, len(batch), 256):
+                rows = batch.slice(i, 256)
+                texts = [b"".join(raw.get(x, b"") for x in ids or ()).decode(errors="replace").replace(MARK, " ")[1:] for ids in rows.column("ids").to_pylist()]
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")

@@ -293,6 +293,27 @@ def test_sentencepiece(spark, docs, rows, empty):
     back = {r["doc_id"]: r["text"] for r in sentencepiece.decode(out, model).collect()}
     assert back == {r[0]: r[1] or "" for r in rows}
     assert sentencepiece.encode(empty, model).count() == 0
+    words = sorted({"▁" + w for r in rows for w in (r[1] or "")[:3000].split(" ") if "▁" not in w})
+    related = {r["word"]: list(r["ids"]) for r in sentencepiece.encode_words(spark.createDataFrame([(w,) for w in words], "word string"), model).collect()}
+    lattice = sentencepiece.Lattice(model)
+    assert related == {w: np.frombuffer(lattice.encode_word(w), "<i4").tolist() for w in words}
+
+
+def test_sentencepiece_odd_rows(spark, monkeypatch):
+    import sentencepiece as sp
+
+    monkeypatch.setattr(sentencepiece, "KEPT", 3)  # the memory of words is emptied all the time
+    model = tokenizer("piece_bpe_32k.model")
+    texts = [None, "", " ", "  a  b ", "a▁b ▁▁", "é\0漢字🙂 aé", "x" * 5000, "ab" * 3000 + " cd", "a\tb\nc  d\r\n", "a b", "a b"]
+    odd = spark.createDataFrame([(None if i == 3 else i // 2, t, i) for i, t in enumerate(texts)], "doc_id long, text string, ids int")
+    lib = sp.SentencePieceProcessor(model_file=model)
+    want = sorted((-1 if i == 3 else i // 2, lib.encode(t or "")) for i, t in enumerate(texts))
+    out = sentencepiece.encode(odd, model)
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], list(r["ids"])) for r in out.collect()) == want
+    back = sorted(r["text"] for r in sentencepiece.decode(out, model).collect())
+    assert back == sorted((t or "").replace("▁", " ") for t in texts)
+    nothing = spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")
+    assert [r["text"] for r in sentencepiece.decode(nothing, model).collect()] == ["", ""]
 
 
 def test_viterbi(spark, monkeypatch):
@@ -311,3 +332,5 @@ def test_viterbi(spark, monkeypatch):
 
     got = {r["word"]: list(r["ids"]) for r in sentencepiece.encode_words(spark.createDataFrame([(w,) for w in words], "word string"), "m", "unigram").collect()}
     assert got == {w: best(w) for w in words}
+    lattice = sentencepiece.Lattice("m", "unigram")
+    assert got == {w: np.frombuffer(lattice.encode_word(w), "<i4").tolist() for w in words}

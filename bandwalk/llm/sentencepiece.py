@@ -10,8 +10,8 @@ leftmost first, until none is left.  Characters without a piece become byte piec
 ``encode_words`` does this as relations: substrings exploded, joined by equality to the
 piece table, grouped by word, folded by a higher-order aggregate.  To bring its result back
 to the texts every occurrence of a word has to be shuffled, so ``encode`` builds the same
-lattice inside each Arrow batch, for words not met lately by the process: nothing is
-shuffled, and memory is bounded by the batch, the longest word and ``KEPT`` words.
+lattice inside each Arrow batch, for all its words that the task does not hold yet at once: nothing
+is shuffled, and memory is bounded by the batch, the longest word, ``KEPT`` and ``SLICE``.
 """
 
 from __future__ import annotations
@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 LONG = 200
-#: Words whose ids a Python process keeps at most.
+#: A Python process forgets its words when it holds more than this, and encodes texts of so many characters at once.
 KEPT = 1 << 19
+SLICE = 1 << 22
 
 
 def piece_table(spark: SparkSession, model: str) -> DataFrame:
@@ -181,19 +182,80 @@ class Lattice:
         return spans[::-1]
 
 
-class _Known(dict):
-    """Ids of words by word; a word that is not there is encoded. Emptied when it holds ``KEPT``."""
+class Tries:
+    """The same lattice and fold for many words at once; BPE models only.
 
-    def __init__(self, lattice: Lattice) -> None:
-        self.lattice = lattice
+    Substrings are matched from every start in step, one character a round, through a trie
+    whose edges are sorted exact numbers ``node * 2**21 + code point``.
+    """
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= KEPT:
-            self.clear()
-        ids = self.lattice.encode_word(word)
-        if len(word) <= LONG:
-            self[word] = ids
-        return ids
+    def __init__(self, lattice: Lattice) -> None:
+        nodes: dict[str, int] = {"": 0}
+        for p in lattice.table:
+            for k in range(1, len(p) + 1):
+                nodes.setdefault(p[:k], len(nodes))
+        steps = sorted((nodes[x[:-1]] << 21 | ord(x[-1]), n) for x, n in nodes.items() if x)
+        self.keys, self.child = (np.array(c, np.int64) for c in zip(*steps))
+        none = len(lattice.table)
+        self.piece = np.full(len(nodes), none, np.int32)
+        for row, p in enumerate(lattice.table):
+            self.piece[nodes[p]] = row
+        self.ids = np.array([i for i, _ in lattice.table.values()] + [0], "<i4")
+        order = np.unique([-x for _, x in lattice.table.values()], return_inverse=True)[1]
+        self.rank = np.append(order, none).astype(np.int32)  # equal scores, equal ranks; the last entry is no piece
+        self.none, self.lattice = none, lattice
+
+    def encode_words(self, words: list[str]) -> dict[str, bytes]:
+        out, by_size = {}, {}
+        for w in words:
+            by_size.setdefault(len(w), []).append(w)
+        for n, group in by_size.items():
+            if n > LONG // 4:
+                out |= {w: self.lattice.encode_word(w) for w in group}
+                continue
+            room = max(1, (1 << 21) // (n + 1) ** 2)
+            for i in range(0, len(group), room):
+                out |= self._same_size(group[i : i + room], n)
+        return out
+
+    def _edges(self, words: list[str], n: int) -> np.ndarray:
+        """``[word, start, end] -> piece``, or ``none``."""
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int64)
+        edges = np.full((len(words), n + 1, n + 1), self.none, np.int32)
+        at, node = np.arange(len(codes)), np.zeros(len(codes), np.int64)
+        for k in range(self.lattice.longest):
+            inside = at % n + k < n
+            at, key = at[inside], node[inside] << 21 | codes[at[inside] + k]
+            pos = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = self.keys[pos] == key
+            at, node = at[hit], self.child[pos[hit]]
+            if not len(at):
+                break
+            edges[at // n, at % n, at % n + k + 1] = self.piece[node]
+        return edges
+
+    def _same_size(self, words: list[str], n: int) -> dict[str, bytes]:
+        edges = self._edges(words, n)
+        end = np.tile(np.arange(1, n + 2, dtype=np.int64), (len(words), 1))  # of the span from each start; 0: no span starts here
+        end[:, n] = 0
+        live, start = np.arange(len(words)), np.arange(n)
+        while len(live):
+            e1 = end[live, :n]
+            e2 = np.take_along_axis(end[live], e1, 1)
+            rank = np.where(e1 > 0, self.rank[edges[live[:, None], start, e2]], self.none)
+            best = rank.argmin(1)  # the leftmost of equal ones
+            one = np.flatnonzero(rank[np.arange(len(live)), best] < self.none)
+            live, best, e1, e2 = live[one], best[one], e1[one, best[one]], e2[one, best[one]]
+            end[live, best], end[live, e1] = e2, 0
+        w, s = np.nonzero(end[:, :n])
+        piece = edges[w, s, end[w, s]]
+        raw, ends = self.ids[piece].tobytes(), np.cumsum(np.bincount(w, minlength=len(words))) * 4
+        odd = set(w[piece == self.none].tolist())  # words with characters that are no piece
+        out, a = {}, 0
+        for i, (word, b) in enumerate(zip(words, ends.tolist())):
+            out[word] = self.lattice.encode_word(word) if i in odd else raw[a:b]
+            a = b
+        return out
 
 
 def encode(docs: DataFrame, model: str, kind: str = "bpe") -> DataFrame:
@@ -203,22 +265,31 @@ def encode(docs: DataFrame, model: str, kind: str = "bpe") -> DataFrame:
     Other columns are ignored.
     """
     lattice = Lattice(model, kind)
+    many = Tries(lattice).encode_words if kind == "bpe" else lambda words: {w: lattice.encode_word(w) for w in words}
 
     def run(batches):
         import pyarrow as pa
 
-        known = _Known(lattice)
         cut = re.compile(f"{MARK}+[^{MARK}]*").findall
+        known: dict[str, bytes] = {}
+
+        def ids_of(cuts: list[list[str]]) -> pa.Array:
+            if len(known) > KEPT:
+                known.clear()
+            known.update(many(list(set().union(*cuts) - known.keys())))
+            found = [b"".join(map(known.__getitem__, words)) for words in cuts]
+            ends = np.cumsum([0] + [len(x) // 4 for x in found]).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<i4")))
+
         for batch in batches:
-            for i in range(0, len(batch), 256):
-                rows = batch.slice(i, 256)
-                found = []
-                for text in rows.column("text").to_pylist():
-                    words = cut(MARK + text.replace(" ", MARK)) if text else ()
-                    found.append(b"".join(map(known.__getitem__, words)))
-                ends = np.cumsum([0] + [len(x) // 4 for x in found]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<i4")))
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), ids], names=["doc_id", "ids"])
+            first, held, cuts = 0, 0, []
+            for i, text in enumerate(batch.column("text")):
+                text = text.as_py() or ""
+                cuts.append(cut(MARK + text.replace(" ", MARK)) if text else [])
+                held += len(text)
+                if held >= SLICE or i + 1 == len(batch):
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(cuts)), ids_of(cuts)], names=["doc_id", "ids"])
+                    first, held, cuts = i + 1, 0, []
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids array<int>")

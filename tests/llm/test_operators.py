@@ -303,6 +303,7 @@ def test_sentencepiece_odd_rows(spark, monkeypatch):
     import sentencepiece as sp
 
     monkeypatch.setattr(sentencepiece, "KEPT", 3)  # the memory of words is emptied all the time
+    monkeypatch.setattr(sentencepiece, "SLICE", 5)
     model = tokenizer("piece_bpe_32k.model")
     texts = [None, "", " ", "  a  b ", "a▁b ▁▁", "é\0漢字🙂 aé", "x" * 5000, "ab" * 3000 + " cd", "a\tb\nc  d\r\n", "a b", "a b"]
     odd = spark.createDataFrame([(None if i == 3 else i // 2, t, i) for i, t in enumerate(texts)], "doc_id long, text string, ids int")

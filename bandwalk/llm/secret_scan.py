@@ -1,6 +1,7 @@
 """Secret scan: candidate strings, judged by a random forest that removes false positives.
 
-Candidates are long unbroken strings with digits.  Features are the candidate's length, how
+Candidates are long unbroken strings with digits, and whatever follows a name with a secret
+word in it, of any length and in any characters.  Features are the candidate's length, how
 likely its character transitions are in ordinary text, how much of it common words cover,
 entropy and alphabet, whether it looks like a path, and the words before and after it.
 The forest is trained on labelled findings: strings of known kinds in known surroundings.
@@ -20,8 +21,16 @@ SECRET_WORDS = ("password", "passwd", "pwd", "token", "secret", "api", "apikey",
 HARMLESS_WORDS = ("commit", "sha", "sha1", "sha256", "md5", "checksum", "digest", "hash", "uuid", "guid", "etag", "revision", "version", "build", "image", "file", "path", "id", "isbn", "order", "integrity", "session")
 #: Common words and name parts that cover harmless identifiers (fixed values).
 DICTIONARY = ("the", "and", "ing", "tion", "ent", "ver", "con", "com", "pro", "int", "data", "test", "file", "name", "user", "time", "page", "index", "image", "video", "release", "version", "build", "config", "example", "sample", "content", "update", "default", "report", "section", "chapter", "volume", "number", "table", "figure", "value", "model", "class", "string", "array", "object", "event", "state", "server", "client", "local", "public", "static", "assets", "src", "lib", "main", "http", "https", "www", "html", "json", "node", "module", "package")
-CANDIDATE = re.compile(rb"(?<![A-Za-z0-9_+/=.\-])(?:[A-Za-z_]{2,20}=)?[\"']?([A-Za-z0-9_+/.\-]{12,512}={0,2})(?![A-Za-z0-9_+/=\-])")
-FEATURES = ("length", "transition", "dictionary", "entropy", "digits", "upper", "lower", "hex", "classes", "slashes", "dots", "dashes", "before_secret", "before_harmless", "after_harmless", "assigned", "quoted", "runs")
+CANDIDATE = re.compile(rb"[A-Za-z0-9_+/.\-]{12,}+(?:={1,2}(?![A-Za-z0-9_+/\-]))?")
+#: After a name: an operator, or white space alone; then what may open a value.
+_GIVEN = re.compile(rb"[\"'`\])]{0,2}(?:(\s*+[=:>]{1,3}\s*+)|\s++(?:(?:is|was)\b\s*+[=:]?\s*+)?)([\"'`(\[{]?)")
+#: A value without quotes ends at white space, a quote, a closing tag or the next assignment.
+_VALUE = re.compile(rb"(?:[^\s\"'`;,&<]|[;,&](?![A-Za-z0-9_.\-]++[=:])|<(?!/))++")
+_NAME = re.compile(rb"[A-Za-z0-9_.\-]*+")
+_STEMS = (b"passw", b"pwd", b"token", b"secret", b"api", b"key", b"auth", b"bearer", b"credential", b"private", b"access")
+_PART = re.compile(rb"[A-Za-z0-9]+")
+_DIGIT, _LETTER = re.compile(rb"[0-9]"), re.compile(rb"[A-Z_a-z]")
+FEATURES = ("length", "transition", "dictionary", "entropy", "digits", "upper", "lower", "hex", "classes", "slashes", "dots", "dashes", "before_secret", "before_harmless", "after_harmless", "assigned", "quoted", "runs", "named", "names", "symbols", "spaces")
 TREES, DEPTH, SEED = 40, 9, 11
 ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 
@@ -47,6 +56,8 @@ def codes(s: str) -> np.ndarray:
 _TABLE = transition_table()
 _WORD = re.compile(r"[A-Za-z0-9]+")
 _COVER = re.compile("|".join(sorted(DICTIONARY, key=len, reverse=True)))
+_NAMED = re.compile(r"(?:" + "|".join(SECRET_WORDS) + r")[\w.\-]*+[\"'`\])]{0,2}\s*+[=:>]{1,3}\s*+[\"'`(\[{]?$", re.IGNORECASE)
+_NAMES = re.compile(r"[\"'`\])]{0,2}\s*[=:]\s*\S")
 
 
 def candidate_features(text: str, before: str, after: str) -> list[float]:
@@ -77,6 +88,10 @@ def candidate_features(text: str, before: str, after: str) -> list[float]:
         float(gap.endswith(("=", ":"))),
         float(before.endswith(("\"", "'"))),
         float(len(re.findall(r"[A-Z]+|[a-z]+|[0-9]+", text))) / n,
+        float(_NAMED.search(before) is not None),
+        float(_NAMES.match(after) is not None),
+        1 - (upper + lower + digit) / n,
+        float(sum(map(str.isspace, text))),
     ]
 
 
@@ -94,8 +109,12 @@ def labelled_findings(n: int = 3000, seed: int = SEED) -> tuple[list[tuple[str,
         name = str(rng.choice(SECRET_WORDS))
         given = str(rng.choice([f"{name} = \"", f"{name}=", f"{name}: ", f"{name}='", f"{name} ", f"{name.upper()}=", f"x-{name}: \""]))
         other = str(rng.choice(HARMLESS_WORDS)) + str(rng.choice([" ", ": ", "=", " is ", " = \""]))
-        kind = i % 14
-        secret = kind < 7
+        kind = i % 22
+        secret = kind < 7 or 14 <= kind < 18
+        marks = "!@#$%^&*?~+-_"
+        full = f"{pick(ALPHABET, int(rng.integers(0, 5)))}{rng.choice(['', '_', '.', '-'])}{name}{rng.choice(['', '_2', '-id', '.main', '_V3'])}"
+        full = full.upper() if rng.random() < 0.4 else full
+        set_to = full + str(rng.choice(["=", ": ", " = \"", "='", ":", "\": \"", " => \""]))
         if kind == 0:
             rows.append(("AKIA" + pick(upper + "234567" + digits, 16), before + str(rng.choice(["", given])), after))
         elif kind == 1:
@@ -123,8 +142,25 @@ def labelled_findings(n: int = 3000, seed: int = SEED) -> tuple[list[tuple[str,
             rows.append((f"{word()}-{word()}-{pick(digits, 4)}-{word()}", before, after))
         elif kind == 12:
             rows.append((f"{pick(digits, 4)}-{pick(digits, 2)}-{pick(digits, 2)}T{pick(digits, 6)}", before + str(rng.choice(["", other])), after))
-        else:
+        elif kind == 13:
             rows.append((pick(ALPHABET[:6], 2) * 7 + pick(digits, 2), before + str(rng.choice(["", other, given])), after))
+        elif kind == 14:  # short passwords of letters, digits and marks
+            rows.append(("".join(rng.permutation(list(pick(b64, int(rng.integers(3, 10))) + pick(digits, 2) + pick(marks, int(rng.integers(0, 3)))))), before + set_to, after))
+        elif kind == 15:  # words with digits or marks
+            rows.append((str(rng.choice([pick(ALPHABET, int(rng.integers(4, 9))), word().title()])) + pick(marks + digits, int(rng.integers(1, 5))), before + set_to, after))
+        elif kind == 16:  # after names of any form
+            rows.append((pick(str(rng.choice([hexes, b64, b64 + "+/"])), int(rng.integers(12, 60))), before + set_to, after))
+        elif kind == 17:  # long blobs
+            rows.append((str(rng.choice(["", "eyJ"])) + pick(str(rng.choice([hexes, b64, b64 + "+/", b64 + "_-."])), int(rng.integers(300, 1500))), before + str(rng.choice([given, set_to])), after))
+        elif kind == 18:  # prose and placeholders after a secret name
+            held = [pick(ALPHABET, int(rng.integers(1, 10))), pick(ALPHABET, int(rng.integers(2, 9))).title(), "null", "None", "true", "false", "required", "optional", "string", "********", "xxxxxxxx", "<" + name + ">", "${" + name.upper() + "}", "your_" + name, "{{" + word() + "}}", "os.environ", "...", "-", pick(digits, 1), word()]
+            rows.append((str(rng.choice(held)), before + str(rng.choice([set_to, given, name + " "])), after))
+        elif kind == 19:  # names themselves
+            rows.append((full + "_" + pick(ALPHABET, 5) + pick(digits, int(rng.integers(1, 3))), before, str(rng.choice(["=", ": ", " = \""])) + pick(b64, 20)))
+        elif kind == 20:  # sentences in quotes
+            rows.append((" ".join(pick(ALPHABET, int(rng.integers(2, 9))) for _ in range(int(rng.integers(2, 12)))), before + str(rng.choice([set_to, given])), "\"" + after))
+        else:  # words after a secret word without an operator
+            rows.append((pick(ALPHABET, int(rng.integers(1, 12))) + str(rng.choice(["", ",", ".", ":", "s", "-" + pick(ALPHABET, 4)])), before + name + " ", after))
         y.append(secret)
     return rows, np.array(y)
 
@@ -181,18 +217,71 @@ def train(n: int = 3000, seed: int = SEED) -> Forest:
     return Forest(np.array([candidate_features(*r) for r in rows]), y)
 
 
+def _secret_names(raw: bytes):
+    """Ends of the names that hold a secret word, and whether the word is a whole part of the name."""
+    low, hits = raw.lower(), []
+    for stem in _STEMS:
+        at = low.find(stem)
+        while at >= 0:
+            hits.append(at)
+            at = low.find(stem, at + len(stem))
+    done = -1
+    for at in sorted(hits):
+        if at < done:
+            continue
+        done = _NAME.match(low, at).end()
+        start = at
+        while start and _NAME.fullmatch(low, start - 1, start) and low[start - 1 : start]:
+            start -= 1
+        yield at, done, any(w.decode("latin-1") in SECRET_WORDS for w in _PART.findall(low, start, done))
+
+
+def _given(raw: bytes) -> list[tuple[int, int]]:
+    """Spans of what follows a secret name.
+
+    A value that holds further assignments counts whole, and each of those to the next.
+    """
+    spans, outer, nested = [], 0, None
+    for at, end, whole in _secret_names(raw):
+        m = _GIVEN.match(raw, end)
+        if not m or not (m.group(1) or whole):
+            continue
+        if m.group(1) and nested is not None and at < outer:
+            nested[1] = min(nested[1], at)
+        start, opened = m.end(), m.group(2)
+        if m.group(1) and start < outer:
+            nested = [start, outer]
+            spans.append(nested)
+            continue
+        stop = -1
+        if opened in (b"\"", b"'", b"`") and opened:
+            line = raw.find(b"\n", start)
+            stop = raw.find(opened, start, line if line >= 0 else len(raw))
+        if stop < 0:
+            v = _VALUE.match(raw, start)
+            stop = v.end() if v else start
+            outer, nested = (stop, None) if m.group(1) else (outer, nested)
+            while stop > start and raw[stop - 1] in b".,;:)]}":
+                stop -= 1
+        spans.append([start, stop])
+    return [(a, b) for a, b in spans if a < b]
+
+
 def candidates(raw: bytes) -> list[tuple[int, int]]:
-    """Spans (start, end) in bytes: strings of 12 to 512 with a digit and a letter."""
-    out = []
+    """Spans (start, end) in bytes, which may overlap, in order.
+
+    Strings of 12 or more with a digit and a letter, and values given to a secret name.
+    """
+    out = set(_given(raw))
     for m in CANDIDATE.finditer(raw):
-        x = m.group(1)
-        if any(48 <= c <= 57 for c in x) and any(c >= 65 for c in x):
-            end = m.end(1)
-            while end > m.start(1) and raw[end - 1] in b".-/":
+        x = m.group()
+        if _DIGIT.search(x) and _LETTER.search(x):
+            end = m.end()
+            while end > m.start() and raw[end - 1] in b".-/":
                 end -= 1
-            if end - m.start(1) >= 12:
-                out.append((m.start(1), end))
-    return out
+            if end - m.start() >= 12:
+                out.add((m.start(), end))
+    return sorted(out)
 
 
 def _judge(forest: Forest, raw: bytes):
@@ -204,6 +293,17 @@ def _judge(forest: Forest, raw: bytes):
     return [(a, b, p) for (a, b), p in zip(spans, forest.predict(x), strict=True)]
 
 
+def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ordered spans with overlapping ones joined."""
+    out: list[tuple[int, int]] = []
+    for a, b in spans:
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def _find(forest: Forest, threshold: float):
     def run(batches):
         import pyarrow as pa
@@ -232,9 +332,11 @@ def _redact(forest: Forest, threshold: float, mark: bytes):
                     texts.append(None)
                     continue
                 raw = t.as_buffer().to_pybytes()
-                for start, end, p in reversed(_judge(forest, raw)):
-                    if p >= threshold:
-                        raw = raw[:start] + mark + raw[end:]
+                parts, at_byte = [], 0
+                for start, end in _union([(a, b) for a, b, p in _judge(forest, raw) if p >= threshold]):
+                    parts += [raw[at_byte:start], mark]
+                    at_byte = end
+                raw = b"".join([*parts, raw[at_byte:]])
                 texts.append(raw.decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(texts, pa.string()), *b.columns[at + 1 :]], names=b.schema.names)
 
@@ -244,7 +346,7 @@ def _redact(forest: Forest, threshold: float, mark: bytes):
 def find_secrets(docs: DataFrame, forest: Forest | None = None, threshold: float = 0.5) -> DataFrame:
     """``doc_id, start, length, finding_sha256, score, secret`` per candidate of ``docs(doc_id, text)``.
 
-    Places are in UTF-8 bytes.  Null and empty texts have no candidates.  Rows are
+    Places are in UTF-8 bytes; candidates may overlap.  Null and empty texts have no candidates.  Rows are
     independent of each other: repeated rows repeat their findings, a null id stays null.
     Other columns are ignored.
     """

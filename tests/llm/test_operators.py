@@ -261,6 +261,26 @@ def test_forest_on_held_out_findings():
     assert ((p >= 0.5) == y).mean() > 0.95
 
 
+def test_secrets_after_any_name_and_of_any_length(spark):
+    rng = np.random.default_rng(4)
+    pick = lambda k: "".join(rng.choice(list("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"), k))
+    names = ("AWS_SECRET_ACCESS_KEY=", "S3_SECRET=", "AWS_KEY_2=", "db.password=", "api-key=", "--token=", "a_name_of_over_twenty_letters_for_one_token=", "secretKey: ")
+    kept = [(f"set {name}", pick(40), " and go on") for name in names]
+    kept += [("token = \"", pick(640), "\""), ("bearer eyJ", pick(900), " x"), ("password: ", "Tr0ub4d&r", "\nnext"), ("?api_key=", "Ab9zQ1", "&user=bob"), ("a=1; password=", "s3cr3t9", ";user=bob"), ("pwd = '", "x!Q7 z#2", "'")]
+    df = spark.createDataFrame([(i, a + s + b) for i, (a, s, b) in enumerate(kept)], "doc_id long, text string")
+    for r in secret_scan.redact_secrets(df).collect():
+        before, secret, after = kept[r["doc_id"]]
+        assert secret not in r["text"] and "<SECRET>" in r["text"] and r["text"].endswith(after), r
+    prose = spark.createDataFrame([(1, "The key idea: access to private data, token by token. password: required")], "doc_id long, text string")
+    assert secret_scan.find_secrets(prose).where("secret").count() == 0
+
+
+def test_secret_candidates_grow_in_proportion():
+    for part in (b"key:", b"key", b"key=\"", b"a1=", b"key;key=", b"token is "):
+        spans = secret_scan.candidates(part * 20_000)
+        assert sum(b - a for a, b in spans) <= 4 * len(part) * 20_000
+
+
 def test_quality(spark, empty):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")

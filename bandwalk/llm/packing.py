@@ -87,25 +87,45 @@ def place(sizes: list[int], limit: int, linear: float, quadratic: float) -> list
             rest.append((n % limit, d, n - n % limit))
     total = sum(r[0] for r in rest)
     rooms = [limit] * (total // limit) + [1 << b for b in reversed(range(limit.bit_length())) if total % limit >> b & 1]
-    heap = [(0.0, k, 0) for k in range(len(rooms))]  # cost, sequence, tokens in it
-    heapq.heapify(heap)
+    heaps: list[list] = [[] for _ in range(limit)]  # (cost, sequence) by free room less one
+    for k, room in enumerate(rooms):
+        heaps[room - 1].append((0.0, k))
+    none = (float("inf"), -1)
+    tree = [none] * limit + [h[0] if h else none for h in heaps]  # lowest of each range of rooms
+    for i in range(limit - 1, 0, -1):
+        tree[i] = min(tree[2 * i], tree[2 * i + 1])
+
+    def renew(room: int) -> None:
+        i = room - 1 + limit
+        tree[i] = heaps[room - 1][0] if heaps[room - 1] else none
+        while i := i >> 1:
+            tree[i] = min(tree[2 * i], tree[2 * i + 1])
+
+    free = rooms[:]
     rest.sort(key=lambda r: (-r[0], r[1]))
     for n, d, start in rest:
         while n:
-            passed = []
-            while heap and len(passed) < 8 and rooms[heap[0][1]] - heap[0][2] < n:
-                passed.append(heapq.heappop(heap))
-            pick = heapq.heappop(heap) if heap and len(passed) < 8 else None
-            if pick is None:
-                pick = max(passed, key=lambda x: rooms[x[1]] - x[2])
-                passed.remove(pick)
-            for x in passed:
-                heapq.heappush(heap, x)
-            cost, k, at = pick
-            take = min(n, rooms[k] - at)
-            out.append((d, start, take, n_seq + k, at))
-            if at + take < rooms[k]:
-                heapq.heappush(heap, (cost + linear * take + quadratic * take * take, k, at + take))
+            i = n - 1 + limit
+            pick = tree[i]
+            while i > 1:
+                if not i & 1 and tree[i + 1] < pick:
+                    pick = tree[i + 1]
+                i >>= 1
+            if pick is none:  # no sequence has room: the roomiest takes what it can
+                i = 1
+                while i < limit:
+                    i = 2 * i + (tree[2 * i + 1] is not none)
+                pick = tree[i]
+            cost, k = pick
+            room = free[k]
+            take = min(n, room)
+            out.append((d, start, take, n_seq + k, rooms[k] - room))
+            heapq.heappop(heaps[room - 1])
+            renew(room)
+            free[k] = room - take
+            if free[k]:
+                heapq.heappush(heaps[free[k] - 1], (cost + linear * take + quadratic * take * take, k))
+                renew(free[k])
             n, start = n - take, start + take
     return out
 

@@ -201,6 +201,27 @@ def test_cost_balance():
     assert len({s for *_, s, _ in placed}) <= sum(sizes) // 1024 + 11
 
 
+def test_every_piece_goes_to_the_cheapest_sequence_with_room():
+    rng = np.random.default_rng(8)
+    for limit, sizes in ((1024, [1000] * 30 + [260] * 40 + [120] * 60 + [7] * 50), (64, rng.integers(1, 200, 300).tolist()), (1024, (rng.pareto(1.2, 400) * 60 + 1).astype(int).tolist()), (1, [3, 1])):
+        placed = packing.place(sizes, limit, 1.0, 1 / 512)
+        size, cost = Counter(), Counter()
+        for *_, n, s, at in placed:
+            size[s] = max(size[s], at + n)
+        free, left = dict(size), dict(enumerate(sizes))
+        for d, start, n, s, at in placed:
+            assert start == sizes[d] - left[d] and at == size[s] - free[s]
+            open_ = {x: r for x, r in free.items() if r >= min(left[d], limit)}
+            if left[d] < limit:
+                assert n == min(left[d], max(free.values())), "cut although a sequence has room"
+                if open_:
+                    assert cost[s] == min(cost[x] for x in open_)
+            free[s] -= n
+            left[d] -= n
+            cost[s] += n + n * n / 512
+        assert not any(left.values()) and not any(free.values())
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(300, 16))

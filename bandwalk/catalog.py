@@ -252,7 +252,7 @@ query("e10_conflicts_exact")(lambda v: folds.conflicts(fx.knn(v), v))
 query("f11_conflict_gate")(lambda v: folds.conflict_gate(folds.conflicts(fx.knn(v), v), 100, 300))
 
 
-def _searchable(v: DataFrame, count: int = 100) -> tuple[search.Packed, DataFrame]:
+def _searchable(v: DataFrame, count: int = 100) -> tuple[search.Packed | search.Shards, DataFrame]:
     v = v.cache()
     g = search.pack_graph(v, folds.build(v, fx.knn(v).cache()).cache())
     q = _spans(v, count)

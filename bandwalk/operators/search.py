@@ -1,8 +1,8 @@
 """Beam search over a range graph, one query at a time inside Arrow batches of queries.
 
 The packed graph goes to the workers as one broadcast, which is only done below
-``MAX_PACKED_BYTES``; larger graphs are searched as label-range shards whose answers a
-top-k merge combines.
+``MAX_PACKED_BYTES``; larger graphs are searched as label-range shards, each beside the
+queries that reach it, and a top-k merge combines the answers.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_PACKED_BYTES = 512 << 20
+SHARD_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -45,12 +46,26 @@ class Packed:
         return self.dst[self.offsets[u] : self.offsets[u + 1]]
 
 
-def pack_graph(vectors: DataFrame, edges: DataFrame) -> Packed:
-    """Gather an index whose size is checked first."""
+@dataclass(frozen=True)
+class Shards:
+    """An index that stays in its tables, cut every ``size`` positions."""
+
+    vectors: DataFrame
+    edges: DataFrame
+    size: int
+
+    def rows(self) -> DataFrame:
+        near = self.edges.groupBy(F.col("src").alias("pos")).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "dst"))), lambda e: e["dst"]).alias("near"))
+        shard = F.floor(F.col("pos") / self.size).alias("shard")
+        return self.vectors.select("pos", "vec_id", "embedding").join(near, "pos", "left").select(shard, "pos", "vec_id", "embedding", F.coalesce("near", F.expr("cast(array() AS array<bigint>)")).alias("near"))
+
+
+def pack_graph(vectors: DataFrame, edges: DataFrame) -> Packed | Shards:
+    """Gather an index whose size is checked first; a larger one becomes shards."""
     n, m = vectors.count(), edges.count()
     dim = len(vectors.select("embedding").first()[0]) if n else 0
-    if n * dim * 4 + m * 8 > MAX_PACKED_BYTES:
-        raise ValueError("index too large to broadcast; search shards of it")
+    if (total := n * dim * 4 + m * 8) > MAX_PACKED_BYTES:
+        return Shards(vectors, edges, max(1, n * SHARD_BYTES // total))
     v = vectors.select("pos", "vec_id", "embedding").orderBy("pos").toPandas()
     e = edges.select("src", "rank", "dst").toPandas().sort_values(["src", "rank"])
     offsets = np.zeros(n + 1, np.int64)
@@ -139,35 +154,76 @@ STATS = ("expanded_nodes", "raw_neighbors_scanned", "range_filtered_out_neighbor
 TRACE = "query_id long, round long, expanded_node long, insertions long, cumulative_insertions long, best_dist double, stall_rounds long, beam_label_span long, raw_count long, selected_count long, range_filtered long, dist_eval_count long"
 
 
+COLUMNS = {"hits": ["query_id", "rk", "id", "d2"], "stats": ["query_id", *STATS], "trace": [c.split()[0] for c in TRACE.split(", ")]}
+
+
+def _answer(graph: Packed, r, options: Options, what: str, base: int = 0) -> list[tuple]:
+    """Rows for one query over the positions of ``graph``, the first of which is ``base``."""
+    q = np.asarray(r.qv, np.float32)
+    lo, hi = max(0, int(r.first_pos) - base), min(len(graph.ids), int(r.end_pos) - base)
+    seeds = np.asarray(r.seed_ids if r.seed_ids is not None else [], np.int64) - base
+    if base + lo > r.first_pos or base + hi < r.end_pos:  # part of the range: seeds of its own if it got none
+        seeds = seeds if ((seeds >= lo) & (seeds < hi)).any() else np.array([lo, (lo + hi - 1) // 2, hi - 1])
+    trace = [] if what == "trace" else None
+    hits, stats = beam_search(graph, q, lo, hi, seeds, options, trace)
+    if what == "trace":
+        return [(r.query_id, t[0], t[1] + base, *t[2:]) for t in trace]
+    if what == "stats":
+        return [(r.query_id, *(stats[s] for s in STATS))]
+    full = [(float(((graph.x[v].astype(np.float64) - q.astype(np.float64)) ** 2).sum()), int(graph.ids[v])) for _, v in hits]
+    return [(r.query_id, k + 1, i, d) for k, (d, i) in enumerate(sorted(full))]
+
+
 def _per_query(shared, options: Options, what: str):
     def run(batches):
         import pandas as pd
 
-        graph = shared.value
         for pdf in batches:
-            out = []
-            for r in pdf.itertuples():
-                q = np.asarray(r.qv, np.float32)
-                seeds = np.asarray(r.seed_ids if r.seed_ids is not None else [], np.int64)
-                trace = [] if what == "trace" else None
-                hits, stats = beam_search(graph, q, int(r.first_pos), int(r.end_pos), seeds, options, trace)
-                if what == "trace":
-                    out += [(r.query_id, *t) for t in trace]
-                elif what == "stats":
-                    out.append((r.query_id, *(stats[s] for s in STATS)))
-                else:
-                    full = [(float(((graph.x[v].astype(np.float64) - q.astype(np.float64)) ** 2).sum()), int(graph.ids[v])) for _, v in hits]
-                    out += [(r.query_id, k + 1, i, d) for k, (d, i) in enumerate(sorted(full))]
-            columns = {"hits": ["query_id", "rk", "id", "d2"], "stats": ["query_id", *STATS], "trace": [c.split()[0] for c in TRACE.split(", ")]}[what]
-            yield pd.DataFrame(out, columns=columns)
+            yield pd.DataFrame([x for r in pdf.itertuples() for x in _answer(shared.value, r, options, what)], columns=COLUMNS[what])
 
     return run
 
 
-def search(graph: Packed, queries: DataFrame, options: Options, what: str = "hits") -> DataFrame:
+def _per_shard(options: Options, what: str):
+    def run(key, rows, queries):
+        import pandas as pd
+
+        out = []
+        if len(rows) and len(queries):
+            rows = rows.sort_values("pos")
+            near = [np.asarray(a, np.int64) for a in rows["near"]]
+            offsets = np.concatenate([[0], np.cumsum([len(a) for a in near])])
+            base = int(rows["pos"].iloc[0])
+            graph = Packed(np.stack([np.asarray(a, np.float32) for a in rows["embedding"]]), rows["vec_id"].to_numpy(), offsets, np.concatenate(near) - base)
+            out = [(int(key[0]), *x) for r in queries.itertuples() for x in _answer(graph, r, options, what, base)]
+        return pd.DataFrame(out, columns=["shard", *COLUMNS[what]])
+
+    return run
+
+
+def _search_shards(graph: Shards, queries: DataFrame, options: Options, what: str, schema: str) -> DataFrame:
+    reached = F.sequence(F.floor(F.col("first_pos") / graph.size), F.floor((F.col("end_pos") - 1) / graph.size))
+    parts = queries.where("end_pos > first_pos").select(F.explode(reached).alias("shard"), "query_id", "qv", "first_pos", "end_pos", "seed_ids")
+    found = graph.rows().groupBy("shard").cogroup(parts.groupBy("shard")).applyInPandas(_per_shard(options, what), "shard long, " + schema)
+    if what == "stats":
+        return found.groupBy("query_id").agg(*[F.sum(s).alias(s) for s in STATS])
+    if what == "hits":
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("d2", "id")).cast("long")
+        return found.withColumn("rk", rank).where(F.col("rk") <= options.k).select(*COLUMNS[what])
+    # one trace a query, shard after shard
+    shard, query = Window.partitionBy("query_id", "shard").orderBy("round"), Window.partitionBy("query_id").orderBy("shard", "round")
+    upto = query.rowsBetween(Window.unboundedPreceding, 0)
+    found = found.withColumn("new", F.col("dist_eval_count") - F.lag("dist_eval_count", 1, 0).over(shard))
+    running = {"cumulative_insertions": F.sum("insertions").over(upto), "best_dist": F.min("best_dist").over(upto), "dist_eval_count": F.sum("new").over(upto), "at": F.row_number().over(query).cast("long")}
+    return found.withColumns(running).withColumn("round", F.col("at")).select(*COLUMNS[what])
+
+
+def search(graph: Packed | Shards, queries: DataFrame, options: Options, what: str = "hits") -> DataFrame:
     """``queries(query_id, qv, first_pos, end_pos, seed_ids)``; hits, per-query stats or per-round trace."""
-    shared = queries.sparkSession.sparkContext.broadcast(graph)
     schema = {"hits": "query_id long, rk long, id long, d2 double", "stats": "query_id long, " + ", ".join(f"{s} long" for s in STATS), "trace": TRACE}[what]
+    if isinstance(graph, Shards):
+        return _search_shards(graph, queries, options, what, schema)
+    shared = queries.sparkSession.sparkContext.broadcast(graph)
     return queries.mapInPandas(_per_query(shared, options, what), schema)
 
 
@@ -200,7 +256,7 @@ def with_seeds(queries: DataFrame, chosen: DataFrame) -> DataFrame:
     return queries.join(chosen.groupBy("query_id").agg(F.sort_array(F.collect_set("seed")).alias("seed_ids")), "query_id")
 
 
-def sweep(graph: Packed, queries: DataFrame, truth: DataFrame, params: list[tuple[int, int]], k: int = 10) -> DataFrame:
+def sweep(graph: Packed | Shards, queries: DataFrame, truth: DataFrame, params: list[tuple[int, int]], k: int = 10) -> DataFrame:
     """``beam_size, trunc_size, recall, distance_computations`` per setting of the sweep."""
     out = None
     for beam, trunc in params:

@@ -24,8 +24,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sentencepiece.encode(_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"))
+    model = tokenizer("piece_bpe_32k.model")
+    out = sentencepiece.encode(_table(spark, sf_dir, "documents"), model)
+    out = out.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"))
+    out = sentencepiece.decode(out, model, ("n_ids", "ids_sha256"))
+    return out.select("doc_id", "n_ids", "ids_sha256", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

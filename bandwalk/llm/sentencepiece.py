@@ -295,8 +295,8 @@ def encode(docs: DataFrame, model: str, kind: str = "bpe") -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, ids array<int>")
 
 
-def decode(encoded: DataFrame, model: str) -> DataFrame:
-    """``doc_id, text`` of rows ``doc_id, ids``: pieces are looked up by id, their bytes put together, marks become spaces.
+def decode(encoded: DataFrame, model: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, text`` and the columns ``keep`` of rows ``doc_id, ids``: pieces are looked up by id, their bytes put together, marks become spaces.
 
     Null and empty ids give an empty text; ids without a piece (control, unknown) give nothing.
     """
@@ -304,6 +304,16 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
     raw = {i: p.encode() for p, i, _ in plain}
     if byte0 is not None:
         raw |= {byte0 + b: bytes([b]) for b in range(256)}
+    top = max(raw, default=0) + 1  # the row of ids without a piece
+    flat = np.frombuffer(b"".join(raw.get(i, b"") for i in range(top)), np.uint8)
+    ends = np.cumsum([0] + [len(raw.get(i, b"")) for i in range(top)] + [0])
+
+    def text_of(ids) -> str:
+        x = ids.values.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        x[(x < 0) | (x > top)] = top
+        size = ends[x + 1] - ends[x]
+        at = np.cumsum(size)
+        return flat[np.repeat(ends[x + 1] - at, size) + np.arange(at[-1])].tobytes().decode(errors="replace").replace(MARK, " ")[1:]
 
     def run(batches):
         import pyarrow as pa
@@ -311,7 +321,9 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
         for batch in batches:
             for i in range(0, len(batch), 256):
                 rows = batch.slice(i, 256)
-                texts = [b"".join(raw.get(x, b"") for x in ids or ()).decode(errors="replace").replace(MARK, " ")[1:] for ids in rows.column("ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
+                texts = [text_of(ids) if ids.is_valid and len(ids) else "" for ids in rows.column("ids")]
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(texts, pa.string()), *map(rows.column, keep)], names=["doc_id", "text", *keep])
 
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
+    src = encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids", *keep)
+    kept = "".join(f", {src.schema[c].name} {src.schema[c].dataType.simpleString()}" for c in keep)
+    return src.mapInArrow(run, "doc_id long, text string" + kept)

@@ -340,6 +340,14 @@ def test_sentencepiece(spark, docs, rows, empty):
     assert related == {w: np.frombuffer(lattice.encode_word(w), "<i4").tolist() for w in words}
 
 
+def test_sentencepiece_query_decodes_its_ids(spark, rows, tmp_path):
+    from bandwalk.llm.queries import op2_sentencepiece
+
+    spark.createDataFrame(rows, plain.SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = Counter((r["doc_id"], r["n_chars"], r["text_sha256"]) for r in op2_sentencepiece(spark, str(tmp_path)).collect())
+    assert got == Counter((r[0], len(r[1] or ""), hashlib.sha256((r[1] or "").encode()).hexdigest()) for r in rows)
+
+
 def test_sentencepiece_odd_rows(spark, monkeypatch):
     import sentencepiece as sp
 

@@ -10,8 +10,11 @@ merge-scanned into one of the next rank.
 
 An entry with several places is repeated as a whole.  Where a key has several entries (the
 edges of a repeat), the windows themselves are compared: as rows of bytes for ordinary
-keys, and as rows of hashes, which any number of tasks can share, for keys with very many
-entries.  Every comparison uses 64-bit hashes of the bytes together with the key's own.
+keys.  Keys with very many entries are shared by any number of tasks: their windows form blocks
+by where the key's k-gram stands in them.  A block whose bytes occur elsewhere repeats as a
+whole, one without another that has the bytes common to its windows not at all; only windows of
+the blocks between, at the ends of repeats, become rows.  Every comparison uses 64-bit hashes
+of the bytes together with the key's own.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ from .common import column_bytes, cut, discard, mix64, pieces_of, prefix_hash, r
 
 GRAM = 40
 HOT = 2000
+#: Windows in a block of a hot key.
+SPAN = 16
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -175,7 +180,43 @@ def _compare(length: int, block: int = 20_000):
     return run
 
 
-def _explode(length: int):
+def _blocks(length: int, gram: int):
+    """Blocks of windows of hot keys: hash of the bytes all windows of such a block have, hash of all its bytes, the bytes."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for i in range(0, b.num_rows, 5000):
+                c = b.slice(i, 5000)
+                data, at = column_bytes(c.column("bytes"))
+                n = np.diff(at) - length + 1
+                row = np.repeat(np.arange(c.num_rows), n)
+                s = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + at[row]
+                h, key = prefix_hash(data), c.column("key").to_numpy().view(np.uint64)
+                g = np.arange(len(data) - gram + 1)
+                owner = np.searchsorted(at, g, "right") - 1
+                spots = np.flatnonzero((range_hash(h, g, g + gram) == key[owner]) & (g + gram <= at[owner + 1]))
+                spot = spots[np.searchsorted(spots, s)]  # every window holds the k-gram of its key
+                block = (spot - s) // SPAN
+                new = np.ones(len(row), bool)
+                new[1:] = (row[1:] != row[:-1]) | (spot[1:] != spot[:-1]) | (block[1:] != block[:-1])
+                first = np.flatnonzero(new)
+                count = np.diff(np.append(first, len(row)))
+                row, spot, block, lo = row[first], spot[first], block[first], s[first]
+                core = spot - SPAN * block
+                mark = mix64(key[row] + block.astype(np.uint64))
+                raw = data.tobytes()
+                up = pa.array(row)
+                hashes = [mix64(range_hash(h, core, core + length - SPAN + 1) ^ mark), mix64(range_hash(h, lo, lo + count + length - 1) ^ ~mark)]
+                cols = [*(c.column(f).take(up) for f in ("doc_id", "th", "key", "places")), pa.array((c.column("start").to_numpy()[row] + lo - at[row]).astype(np.int32)), pa.array(count.astype(np.int32))]
+                cols += [pa.array(x.view(np.int64)) for x in hashes] + [pa.array([raw[x : x + k + length - 1] for x, k in zip(lo, count, strict=True)], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "th", "key", "places", "start", "count", "core", "whole", "bytes"])
+
+    return run
+
+
+def _windows(length: int):
     def run(batches):
         import pyarrow as pa
 
@@ -184,12 +225,30 @@ def _explode(length: int):
                 c = b.slice(i, 5000)
                 row, offset, h = _window_hashes(c, length)
                 at = pa.array(row)
-                cols = [*(c.column(f).take(at) for f in ("doc_id", "th", "ctx", "places")), pa.array((c.column("start").to_numpy()[row] + offset).astype(np.int32)), pa.array(h.view(np.int64))]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "th", "ctx", "places", "start", "h"])
+                cols = [*(c.column(f).take(at) for f in ("doc_id", "th", "places", "unsure")), pa.array((c.column("start").to_numpy()[row] + offset).astype(np.int32)), pa.array(h.view(np.int64))]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "th", "places", "unsure", "start", "h"])
 
     return run
 
 
+def _hot_spans(contexts: DataFrame, length: int, gram: int) -> DataFrame:
+    """``doc_id, th, start, count`` of the repeated windows of single entries of hot keys."""
+    blocks = contexts.mapInArrow(_blocks(length, gram), "doc_id long, th long, key long, places int, start int, count int, core long, whole long, bytes binary")
+    blocks = cut(blocks, "blocks")
+    several = lambda by: blocks.groupBy(by).agg(F.count("*").alias("t"), F.max("places").alias("p")).where("t > 1 or p > 1").select(by)
+    known = blocks.select("doc_id", "th", "places", "start", "count", "core", "whole").join(several("core"), "core", "left_semi")
+    known = known.join(several("whole").withColumn("same", F.lit(True)), "whole", "left").withColumn("same", F.coalesce("same", F.lit(False)))
+    known = cut(known, "known")
+    sure = known.where("same and places = 1").select("doc_id", "th", "start", "count")
+    unsure = known.where("not same and places = 1").select("core").distinct()
+    rows = blocks.join(unsure, "core", "left_semi").join(known.where("not same").select("doc_id", "th", "start", F.lit(True).alias("unsure")).distinct(), ["doc_id", "th", "start"], "left")
+    hashes = rows.select("doc_id", "th", "key", "places", F.coalesce("unsure", F.lit(False)).alias("unsure"), "start", "bytes")
+    hashes = cut(hashes.mapInArrow(_windows(length), "doc_id long, th long, places int, unsure boolean, start int, h long"), "windows")
+    twice = hashes.groupBy("h").agg(F.count("*").alias("t"), F.max("places").alias("p")).where("t > 1 or p > 1").select("h")
+    edge = hashes.where("unsure and places = 1").join(twice, "h", "left_semi").select("doc_id", "th", "start", F.lit(1).alias("count"))
+    return sure.unionByName(edge)
+
+
 def _remove(length: int):
     def run(batches):
         import pyarrow as pa
@@ -285,9 +344,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = GRAM, batches
     contexts = cut(contexts, "contexts")
     plain = contexts.where("not hot").repartition("key").sortWithinPartitions("key")
     edge = plain.mapInArrow(_compare(length), "doc_id long, th long, start int, count int")
-    hashes = contexts.where("hot").mapInArrow(_explode(length), "doc_id long, th long, ctx long, places int, start int, h long")
-    known = hashes.groupBy("h").agg(F.count("*").alias("t"), F.max("places").alias("p")).where("t > 1 or p > 1").select("h")
-    wide = hashes.where("places = 1").join(known, "h", "left_semi").select("doc_id", "th", "start", F.lit(1).alias("count"))
+    wide = _hot_spans(contexts.where("hot"), length, gram)
     spans = spans.unionByName(cut(edge, "edge")).unionByName(cut(wide, "wide"))
     spans = spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "count")).alias("spans"))
     none = F.array().cast("array<struct<start:int,count:int>>")

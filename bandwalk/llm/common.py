@@ -15,6 +15,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares; a test session that names none gets one of its own."""
     base = spark.sparkContext.getConf().get(CHECKPOINT_KEY) or spark.conf.get(CHECKPOINT_KEY, None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
         base = "/tmp/bandwalk-shared"
         spark.conf.set(CHECKPOINT_KEY, base)
     return base.rstrip("/")
@@ -31,6 +33,19 @@ def cut(df: DataFrame, name: str = "t") -> DataFrame:
     return out
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many leading underscores as keep it apart from the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    return ["_" * next(k for k in range(1, len(taken) + 2) if "_" * k + x not in taken) + x for x in names]
+
+
+def hash_sample(df: DataFrame, most: int, *keys: str) -> DataFrame:
+    """About ``most`` rows at most, by a threshold on the hash of ``keys``: what is sent does not grow with the partitions."""
+    n = df.count()
+    share = 1.0 if n <= most else most / n
+    return df.where(F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
 def discard(df: DataFrame) -> None:
     """Delete the table of a ``cut`` whose successor is written."""
     spark = df.sparkSession

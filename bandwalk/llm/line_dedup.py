@@ -2,14 +2,18 @@
 
 A line is the set of its lower-cased words.  Words are ordered by rarity: their number of
 occurrences over all documents, counted in a fixed number of buckets (so the table has a
-proven size), then by hash.  Two lines of similarity ``percent`` share two words (or all, if
-they need fewer) within short prefixes of that order, at positions and sizes that leave room
-for the overlap needed.
-What passes these filters is verified on the full sets.
-
-Copies never meet as pairs: lines with equal sets keep only their first in the index.  Each
-posting first compares its lines with its earliest one; only lines still open are compared
-with the rest.  A later line goes if any earlier line, kept or not, is similar.
+proven size), then by hash.  Lines with equal sets (by 128 bits of hash) are one class, which
+its earliest line stands for; groups of copies shrink to it before anything is shuffled.
+
+The prefix filter takes neighbours in that order: of two similar sets with ``a`` and ``b`` words
+of their own, each own word parts one pair of common neighbours at most, so one of the first
+``a + b + 1`` such pairs is whole in both, among the first ``2 + 2a + b`` words.  A class is posted
+under each pair of neighbours of its prefix; two classes that meet go on if their sizes and the
+positions leave room for the overlap needed.  Classes too small for any other set to be
+similar are not posted.  Each posting first compares its classes with the one of most copies;
+what stays open meets the earlier rest.  All is verified on the full sets.  A class goes if any
+earlier one, kept or not, is similar.  Keys that seem to hold more than a thousandth of all
+postings take a broadcast of that class and never gather in one task.
 """
 
 from __future__ import annotations
@@ -19,119 +23,159 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard, unused
 
-BUCKETS = 1 << 15
-#: Words that two similar lines have to share within their prefixes, which are longer by one word less.
-SHARED = 2
+BUCKETS = 1 << 17
+#: A key is hot if it holds more than one in so many postings; there are at most as many hot keys.
+HOT_SHARE = 1000
+#: Hot keys are looked for in one of so many classes; which keys are hot changes no result.
+HOT_SAMPLE = 64
+#: Postings that no key is hot below.
+HOT_LEAST = 256
 LINE = ("d", "th", "ln")
 
 
-def _words(col) -> object:
-    return F.array_remove(F.split(F.lower(col), r"\s+"), "")
+def _folded(text) -> Column:
+    """Lower-cased text with spaces for other white space but newlines: then a split needs no pattern."""
+    low = F.lower(text)
+    return F.when(low.rlike(r"[\t\x0B\f\r]"), F.regexp_replace(low, r"[\t\x0B\f\r]", " ")).otherwise(low)
+
+
+def _words(line) -> Column:
+    return F.array_remove(F.split(line, " "), "")
 
 
 def rarity(src: DataFrame, buckets: int = BUCKETS) -> Column:
-    """A literal with one entry for each bucket: its words' occurrences on a logarithmic scale, 0 to 127, as a code's top byte.
+    """A literal with one entry for each bucket: its words' occurrences on a logarithmic scale, 0 to 127.
 
     What reaches the driver is one count a bucket, whatever the size of the input.
     """
-    words = src.select(F.explode(F.split(F.lower("text"), r"\s+")).alias("w"))
+    words = src.select(F.explode(F.split(F.replace(_folded("text"), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
     counts = dict(words.groupBy(F.pmod(F.xxhash64("w"), F.lit(buckets)).alias("b")).count().collect())
-    scale = (min(127, round(3 * math.log2(counts[b]))) << 56 if b in counts else 0 for b in range(buckets))
-    return F.expr("cast(split('" + ",".join(map(str, scale)) + "', ',') AS array<bigint>)")
+    scale = (min(127, round(3 * math.log2(counts[b]))) if b in counts else 0 for b in range(buckets))
+    return F.expr("cast(split('" + ",".join(map(str, scale)) + "', ',') AS array<tinyint>)")
 
 
 def token_codes(line: str, scale: Column, buckets: int = BUCKETS) -> Column:
-    """Sorted distinct codes of a line's words, rarest first: rarity in the top byte, 56 bits of hash below."""
+    """Sorted distinct codes of a folded line's words, rarest first: rarity in the top byte, 56 bits of hash below."""
     hashes = F.transform(_words(F.col(line)), lambda w: F.xxhash64(w))
     return F.sort_array(F.array_distinct(F.transform(hashes, lambda h: _code(h, scale, buckets))))
 
 
 def _code(h: Column, scale: Column, buckets: int) -> Column:
-    rare = F.get(scale, F.pmod(h, F.lit(buckets)).cast("int"))
-    return rare.bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
+    rare = F.get(scale, F.pmod(h, F.lit(buckets)).cast("int")).cast("long")
+    return F.shiftleft(rare, 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
+
+
+def _source(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("d"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
-def line_matches(docs: DataFrame, percent: int = 90, min_words: int = 1) -> DataFrame:
-    """Lines ``(d, th, ln)`` to remove: id, hash of the text, number of the line from 0."""
-    lines, scale, fits, enough = _prepare(docs, percent, min_words)
+def classes(src: DataFrame, scale: Column, percent: int, min_words: int) -> DataFrame:
+    """``s, d, th, ln, n, p, copies``: per class its earliest line, size, prefix (empty if nothing else can be similar), lines."""
+    lines = src.where("text <> ''").select("d", "th", F.posexplode(F.split(_folded("text"), "\n")).alias("ln", "line"))
     # A filter on the size of the codes would move below their projection and compute them twice.
-    coded = lines.where(F.col("line").rlike(r"\S")).withColumn("t", token_codes("line", scale)).withColumn("n", F.size("t"))
+    coded = lines.where(F.col("line").rlike(r"\S")).withColumn("t", token_codes("line", scale))
+    # a + b * percent / 100 is at most n * (100 - percent) / 100, so twice a and once b is at most ``own``.
+    own = f"greatest(2 * {100 - percent} * size(t) div 100, {100 - percent} * size(t) div {percent})"
+    prefix = F.expr(f"if({100 - percent} * size(t) >= {percent}, slice(t, 1, cast(2 + {own} AS int)), slice(t, 1, 0))")
+    coded = coded.select(*LINE, F.size("t").alias("n"), F.xxhash64("t").alias("s"), F.xxhash64(F.lit(1), "t").alias("s2"), prefix.alias("p"))
     if min_words > 1:
         coded = coded.where(F.col("n") >= min_words)
-    coded = coded.withColumn("sh", F.xxhash64("t"))
-    prefix = F.expr(f"slice(t, 1, n - ({percent} * n + 99) div 100 + {SHARED})")
-    # Similar lines stand in the same size class or in neighbouring ones.
-    size_class = F.floor(F.log("n") / math.log(100 / percent) + 1e-9).cast("int") if percent < 100 else F.col("n")
-    rows = coded.select(*LINE, "n", size_class.alias("k"), "sh", F.posexplode(prefix).alias("i", "tok")).repartition("tok")
-    order = [F.col(c) for c in LINE]
-    copy = Window.partitionBy("tok", "k", "sh", "n").orderBy(*order)
-    rows = rows.withColumn("nth", F.rank().over(copy))
-    beside = Window.partitionBy("tok").orderBy("k", "sh", "n", *order)
-    rows = rows.withColumn("k1", F.lag("k").over(beside)).withColumn("k2", F.lead("k").over(beside))
-    me = F.struct(*LINE, "n", "i")
-    kept = rows.withColumn("lead", F.min(F.when(F.col("nth") == 1, me)).over(Window.partitionBy("tok")))
-    post = cut(kept.where("(nth > 1 and i = 0) or (nth = 1 and (k1 >= k - 1 or k2 <= k + 1))").select(*LINE, "n", "k", "i", "tok", "nth", "lead"), "post")
-    gone = post.where("nth > 1").select(*LINE)
-    first = post.where("nth = 1").drop("nth")
-    star = first.where("struct(d, th, ln) <> struct(lead.d, lead.th, lead.ln)").selectExpr(*LINE, "n", "i", "lead.d AS d2", "lead.th AS th2", "lead.ln AS ln2", "lead.n AS n2", "lead.i AS i2", "tok")
-    done = _verified(cut(_sharing(star.where(fits), enough), "star"), lines, scale, percent)
-    open_ = first.join(done, list(LINE), "left_anti").select(*LINE, "n", "i", "tok", F.explode(F.expr("sequence(k - 1, k + 1)")).alias("k"))
-    other = first.selectExpr("d AS d2", "th AS th2", "ln AS ln2", "n AS n2", "k", "i AS i2", "tok")
-    rest = open_.join(other, ["tok", "k"]).where("struct(d2, th2, ln2) < struct(d, th, ln)").where(fits)
-    rest = cut(_sharing(rest, enough), "rest")
-    out = gone.unionByName(done)
-    if not rest.isEmpty():
-        out = out.unionByName(_verified(rest, lines, scale, percent))
-    return out.distinct()
-
-
-def _sharing(pairs: DataFrame, enough: str) -> DataFrame:
-    """Pairs of lines that share as many prefix words as similar ones must."""
-    count = pairs.groupBy(*LINE, "d2", "th2", "ln2").agg(F.size(F.collect_set("tok")).alias("c"), F.expr(f"{enough} AS wanted"))
-    return count.where("c >= wanted").select(*LINE, "d2", "th2", "ln2")
+    first = coded.groupBy("s", "s2").agg(F.min(F.struct(*LINE, "n", "p")).alias("e"), F.count("*").alias("copies"))
+    return first.select("s", "e.*", "copies")
 
 
-def _prepare(docs: DataFrame, percent: int, min_words: int):
-    src = _source(docs)
-    scale = rarity(src)
-    lines = src.where("text <> ''").select("d", "th", F.posexplode(F.split("text", "\n")).alias("ln", "line"))
-    need = f"(({percent} * (n + n2) + {99 + percent}) div {100 + percent})"
-    fits = f"least(n, n2) * 100 >= {percent} * greatest(n, n2) and {SHARED} + least(n - i - 1, n2 - i2 - 1) >= {need}"
-    return lines, scale, fits, f"least({SHARED}, max({need}))"
+def _postings(reps: DataFrame) -> DataFrame:
+    """``key, s, d, ln, n, i, copies``: one row per pair of neighbours in a prefix."""
+    pairs = F.posexplode(F.expr("transform(slice(p, 2, size(p)), (y, i) -> xxhash64(p[i], y))")).alias("i", "key")
+    return reps.where("size(p) > 1").select("s", "d", "ln", "n", "copies", pairs)
 
 
-def _source(docs: DataFrame) -> DataFrame:
-    src = docs.withColumn("__text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return src.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("d"), F.xxhash64("__text").alias("th"), F.col("__text").alias("text"))
-
+def line_matches(src: DataFrame, reps: DataFrame, scale: Column, percent: int) -> DataFrame:
+    """``s`` of the classes that an earlier class is similar to.
 
-def _verified(pairs: DataFrame, lines: DataFrame, scale: str, percent: int) -> DataFrame:
-    """Lines of ``pairs`` whose full sets are similar."""
-    ends = pairs.selectExpr("explode(array(struct(d, th, ln), struct(d2 AS d, th2 AS th, ln2 AS ln))) AS e").select("e.*").distinct()
-    full = cut(lines.join(ends, list(LINE), "left_semi").dropDuplicates(list(LINE)), "lines").withColumn("t", token_codes("line", scale))
-    left, right = full.drop("line"), full.selectExpr("d AS d2", "th AS th2", "ln AS ln2", "t AS t2")
-    both = pairs.join(left, list(LINE)).join(right, ["d2", "th2", "ln2"]).withColumn("k", F.size(F.array_intersect("t", "t2")))
-    return cut(both.where(f"100 * k >= {percent} * (size(t) + size(t2) - k)").select(*LINE).distinct(), "done")
+    ``src`` is ``(d, th, text)`` and ``reps`` what ``classes`` makes of it.
+    """
+    post = _postings(reps)
+    overlap = "least(i, i2) + 2 + least(n - i - 2, n2 - i2 - 2)"
+    need = f"({percent} * (n + n2) + {99 + percent}) div {100 + percent}"
+    fits = f"least(n, n2) * 100 >= {percent} * greatest(n, n2) and {overlap} >= {need}"
+    # Near copies resemble the line they were made from, which most copies are of, more than each other.
+    me, by = F.struct((-F.col("copies")).alias("few"), "d", "ln", "s", "n", "i"), Window.partitionBy("key")
+    hot = _hot_keys(reps)
+    if hot is not None:
+        hot_rows = post.join(F.broadcast(hot), "key", "left_semi")
+        led = cut(hot_rows.groupBy("key").agg(F.min(me).alias("lead"), F.count("*").alias("c")), "hot")
+        hot_rows = hot_rows.join(F.broadcast(led), "key")
+        post = post.join(F.broadcast(hot), "key", "left_anti")
+    post = post.withColumn("c", F.count("*").over(by)).withColumn("lead", F.min(me).over(by)).where("c > 1")
+    if hot is not None:
+        post = post.unionByName(hot_rows)
+    post = cut(post, "post")
+    star = post.where("s <> lead.s").selectExpr("s", "n", "i", "lead.s AS s2", "lead.n AS n2", "lead.i AS i2").where(fits)
+    star = cut(star.select(F.least("s", "s2").alias("a"), F.greatest("s", "s2").alias("b")).distinct(), "pairs")
+    done = _verified(star, reps, src, scale, percent)
+    open_ = post.where("c > 2 and s <> lead.s").join(done, "s", "left_anti").select("key", "s", "d", "ln", "n", "i", F.col("lead.s").alias("led"))
+    other = post.where("c > 2").selectExpr("key", "s AS s2", "d AS d2", "ln AS ln2", "n AS n2", "i AS i2")
+    rest = open_.join(other, "key").where("s2 <> s and s2 <> led and struct(d2, ln2) <= struct(d, ln)").where(fits)
+    rest = cut(rest.select(F.least("s", "s2").alias("a"), F.greatest("s", "s2").alias("b")).distinct().join(star, ["a", "b"], "left_anti"), "rest")
+    if not rest.isEmpty():
+        done = done.unionByName(_verified(rest, reps, src, scale, percent))
+    for t in (post, star, rest):
+        discard(t)
+    return done
+
+
+def _hot_keys(reps: DataFrame) -> DataFrame | None:
+    """The keys that hold more than a ``HOT_SHARE``-th of the postings looked at: at most ``HOT_SHARE`` rows."""
+    sizes = _postings(reps.where(F.pmod("s", F.lit(HOT_SAMPLE)) == 0)).groupBy("key").count()
+    total = sizes.agg(F.sum("count")).first()[0] or 0
+    hot = sizes.where(F.col("count") > max(HOT_LEAST // HOT_SAMPLE, total // HOT_SHARE)).select("key")
+    return None if hot.isEmpty() else cut(hot, "hot")
+
+
+def _verified(pairs: DataFrame, reps: DataFrame, src: DataFrame, scale: Column, percent: int) -> DataFrame:
+    """``s`` of the later class of every pair ``(a, b)`` whose full sets are similar."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()
+    at = reps.select("s", *LINE).join(ends, "s").groupBy("d", "th").agg(F.collect_list(F.struct("ln", "s")).alias("at"))
+    full = src.join(at, ["d", "th"]).select("d", "th", "at", F.split(_folded("text"), "\n").alias("parts"))
+    full = full.select("d", "th", F.explode(F.transform("at", lambda e: F.struct(e["ln"].alias("ln"), e["s"].alias("s"), F.get("parts", e["ln"]).alias("line")))).alias("e"))
+    full = full.select("d", "th", "e.*").dropDuplicates(["s", *LINE]).withColumn("t", token_codes("line", scale))
+    full = cut(full.select("s", F.struct(*LINE).alias("place"), "t"), "sets")
+    both = pairs.join(full.toDF("a", "place", "t"), "a").join(full.toDF("b", "place2", "t2"), "b").withColumn("k", F.size(F.array_intersect("t", "t2")))
+    both = both.where(f"100 * k >= {percent} * (size(t) + size(t2) - k)")
+    done = cut(both.select(F.when(F.col("place") < F.col("place2"), F.col("b")).otherwise(F.col("a")).alias("s")).distinct(), "done")
+    discard(full)
+    return done
 
 
 def dedup_lines(docs: DataFrame, percent: int = 90, min_words: int = 1) -> DataFrame:
     """All columns of ``docs(doc_id, text, ...)`` with ``text`` freed of later similar lines, and ``n_lines``, ``n_removed``.
 
     Lines are what newlines separate; order is by doc_id, text hash and line.  Lines without
-    words, or with fewer than ``min_words``, stay.  Null and empty texts stay as they are and
-    have no lines.  Rows that repeat both id and text are one document: all get the same
-    text.  Rows without id come last in the order.  Extra columns, whatever their names, are
-    kept; columns called n_lines or n_removed are replaced.
+    words, or with fewer than ``min_words`` different ones, stay.  Null and empty texts stay as
+    they are and have no lines.  Rows that repeat both id and text are one document: all get
+    the same text.  Rows without id come last in the order.  Extra columns, whatever their
+    names, are kept; columns called n_lines or n_removed are replaced.  A table without rows
+    gives none.
     """
-    gone = line_matches(docs, percent, min_words).groupBy("d", "th").agg(F.collect_set("ln").alias("__gone"))
+    src = _source(docs)
+    scale = rarity(src)
+    reps = cut(classes(src, scale, percent, min_words), "classes")
+    kept = reps.join(line_matches(src, reps, scale, percent), "s", "left_anti")
     extra = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    src = docs.select(*extra, F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("__d"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("__th"))
-    out = src.join(gone.withColumnRenamed("d", "__d").withColumnRenamed("th", "__th"), ["__d", "__th"], "left")
-    parts = F.split("text", "\n")
-    left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    n = F.when(F.col("text").isNull() | (F.col("text") == ""), 0).otherwise(F.size(parts)).cast("long")
-    out = out.withColumn("n_lines", n).withColumn("n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
-    out = out.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left))
-    return out.select(*extra, "n_lines", F.greatest("n_removed", F.lit(0)).cast("long").alias("n_removed"))
+    d, th, stay, parts, rows = unused(docs, "d", "th", "stay", "parts", "rows")
+    kept = kept.groupBy(F.col("d").alias(d), F.col("th").alias(th)).agg(F.collect_list("ln").alias(stay))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    out = docs.select(*extra, F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias(d), F.xxhash64(text).alias(th))
+    out = out.join(kept, [d, th], "left").withColumn(parts, F.split(text, "\n"))
+    few = (lambda x: ~x.rlike(r"\S")) if min_words == 1 else (lambda x: F.size(F.array_distinct(_words(_folded(x)))) < min_words)
+    free = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: few(F.get(parts, i)))
+    out = out.withColumn(rows, F.sort_array(F.concat(F.coalesce(stay, F.array().cast("array<int>")), free)))
+    whole = (text == "") | (F.size(rows) == F.size(parts))
+    left = F.array_join(F.transform(rows, lambda i: F.get(parts, i)), "\n")
+    n = F.when(text == "", 0).otherwise(F.size(parts)).cast("long")
+    out = out.withColumns({"n_lines": n, "n_removed": F.when(whole, 0).otherwise(F.size(parts) - F.size(rows)).cast("long"), "text": F.when(whole, F.col("text")).otherwise(left)})
+    return out.select(*extra, "n_lines", "n_removed")

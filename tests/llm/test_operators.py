@@ -27,6 +27,36 @@ def empty(spark):
     return spark.createDataFrame([], plain.SCHEMA)
 
 
+def test_line_dedup_in_a_crowd(spark, monkeypatch):
+    rng, rows = np.random.default_rng(11), []
+    for i in range(90):
+        words = [f"t{k}" for k in range(30)]
+        for k in rng.choice(30, i % 5, replace=False):
+            words[k] = f"new{i}_{k}" if i % 3 else f"new{k}"
+        rows.append((i, "\n".join([" ".join(words[: 30 - i % 4]), "same line", f"row {i % 7} of nine words that all lines share here"])))
+    for i in range(90, 150):  # pairs of any size, with words of their own on both sides
+        words = [f"u{i}_{k}" for k in range(9 + i % 30)]
+        other = words[: len(words) - int(rng.integers(0, 1 + len(words) // 8))] + [f"v{i}_{k}" for k in range(rng.integers(0, 1 + len(words) // 8))]
+        rows.append((i, "\n".join(" ".join(rng.permutation(x).tolist()) for x in (words, other))))
+    want = {k[0]: v for k, v in plain.similar_lines(rows).items()}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(line_dedup, "HOT_LEAST", 2)
+    monkeypatch.setattr(line_dedup, "HOT_SAMPLE", 1)
+    for share in (1, 40):  # without and with hot keys
+        monkeypatch.setattr(line_dedup, "HOT_SHARE", share)
+        for r in line_dedup.dedup_lines(df).collect():
+            gone = want.get(r["doc_id"], set())
+            assert r["n_removed"] == len(gone)
+            assert r["text"] == "\n".join(x for k, x in enumerate(rows[r["doc_id"]][1].split("\n")) if k not in gone)
+
+
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a b", 5, 6, 7, "x"), (2, "A  b", 5, 6, 7, "y"), (2, "A  b", 5, 6, 7, "y")], "doc_id long, text string, _d int, __th int, th int, _parts string")
+    out = line_dedup.dedup_lines(df)
+    assert out.columns == [*df.columns, "n_lines", "n_removed"]
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "a b", 5, 6, 7, "x", 1, 0)] + [(2, "", 5, 6, 7, "y", 1, 1)] * 2
+
+
 def test_components(spark):
     edges = [(5, 4), (4, 9), (9, 2), (7, 8), (8, 7), (3, 3)] + [(100 + i, 101 + i) for i in range(30)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

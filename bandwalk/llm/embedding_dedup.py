@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, hash_sample
 
 BLOCK = 1024
 SAMPLE = 20_000
@@ -59,7 +59,7 @@ def _assign(centroids: dict[int, np.ndarray], margin: float):
 
         for b in batches:
             ids, units = b.column("rep").to_numpy(), b.column("unit")
-            rows, cells, home = [], [], []
+            rows, cells, home, own_cell, seen = [], [], [], np.zeros(len(ids), np.int64), [[]] * len(ids)
             size = np.array([len(u.as_buffer()) // 8 for u in units], np.int64)
             for d in np.unique(size):
                 at = np.flatnonzero(size == d)
@@ -71,15 +71,19 @@ def _assign(centroids: dict[int, np.ndarray], margin: float):
                     best = dots.argmax(1)
                     r, c = np.nonzero(dots >= dots[np.arange(len(at)), best][:, None] - margin)
                     own = best[r] == c
+                c = c + (int(d) << 32)
                 rows.append(at[r])
-                cells.append(c + (int(d) << 32))
+                cells.append(c)
                 home.append(own)
+                own_cell[at[r[own]]] = c[own]
+                for i, part in zip(at, np.split(c, np.searchsorted(r, np.arange(1, len(at)))), strict=True):
+                    seen[i] = part
             if not rows:
                 continue
             rows = np.concatenate(rows)
             take = pa.array(rows)
-            cols = [pa.array(ids[rows]), b.column("times").take(take), pa.array(np.concatenate(cells)), pa.array(np.concatenate(home)), units.take(take)]
-            yield pa.RecordBatch.from_arrays(cols, names=["rep", "times", "cell", "home", "unit"])
+            cols = [pa.array(ids[rows]), b.column("times").take(take), pa.array(np.concatenate(cells)), pa.array(np.concatenate(home)), pa.array(own_cell[rows]), pa.array(seen, pa.list_(pa.int64())).take(take), units.take(take)]
+            yield pa.RecordBatch.from_arrays(cols, names=["rep", "times", "cell", "home", "at", "seen", "unit"])
 
     return run
 
@@ -122,6 +126,18 @@ def _compare(cosine: float):
         n = hit @ right["times"].to_numpy()
         i, j = _forest(hit)
         count = pd.DataFrame({"kind": 0, "a": a[n > 0], "b": n[n > 0]})
+        # A visitor whose own cell the other end does not visit counts the link here.
+        home = right["at"].to_numpy()
+        p, q = np.nonzero(hit & (home != key[0])[None, :])
+        seen = np.full((len(x), max(map(len, left["seen"]), default=0)), -1, np.int64)
+        for k, cells in enumerate(left["seen"]):
+            seen[k, : len(cells)] = cells
+        back = np.zeros(len(y), np.int64)
+        for k in range(0, len(p), 1 << 16):
+            i2, j2 = p[k : k + (1 << 16)], q[k : k + (1 << 16)]
+            once = ~(seen[i2] == home[j2][:, None]).any(1)
+            np.add.at(back, j2[once], left["times"].to_numpy()[i2[once]])
+        count = pd.concat([count, pd.DataFrame({"kind": 0, "a": b[back > 0], "b": back[back > 0]})])
         return pd.concat([count, pd.DataFrame({"kind": 1, "a": a[i], "b": b[j]})]).astype("int64")
 
     return run
@@ -133,8 +149,9 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, cells: int | None = No
     Links join vectors of equal length whose cosine is at least ``cosine``.  Vectors that
     are null, empty, zero or hold null or non-finite components link with nothing.  Rows
     with a null id link with nothing and are kept.  Repeated rows of one id are one vector
-    to the count of others.  Centroids come from at most ``sample`` rows; every row is
-    assigned and compared.  Labels and other columns are ignored.
+    to the count of others.  Centroids come from about ``sample`` rows, so cells number an
+    eighth of it at most; every row is assigned and compared.  A link found from one side counts
+    for both ends.  Labels and other columns are ignored.
     """
     spark = vectors.sparkSession
     src = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
@@ -143,22 +160,23 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, cells: int | None = No
     same = good.distinct().groupBy("unit").agg(F.min("vec_id").alias("rep"), F.count("*").alias("times"))
     classes = cut(same, "classes")
     n = classes.count()
-    # a sample for the centroids only: the smallest hashes, a fixed number of rows
-    picked = classes.select("unit").orderBy(F.xxhash64("unit"), "unit").limit(sample).collect()
+    # a sample for the centroids only, by a threshold on the hash
+    picked = hash_sample(classes, sample, "unit").select("unit").collect()
+    picked.sort(key=lambda r: r["unit"])
     by_size: dict[int, list] = {}
     for r in picked:
         by_size.setdefault(len(r["unit"]) // 8, []).append(np.frombuffer(r["unit"]))
     centroids = {}
     for d, rows in by_size.items():
-        k = min(cells or max(1, round(n / 2000)), 1024, max(1, len(rows) // 8))
+        k = min(cells or max(1, round(n / 2000)), max(1, len(rows) // 8))
         centroids[d] = spherical_kmeans(np.stack(rows), k)
-    placed = cut(classes.mapInArrow(_assign(centroids, margin), "rep long, times long, cell long, home boolean, unit binary"), "placed")
+    placed = cut(classes.mapInArrow(_assign(centroids, margin), "rep long, times long, cell long, home boolean, at long, seen array<long>, unit binary"), "placed")
     held = placed.where("home").groupBy("cell").agg(F.count("*").alias("held"))
     visits = placed.groupBy("cell").agg(F.count("*").alias("visits"))
     shape = held.join(visits, "cell").select("cell", F.ceil(F.col("held") / block).cast("int").alias("rows"), F.ceil(F.col("visits") / (4 * block)).cast("int").alias("cols"))
     dealt = placed.join(shape, "cell").withColumn("h", F.xxhash64("rep"))
-    left = dealt.where("home").select("cell", F.pmod("h", "rows").cast("int").alias("r"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("c"), "rep", "times", "unit")
-    right = dealt.select("cell", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("r"), F.pmod("h", "cols").cast("int").alias("c"), "rep", "times", "unit")
+    left = dealt.where("home").select("cell", F.pmod("h", "rows").cast("int").alias("r"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("c"), "rep", "times", "seen", "unit")
+    right = dealt.select("cell", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("r"), F.pmod("h", "cols").cast("int").alias("c"), "rep", "times", "at", "unit")
     right = right.toDF(*right.columns)
     keys = ("cell", "r", "c")
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_compare(cosine), "kind long, a long, b long")

@@ -273,12 +273,16 @@ def test_vectors(spark):
 
 
 def test_vector_recall(spark):
-    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    x = np.array([r[0] for r in df.orderBy("vec_id").select("embedding").collect()], np.float64)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    hit = x @ x.T >= 0.9
-    got = embedding_dedup.near_vectors(df, cells=8).agg({"n_links": "sum"}).first()[0]
-    assert 0.9 * (hit.sum() - len(x)) <= got <= hit.sum() - len(x)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(2400, 24)) + 2 * rng.normal(size=(12, 24))[rng.integers(0, 12, 2400)]
+    x[1200:] = x[:1200] + 0.33 * np.linalg.norm(x[:1200], axis=1, keepdims=True) * (v := rng.normal(size=(1200, 24))) / np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = (u @ u.T >= 0.9) & ~np.eye(len(u), dtype=bool)
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_vectors(df, cells=40, block=64).collect()}
+    n = sum(got.values())
+    assert hit.sum() > 1500 and n % 2 == 0 and 0.9 * hit.sum() <= n <= hit.sum()
+    assert all(got[i] <= k for i, k in enumerate(hit.sum(1)))
 
 
 def test_media(docs, rows, empty):
@@ -345,6 +349,8 @@ def test_quality(spark, empty):
     odd = spark.createDataFrame(plain.documents(), plain.SCHEMA).selectExpr("*", "cast(null AS string) AS source")
     assert quality.classify(odd, train).count() == len(plain.documents())
     assert quality.keep_good(odd, train).columns == odd.columns
+    clash = odd.withColumns({"__d": odd.doc_id, "_th": odd.lang, "__h": odd.n})
+    assert quality.keep_good(clash, train).columns == clash.columns and quality.keep_good(clash, train).count() == quality.keep_good(odd, train).count()
     assert quality.classify(odd, train.limit(0)).where("keep").count() == len(plain.documents())
 
 

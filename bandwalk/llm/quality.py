@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _SPACE, column_bytes, cut, pieces_of, prefix_hash, range_hash
+from .common import _SPACE, column_bytes, cut, discard, hash_sample, pieces_of, prefix_hash, range_hash, unused
 
 FEATURES = ("upper", "bang", "bar", "symbol", "digit", "repeat", "distinct", "length", "long_word", "newline")
 TRAINING_ROWS = 20_000
@@ -98,9 +98,9 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
 def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", training_rows: int = TRAINING_ROWS, threshold: float = 0.5) -> DataFrame:
     """``doc_id, th, evidence, host_quality, path_quality, quality, keep`` per row of ``docs``.
 
-    ``th`` is the hash of the text.  The logistic model is fitted on at most
-    ``training_rows`` labelled documents, those of the smallest id hash; site statistics
-    cover every document.  Without labels of both kinds the evidence is 0 for all.  Null
+    ``th`` is the hash of the text.  The logistic model is fitted on about
+    ``training_rows`` labelled documents, those whose hash is below a threshold; site
+    statistics cover every document.  Without labels of both kinds the evidence is 0 for all.  Null
     hosts and paths are sites of their own; null and empty texts have all features 0; a
     null id has no label.  Several labels of a document are averaged, repeated rows count
     as often as they stand.  Other columns are ignored.
@@ -109,8 +109,10 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     feats = cut(src.mapInArrow(_extract, "doc_id long, th long, host string, path string, x array<double>"), "features")
     truth = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y")).where("doc_id is not null and y is not null")
     truth = truth.groupBy("doc_id").agg(F.avg("y").alias("y"))
-    known = feats.join(truth, "doc_id").select("x", "y", F.xxhash64("doc_id").alias("h"), "th")
-    rows = known.orderBy("h", "th").limit(training_rows).select("x", "y").collect()
+    known = cut(feats.join(truth, "doc_id").select("doc_id", "th", "x", "y"), "labelled")
+    rows = hash_sample(known, training_rows, "doc_id", "th").collect()
+    discard(known)
+    rows.sort(key=lambda r: (r["doc_id"], r["th"]))
     y = np.array([float(r["y"] >= 0.5) for r in rows])
     k = len(FEATURES)
     if len(rows) and 0 < y.sum() < len(y):
@@ -153,8 +155,13 @@ def _strength(sites: DataFrame, n: str, s: str) -> tuple[float, float]:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that the classifier keeps, with all their columns."""
-    bad = classify(docs, labels, **options).where(~F.col("keep")).select(F.col("doc_id").alias("__d"), F.col("th").alias("__th")).distinct()
-    src = docs.withColumn("__h", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    match = F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.col("__h") == F.col("__th"))
+    """The rows of ``docs`` that the classifier keeps, with all their columns, whatever their names.
+
+    Rows that repeat id and text stay or go together; a null text counts as empty, a null id
+    as an id of its own.  A table without rows gives none.
+    """
+    d, th, h = unused(docs, "d", "th", "h")
+    bad = classify(docs, labels, **options).where(~F.col("keep")).select(F.col("doc_id").alias(d), F.col("th").alias(th)).distinct()
+    src = docs.withColumn(h, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    match = F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.col(h) == F.col(th))
     return src.join(bad, match, "left_anti").select(*docs.columns)

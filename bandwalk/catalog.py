@@ -83,11 +83,12 @@ query("p17_box_between", "v", "SELECT a.pos, b.x BETWEEN least(a.x, c.x) AND gre
     .select("pos", (K.box_between("ax", "bx", "cx") & K.box_between("ay", "by", "cy")).alias("inside"))
 )
 query("p18_selectivity", "iv v", "SELECT query_id, (end_pos - first_pos) / CAST((SELECT count(*) FROM v) AS DOUBLE) AS share FROM iv")(lambda v: exact.label_interval(v, fx.queries(v)).select("query_id", ((F.col("end_pos") - F.col("first_pos")) / F.lit(float(v.count()))).alias("share")))
-query("p22_selectivity_tag", "v", "SELECT pos, 'sel' || replace(regexp_replace(printf('%.3f', (pos + 1) / 1000.0 * 100), '\\.?0+$', ''), '.', 'p') || 'pct' AS tag FROM v WHERE pos < 50")(lambda v: v.where("pos < 50").select("pos", K.selectivity_tag((F.col("pos") + 1) / 1000).alias("tag")))
+query("p22_selectivity_tag", "v", "SELECT pos, 'sel' || replace(regexp_replace(printf('%.3f', (pos + 1) / 1000.0 * 100), '\\.?0+$', ''), '.', 'p') || 'pct' AS tag FROM v")(lambda v: v.select("pos", K.selectivity_tag((F.col("pos") + 1) / 1000).alias("tag")))
 
 # joins and candidates
 query("j4_band", "v", "SELECT a.pos AS src, b.pos AS dst FROM v a JOIN v b ON a.pos <> b.pos AND abs(a.pos - b.pos) <= 12")(lambda v: graph.band(v, 12))
-query("g4_band_capped", "v", "SELECT src, dst FROM (SELECT a.pos AS src, b.pos AS dst, row_number() OVER (PARTITION BY a.pos, b.pos > a.pos ORDER BY abs(a.pos - b.pos)) - 1 AS i, count(*) OVER (PARTITION BY a.pos, b.pos > a.pos) AS n FROM v a JOIN v b ON a.pos <> b.pos AND abs(a.pos - b.pos) <= 12) WHERE n <= 5 OR i IN (0, (n - 1) // 4, 2 * (n - 1) // 4, 3 * (n - 1) // 4, n - 1)")(lambda v: graph.band_capped(v, 12, 5))
+SPREAD = "SELECT pos AS src, {b} + CASE WHEN {q} = 1 AND {n} > 1 THEN {n} // 2 WHEN {q} >= {n} THEN k ELSE k * ({n} - 1) // ({q} - 1) END AS dst FROM z, range(0, 5) t(k) WHERE k < {q}"
+query("g4_band_capped", "v", ", y AS (SELECT pos, least(pos, 12) AS ln, least(12, (SELECT count(*) FROM v) - 1 - pos) AS rn FROM v), x AS (SELECT *, least(rn, 5 - least(ln, 3)) AS r0 FROM y), z AS (SELECT *, least(ln, 5 - r0) AS l, least(rn, 5 - least(ln, 5 - r0)) AS r FROM x) " + SPREAD.format(q="l", n="ln", b="(pos - ln)") + " UNION ALL " + SPREAD.format(q="r", n="rn", b="(pos + 1)"))(lambda v: graph.band_capped(v, 12, 5))
 query("j5_box_bands", "v", "SELECT DISTINCT src, dst FROM (SELECT a.vec_id AS src, b.vec_id AS dst FROM v a JOIN v b ON a.pos <> b.pos AND abs(a.pos - b.pos) <= 4 UNION ALL SELECT a.vec_id, b.vec_id FROM (SELECT vec_id, row_number() OVER (ORDER BY y, vec_id) AS p FROM v) a JOIN (SELECT vec_id, row_number() OVER (ORDER BY y, vec_id) AS p FROM v) b ON a.p <> b.p AND abs(a.p - b.p) <= 4)")(
     lambda v: _by_id(graph.band(v, 4), v).unionByName(_by_id(graph.band(w := exact.label_order(v.drop("pos"), "y"), 4), w)).distinct()
 )
@@ -172,7 +173,17 @@ def _unruled(v: DataFrame, knn: DataFrame, spans: DataFrame) -> DataFrame:
     return inside.join(ruled.distinct(), ["query_id", "src", "dst"], "left_anti").select("query_id", "src", "dst")
 
 
-query("d8_rng_in_range", "e iv", "SELECT query_id, count(*) AS edges FROM e JOIN iv ON dst >= first_pos AND dst < end_pos AND src >= first_pos AND src < end_pos GROUP BY query_id")(lambda v: fx.edges(v).join(exact.label_interval(v, fx.queries(v)), F.expr("dst >= first_pos and dst < end_pos and src >= first_pos and src < end_pos")).groupBy("query_id").agg(F.count("*").alias("edges")))
+query("d8_rng_in_range", "dom iv", "SELECT query_id, count(*) AS full, count(*) FILTER (NOT EXISTS (SELECT 1 FROM dom WHERE dom.src = k.src AND dom.dst = k.dst AND dom.by >= first_pos AND dom.by < end_pos)) AS kept FROM knn k JOIN iv ON dst >= first_pos AND dst < end_pos AND src >= first_pos AND src < end_pos GROUP BY query_id")(lambda v: _pruned_in_range(fx.knn(v), v, exact.label_interval(v, fx.queries(v))))
+ORACLE["d8_rng_in_range"] = ORACLE["d8_rng_in_range"].replace("count(*) FILTER (NOT EXISTS (SELECT 1 FROM dom WHERE dom.src = k.src AND dom.dst = k.dst AND dom.by >= first_pos AND dom.by < end_pos)) AS kept FROM knn k", "count(*) FILTER (free) AS kept FROM (SELECT query_id, NOT EXISTS (SELECT 1 FROM dom WHERE dom.src = k.src AND dom.dst = k.dst AND dom.by >= first_pos AND dom.by < end_pos) AS free FROM knn k").replace("src < end_pos GROUP BY", "src < end_pos) GROUP BY")
+
+
+def _pruned_in_range(knn: DataFrame, v: DataFrame, spans: DataFrame) -> DataFrame:
+    """Per query the edges inside its range, and those left by the strict rule among in-range neighbours."""
+    inside = knn.join(spans, F.expr("src >= first_pos and src < end_pos and dst >= first_pos and dst < end_pos")).select("query_id", "src", "dst")
+    free = _unruled(v, knn, spans).withColumn("free", F.lit(1))
+    return inside.join(free, ["query_id", "src", "dst"], "left").groupBy("query_id").agg(F.count("*").alias("full"), F.count("free").alias("kept"))
+
+
 query("d10_local_and_unruled", "dom iv", "SELECT DISTINCT query_id, src, dst FROM knn k JOIN iv ON dst >= first_pos AND dst < end_pos WHERE rank < 3 OR NOT EXISTS (SELECT 1 FROM dom WHERE dom.src = k.src AND dom.dst = k.dst AND dom.by >= first_pos AND dom.by < end_pos)")(
     lambda v: _unruled(v, k := fx.knn(v), s := exact.label_interval(v, fx.queries(v))).unionByName(k.where("rank < 3").join(s, F.expr("dst >= first_pos and dst < end_pos")).select("query_id", "src", "dst")).distinct()
 )
@@ -199,8 +210,8 @@ def _histogram(knn: DataFrame, v: DataFrame) -> DataFrame:
     return n.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("edges"))
 
 
-query("a12_pareto", "v", f", r AS (SELECT selectivity_label, run_id, CAST((run_id * 37) % 101 AS DOUBLE) AS recall, qps FROM (SELECT label % 3 AS selectivity_label, vec_id AS run_id, CAST(y AS DOUBLE) AS qps FROM v WHERE vec_id < 300)) SELECT selectivity_label, run_id, recall, qps FROM r a WHERE NOT EXISTS (SELECT 1 FROM r b WHERE b.selectivity_label = a.selectivity_label AND b.recall >= a.recall AND b.qps >= a.qps AND (b.recall > a.recall OR b.qps > a.qps))")(
-    lambda v: graph.pareto(v.where("vec_id < 300").select((F.col("label") % 3).alias("selectivity_label"), F.col("vec_id").alias("run_id"), (F.col("vec_id") * 37 % 101).cast("double").alias("recall"), F.col("y").cast("double").alias("qps"))).select("selectivity_label", "run_id", "recall", "qps")
+query("a12_pareto", "v", f", r AS (SELECT selectivity_label, run_id, CAST((run_id * 37) % 101 AS DOUBLE) AS recall, qps FROM (SELECT label % 3 AS selectivity_label, vec_id AS run_id, CAST(y AS DOUBLE) AS qps FROM v)) SELECT selectivity_label, run_id, recall, qps FROM r a WHERE NOT EXISTS (SELECT 1 FROM r b WHERE b.selectivity_label = a.selectivity_label AND b.recall >= a.recall AND b.qps >= a.qps AND (b.recall > a.recall OR b.qps > a.qps))")(
+    lambda v: graph.pareto(v.select((F.col("label") % 3).alias("selectivity_label"), F.col("vec_id").alias("run_id"), (F.col("vec_id") * 37 % 101).cast("double").alias("recall"), F.col("y").cast("double").alias("qps"))).select("selectivity_label", "run_id", "recall", "qps")
 )
 query("a20_graph_stats", "e iv", "SELECT query_id, max(end_pos - first_pos) AS width, count(*) AS kept, count(*) / CAST((SELECT count(*) FROM e) AS DOUBLE) AS share FROM e JOIN iv ON src >= first_pos AND src < end_pos AND dst >= first_pos AND dst < end_pos GROUP BY query_id")(
     lambda v: (e := fx.edges(v)).join(exact.label_interval(v, fx.queries(v)), F.expr("src >= first_pos and src < end_pos and dst >= first_pos and dst < end_pos")).groupBy("query_id").agg(F.max(F.col("end_pos") - F.col("first_pos")).alias("width"), F.count("*").alias("kept"), (F.count("*") / F.lit(float(e.count()))).alias("share"))
@@ -212,7 +223,7 @@ query("r12_score", "knn", f"SELECT src, row_number() OVER (PARTITION BY src ORDE
 query("g14_support_reserve", "knn", "SELECT src, rank, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY k * 2 + side) - 1 AS rank FROM (SELECT src, dst, CAST(dst > src AS INT) AS side, row_number() OVER (PARTITION BY src, dst > src ORDER BY support DESC, d2, dst) - 1 AS k FROM (SELECT f.src, f.dst, count(*) AS support FROM (SELECT src, dst FROM knn UNION ALL SELECT dst, src FROM knn) f GROUP BY ALL) JOIN knn USING (src, dst))) WHERE rank < 6")(
     lambda v: folds.support_reserve((k := fx.knn(v)).select("src", "dst").unionByName(graph.transpose(k)), k, 6)
 )
-query("g15_bridge_gap_reserve", "knn", "SELECT src, rank, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY k * 2 + side) - 1 AS rank FROM (SELECT src, dst, CAST(dst > src AS INT) AS side, row_number() OVER (PARTITION BY src, dst > src ORDER BY support DESC, d2, dst) - 1 AS k FROM (SELECT f.src, f.dst, count(*) AS support FROM (SELECT src, dst FROM knn UNION ALL SELECT dst, src FROM knn) f WHERE abs(src - dst) >= 50 GROUP BY ALL) JOIN knn USING (src, dst))) WHERE rank < 6")(
+query("g15_bridge_gap_reserve", "knn", "SELECT src, rank, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY k * 2 + side) - 1 AS rank FROM (SELECT src, dst, CAST(dst > src AS INT) AS side, row_number() OVER (PARTITION BY src, dst > src ORDER BY " + LVL + " DESC, support DESC, d2, dst) - 1 AS k FROM (SELECT f.src, f.dst, count(*) AS support FROM (SELECT src, dst FROM knn UNION ALL SELECT dst, src FROM knn) f WHERE abs(src - dst) >= 50 GROUP BY ALL) JOIN knn USING (src, dst))) WHERE rank < 6")(
     lambda v: folds.support_reserve((k := fx.knn(v)).select("src", "dst").unionByName(graph.transpose(k)), k, 6, 50)
 )
 
@@ -225,8 +236,8 @@ query("j15_grid_candidates", "v q", "SELECT query_id, vec_id FROM q JOIN v ON x
 SPACED = "SELECT DISTINCT query_id, first_pos + i * (end_pos - first_pos - 1) // {m} AS seed FROM iv, range(0, {n}) t(i)"
 
 
-def _spans(v: DataFrame, count: int = 8) -> DataFrame:
-    q = fx.queries(v, count)
+def _spans(v: DataFrame) -> DataFrame:
+    q = fx.queries(v)
     return q.join(exact.label_interval(v, q), "query_id")
 
 
@@ -244,18 +255,24 @@ query("g7_side_prune")(lambda v: folds.prune(graph.band(v, 12), v, 16))
 query("g9_quota_merge")(lambda v: folds.quota_merge(fx.knn(v).select("src", "dst"), graph.band(v, 6), v, 16))
 query("g10_chain_bridges")(lambda v: folds.chain_bridges(v, fx.scored(v)))
 query("g23_box_prune")(lambda v: folds.box_prune(fx.knn(v).select("src", "dst"), v, 12))
+_SCORED = f"SELECT src, row_number() OVER (PARTITION BY src ORDER BY {{order}}) - 1 AS rank, dst, d2 FROM (SELECT *, row_number() OVER (PARTITION BY src, {{scope}} ORDER BY {LVL} DESC, rank) - 1 AS jr FROM knn)"
+_POLICY_SQL = {
+    "score": _SCORED.format(scope="true", order="rank - CAST(0.35 AS DOUBLE) * jr, rank"),
+    "scoreg": _SCORED.format(scope="rank < 2", order="CASE WHEN rank < 2 THEN 0 ELSE 1 END, CASE WHEN rank < 2 THEN rank ELSE rank - 2 - CAST(0.35 AS DOUBLE) * jr END, rank"),
+    "cover": f"SELECT src, row_number() OVER (PARTITION BY src ORDER BY CASE WHEN rank < 2 THEN 0 WHEN o <= 7 THEN 1 ELSE 2 END, CASE WHEN rank >= 2 AND o <= 7 THEN o ELSE rank END) - 1 AS rank, dst, d2 FROM (SELECT *, row_number() OVER (PARTITION BY src, rank < 2 ORDER BY k, lvl DESC, side) AS o FROM (SELECT *, row_number() OVER (PARTITION BY src, rank < 2, lvl, side ORDER BY rank) AS k FROM (SELECT *, {LVL} AS lvl, CAST(dst >= src AS INT) AS side FROM knn)))",
+}
 for _p in folds.POLICIES[1:]:
-    query(f"r_{_p}")(lambda v, p=_p: folds.reorder_prefix(fx.knn(v), p, warm=2, min_gap=16))
+    query(f"r_{_p}", "knn", _POLICY_SQL.get(_p))(lambda v, p=_p: folds.reorder_prefix(fx.knn(v), p, warm=2, min_gap=16, ratio=0.5 if p in ("mix", "cover") else None))
 query("e5_reorder_survival")(lambda v: folds.reorder_survival(fx.knn(v), v))
 query("e6_reorder_core_first")(lambda v: folds.reorder_survival(fx.knn(v), v, core_first=True))
 query("e10_conflicts_exact")(lambda v: folds.conflicts(fx.knn(v), v))
 query("f11_conflict_gate")(lambda v: folds.conflict_gate(folds.conflicts(fx.knn(v), v), 100, 300))
 
 
-def _searchable(v: DataFrame, count: int = 100) -> tuple[search.Packed | search.Shards, DataFrame]:
+def _searchable(v: DataFrame) -> tuple[search.Packed | search.Shards, DataFrame]:
     v = v.cache()
     g = search.pack_graph(v, folds.build(v, fx.knn(v).cache()).cache())
-    q = _spans(v, count)
+    q = _spans(v)
     return g, search.with_seeds(q, search.seeds("anchors", q, v, None, 3))
 
 

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bandwalk.functions.kernels import squared_l2
+from bandwalk.functions.kernels import jump_level, squared_l2
 from bandwalk.operators import exact, graph
 
 EDGES = "src long, rank long, dst long, d2 double"
@@ -30,13 +30,20 @@ def _pairwise(pdf: pd.DataFrame) -> np.ndarray:
 
 
 def _accept(order: np.ndarray, d: np.ndarray, between: np.ndarray, limit: int | None = None, witness=None) -> list[int]:
-    """Greedy relative-neighbourhood choice: a candidate falls to an accepted one nearer to both ends."""
+    """Greedy relative-neighbourhood choice: a candidate falls to an accepted one nearer to both ends.
+
+    ``witness(k)`` says for every candidate whether the accepted ``k`` may exclude it.
+    """
     kept: list[int] = []
+    out = np.zeros(len(d), bool)
     for c in order:
         if limit is not None and len(kept) >= limit:
             break
-        if not any(d[c] > d[k] and d[c] > between[c, k] and (witness is None or witness(c, k)) for k in kept):
-            kept.append(int(c))
+        if out[c]:
+            continue
+        kept.append(int(c))
+        falls = (d > d[c]) & (d > between[:, c])
+        out |= falls if witness is None else falls & witness(c)
     return kept
 
 
@@ -47,17 +54,17 @@ def _emit(pdf: pd.DataFrame, kept: list[int]) -> pd.DataFrame:
 
 
 def prune(candidates: DataFrame, vectors: DataFrame, cap: int, by_side: bool = True) -> DataFrame:
-    """Pruned edges: per side by label proximity (half of ``cap`` each), or all by distance."""
+    """Pruned edges: per side by label proximity, half of ``cap`` to the left and the right up to what is left of it, or all by distance."""
 
     def run(pdf):
         pdf = pdf.drop_duplicates("dst").sort_values(["d2", "dst"]).reset_index(drop=True)
         d, between = pdf["d2"].to_numpy(), _pairwise(pdf)
         if by_side:
             gap = (pdf["dst"] - pdf["src"]).to_numpy()
-            kept = []
-            for side, room in ((gap < 0, cap // 2), (gap > 0, cap - cap // 2)):
+            kept: list[int] = []
+            for side, upto in ((gap < 0, cap // 2), (gap > 0, cap)):
                 at = np.flatnonzero(side)
-                kept += _accept(at[np.argsort(np.abs(gap[at]), kind="stable")], d, between)[:room]
+                kept += _accept(at[np.argsort(np.abs(gap[at]), kind="stable")], d, between)[: upto - len(kept)]
             kept.sort()
         else:
             kept = _accept(np.arange(len(pdf)), d, between)[:cap]
@@ -67,127 +74,188 @@ def prune(candidates: DataFrame, vectors: DataFrame, cap: int, by_side: bool = T
 
 
 def quota_merge(core: DataFrame, bridge: DataFrame, vectors: DataFrame, cap: int, core_share: float = 0.6) -> DataFrame:
-    """Per side: a core budget, then bridges, then what is left of both; every edge has to stay valid."""
-    both = core.withColumn("kind", F.lit(0)).unionByName(bridge.withColumn("kind", F.lit(1)))
-    both = both.groupBy("src", "dst").agg(F.min("kind").alias("kind"))
+    """Per side a core budget, then bridges, then what room is left for either; then both sides and all leftovers together.
+
+    Within a side, and again across sides, an edge has to be valid beside those chosen before.
+    """
+    yes, no = F.lit(True), F.lit(False)
+    both = core.select("src", "dst", yes.alias("core"), no.alias("bridge")).unionByName(bridge.select("src", "dst", no.alias("core"), yes.alias("bridge")))
+    both = both.groupBy("src", "dst").agg(F.max("core").alias("core"), F.max("bridge").alias("bridge"))
 
     def run(pdf):
         pdf = pdf.sort_values(["d2", "dst"]).reset_index(drop=True)
-        d, between, kind, left = pdf["d2"].to_numpy(), _pairwise(pdf), pdf["kind"].to_numpy(), (pdf["dst"] < pdf["src"]).to_numpy()
+        d, between = pdf["d2"].to_numpy(), _pairwise(pdf)
+        is_core, is_bridge, left = pdf["core"].to_numpy(), pdf["bridge"].to_numpy(), (pdf["dst"] < pdf["src"]).to_numpy()
+
+        def extend(chosen: list[int], pool, upto: int) -> None:
+            for c in pool:
+                if len(chosen) >= upto:
+                    return
+                k = np.array(chosen, int)
+                if c not in chosen and not ((d[c] > d[k]) & (d[c] > between[c, k])).any():
+                    chosen.append(int(c))
+
         kept: list[int] = []
         for side, room in ((left, cap // 2), (~left, cap - cap // 2)):
             mine: list[int] = []
-            first = round(room * core_share)
-            for k, upto in ((0, first), (1, room), (0, room)):
-                for c in np.flatnonzero(side & (kind == k)):
-                    if len(mine) >= upto:
-                        break
-                    if c not in mine and not any(d[c] > d[m] and d[c] > between[c, m] for m in mine):
-                        mine.append(int(c))
-            kept += mine
+            near, far = np.flatnonzero(side & is_core), np.flatnonzero(side & is_bridge)
+            for pool, upto in ((near, _nearest(room * core_share)), (far, room), (near, room), (far, room)):
+                extend(mine, pool, upto)
+            extend(kept, mine, cap)
+        extend(kept, range(len(pdf)), cap)
         return _emit(pdf, sorted(kept))
 
     return with_vectors(both, vectors).groupBy("src").applyInPandas(run, EDGES)
 
 
-def interleave(left: list[int], right: list[int], place: dict[int, int], tolerance: int) -> list[int]:
-    """Sides in turn, unless the other side's next is ahead by more than ``tolerance`` places."""
-    out, i, j, turn = [], 0, 0, 0
-    while i < len(left) or j < len(right):
-        if i < len(left) and j < len(right):
-            a, b = place[left[i]], place[right[j]]
-            use_left = a <= b if abs(a - b) > tolerance else turn == 0
-        else:
-            use_left = i < len(left)
-        out.append(left[i] if use_left else right[j])
-        i, j, turn = i + use_left, j + (not use_left), int(use_left)
-    return out
+def _nearest(x: float) -> int:
+    """Rounded, halves up."""
+    return int(x + 0.5)
 
 
+#: The names of the prefix policies.
 POLICIES = ("dist", "labelg", "tierbal", "balmix", "bridgefirst", "thinbridge", "switchband", "balance", "mix", "cover", "scoreg", "score")
 
 
+class Lanes:
+    """Left and right candidates of a node, each side in an order of its own.
+
+    The head of lower distance rank is next, unless its side had the last turn and the other
+    head is at most ``tolerance`` ranks behind.
+    """
+
+    def __init__(self, left: list[int], right: list[int], tolerance: int):
+        self.sides, self.tolerance = (left[::-1], right[::-1]), tolerance
+
+    def take(self, last: int | None) -> tuple[int, int] | None:
+        """The next candidate and its side, given the side of the last one; None if both are empty."""
+        heads = [(side[-1], k) for k, side in enumerate(self.sides) if side]
+        if not heads:
+            return None
+        (rank, k), other = min(heads), max(heads)
+        if k == last and len(heads) == 2 and other[0] <= rank + self.tolerance:
+            k = other[1]
+        return self.sides[k].pop(), k
+
+
+def _alternate(lanes: Lanes) -> list[int]:
+    out, last = [], None
+    while (step := lanes.take(last)) is not None:
+        out.append(step[0])
+        last = step[1]
+    return out
+
+
 def _level(gap: int) -> int:
     return 0 if gap < 2 else min(30, int(gap).bit_length() - 1)
 
 
-def prefix_order(gaps: list[int], policy: str, ratio: float = 0.5, warm: int = 8, min_gap: int = 64, alpha: float = 0.35) -> list[int]:
-    """New order of a node's distance-sorted edges; ``gaps`` are signed (target minus source)."""
-    n = len(gaps)
-    w, size = min(warm, n), [abs(g) for g in gaps]
-    end = min(n, w + max(16, round((n - w) * ratio)))
-    whole, head, pool, tail = list(range(n)), list(range(w)), list(range(w, end)), list(range(end, n))
-    sides = lambda xs: ([x for x in xs if gaps[x] < 0], [x for x in xs if gaps[x] >= 0])
+def _sides(xs: list[int], gaps: list[int]) -> tuple[list[int], list[int]]:
+    return [x for x in xs if gaps[x] < 0], [x for x in xs if gaps[x] >= 0]
+
+
+def _side_order(side: list[int], size: list[int], policy: str, alpha: float) -> list[int]:
     if policy == "labelg":
-        a, b = (sorted(s, key=lambda x: (size[x], x)) for s in sides(pool))
-        return head + interleave(a, b, {x: k for s in (a, b) for k, x in enumerate(s)}, 4) + tail
-    if policy == "tierbal":
-        cap = min(8, max(4, int(n**0.5)))
-        ordered = []
-        for s in sides(pool):
-            seen: dict[int, int] = {}
-            for x in s:
-                if len(seen) < cap:
-                    seen.setdefault(_level(size[x]), x)
-            first = list(seen.values())
-            ordered.append(first + [x for x in s if x not in first])
-        return head + interleave(*ordered, {x: k for s in ordered for k, x in enumerate(s)}, 4) + tail
+        return sorted(side, key=lambda x: (size[x], x))
+    if len(side) <= 2 or policy == "balance":
+        return side
     if policy == "balmix":
-        ordered = []
-        for s in sides(pool):
-            by_gap = {x: k for k, x in enumerate(sorted(s, key=lambda x: (size[x], x)))}
-            ordered.append([x for _, x in sorted((k + alpha * by_gap[x], x) for k, x in enumerate(s))])
-        return head + interleave(*ordered, {x: k for s in ordered for k, x in enumerate(s)}, 4) + tail
-    if policy == "balance":
-        return head + interleave(*sides(pool), {x: x for x in pool}, 4) + tail
-    if policy in ("bridgefirst", "thinbridge", "switchband"):
-        if policy == "thinbridge":
-            local = head + pool[: max(8, w)]
-            pool, share = pool[max(8, w) :], 0.20
-        else:
-            local, share = head, 0.25 if policy == "switchband" else 0.35
-        far = [x for x in pool if size[x] >= min_gap]
-        if policy == "switchband":
-            band = sorted((x for x in far if size[x] < max(min_gap + 1, 8 * min_gap)), key=lambda x: (size[x] - min_gap, x))
-            far = (band + [x for x in far if x not in band])[: min(12, max(4, round(len(pool) * share)))]
+        by_gap = {x: k for k, x in enumerate(sorted(side, key=lambda x: (size[x], x)))}
+        return sorted(side, key=lambda x: (x + alpha * by_gap[x], x))
+    most, first = max(4, min(8, _nearest(len(side) ** 0.5))), {}  # tierbal
+    for x in side:
+        if len(first) < most:
+            first.setdefault(_level(size[x]), x)
+    front = list(first.values())
+    return front + [x for x in side if x not in front]
+
+
+def _bridges(gaps: list[int], size: list[int], policy: str, ratio: float | None, w: int, min_gap: int) -> list[int]:
+    """The bridge family: far edges spread through the pool, after some near ones, or first."""
+    n = len(gaps)
+    share = ratio or {"bridgefirst": 0.35, "thinbridge": 0.20, "switchband": 0.25}[policy]
+    banded, thin = policy == "switchband", policy == "thinbridge"
+    if banded:
+        reach = max(24, min(n - w, max(4 * w, _nearest((n - w) * max(0.35, share)))))
+    else:
+        reach = max(16, _nearest((n - w) * max(0.5, share)))
+    end = min(n, w + reach)
+    slots, low = end - w, max(1, min_gap)
+    if slots <= 1:
+        return list(range(n))
+    high = max(low + 1, 8 * min_gap) if banded else None
+    far = [x for x in range(w, end) if size[x] >= low and (high is None or size[x] < high)]
+    near_lanes = Lanes(*_sides([x for x in range(w, end) if x not in set(far)], gaps), -1 if banded else 6)
+    if banded:
+        far.sort(key=lambda x: (size[x] - low, x))
+    far_lanes = Lanes(*_sides(far, gaps), 6)
+    opening = min(slots, max(8, w)) if thin else 0
+    rest = slots - opening
+    goal = min(slots, max(4, min(12, _nearest(slots * share)))) if banded else min(rest, max(1 if thin else 2, _nearest(rest * share)))
+    out, last, used, opened = list(range(w)), None, 0, 0
+    for slot in range(slots):
+        if opened < opening:
+            turn = (near_lanes, far_lanes)
+        elif banded:
+            turn = (far_lanes, near_lanes) if used < goal else (near_lanes, far_lanes)
         else:
-            far = far[: round(len(pool) * share)]
-        far = interleave(*sides(far), {x: k for k, x in enumerate(far)}, 6)
-        near = interleave(*sides([x for x in pool if x not in far]), {x: x for x in pool}, 6)
-        step, mixed = max(1, len(pool) // max(1, len(far))), []
-        while near or far:
-            mixed += [far.pop(0)] if far else []
-            mixed += near[: step - 1 if far else len(near)]
-            near = near[step - 1 if far else len(near) :]
-        return local + mixed + tail
-    if policy == "mix":
-        every = round(1 / ratio) if ratio > 0 else n + 1
-        far = sorted((x for x in whole[w:] if size[x] >= min_gap), key=lambda x: (-size[x], x))
-        out, left = [], whole[:]
-        for k in range(n):
-            pick = next((x for x in far if x in left), None) if k >= w and (k - w + 1) % max(1, every) == 0 else None
-            pick = left[0] if pick is None else pick
-            left.remove(pick)
+            due = used < goal and rest > 0 and (slot - min(slot, opening)) * goal < (used + 1) * rest
+            turn = (far_lanes, near_lanes) if due else (near_lanes, far_lanes)
+        for lanes in turn:
+            if (step := lanes.take(last)) is not None:
+                out.append(step[0])
+                last = step[1]
+                used += lanes is far_lanes
+                opened += lanes is near_lanes and opened < opening
+                break
+    return out + list(range(end, n))
+
+
+def prefix_order(gaps: list[int], policy: str, ratio: float | None = None, warm: int = 8, min_gap: int = 64, alpha: float = 0.35) -> list[int]:
+    """New order of a node's distance-sorted edges; ``gaps`` are signed (target minus source).
+
+    Without ``ratio`` a policy takes its own; ``mix`` and ``cover`` then change nothing.
+    """
+    n = len(gaps)
+    w, size = min(warm, n), [abs(g) for g in gaps]
+    whole = list(range(n))
+    end = min(n, w + max(16, _nearest((n - w) * (ratio or 0.5))))
+    if policy in ("labelg", "tierbal", "balmix", "balance"):
+        left, right = (_side_order(s, size, policy, alpha) for s in _sides(whole[w:end], gaps))
+        return whole[:w] + _alternate(Lanes(left, right, 4)) + whole[end:]
+    if policy in ("bridgefirst", "thinbridge", "switchband"):
+        return _bridges(gaps, size, policy, ratio, w, min_gap)
+    if policy == "mix" and ratio:
+        every = max(1, _nearest(1 / ratio))
+        far = iter(sorted((x for x in whole[w:] if size[x] >= min_gap), key=lambda x: (-size[x], x)))
+        out, taken = whole[:w], set(whole[:w])
+        near = (x for x in whole[w:] if x not in taken)
+        for k in range(n - w):
+            pick = next((x for x in far if x not in taken), None) if k % every == 0 else None
+            pick = next(near) if pick is None else pick
+            taken.add(pick)
             out.append(pick)
         return out
-    if policy == "cover":
-        quota = round((n - w) * ratio)
-        pool = whole[w : min(n, w + max(16, 4 * quota))]
+    if policy == "cover" and ratio:
+        quota = _nearest((n - w) * ratio)
         bins: dict[tuple[int, bool], list[int]] = {}
-        for x in pool:
+        for x in whole[w : min(n, w + max(16, 4 * quota))]:
             bins.setdefault((-_level(size[x]), gaps[x] >= 0), []).append(x)
         picked = [x for _, _, x in sorted((k, b, x) for b, xs in bins.items() for k, x in enumerate(xs))][:quota]
-        return head + picked + [x for x in whole[w:] if x not in picked]
+        return whole[:w] + picked + [x for x in whole[w:] if x not in picked]
     if policy in ("score", "scoreg"):
-        scope = whole if policy == "score" else pool
+        scope = whole if policy == "score" else whole[w:end]
         by_jump = {x: k for k, x in enumerate(sorted(scope, key=lambda x: (-_level(size[x]), x)))}
         ordered = [x for _, x in sorted((k - alpha * by_jump[x], x) for k, x in enumerate(scope))]
-        return ordered if policy == "score" else head + ordered + tail
+        return ordered if policy == "score" else whole[:w] + ordered + whole[end:]
     return whole
 
 
 def reorder_prefix(edges: DataFrame, policy: str, **options) -> DataFrame:
     """Edges ``(src, rank, dst, d2)`` re-ranked by a prefix policy; unknown names mean distance order."""
+    policy = policy.lower()
+    if policy not in POLICIES[1:]:
+        return edges.withColumn("rank", graph._rank("d2", "dst")).select("src", "rank", "dst", "d2")
 
     def run(pdf):
         pdf = pdf.sort_values(["d2", "dst"]).reset_index(drop=True)
@@ -197,27 +265,48 @@ def reorder_prefix(edges: DataFrame, policy: str, **options) -> DataFrame:
     return edges.groupBy("src").applyInPandas(run, EDGES)
 
 
-def reorder_survival(edges: DataFrame, vectors: DataFrame, core_first: bool = False) -> DataFrame:
-    """By how long an edge survives when siblings enter in gap order; or greedy core first."""
+def survival_key(d: np.ndarray, between: np.ndarray, labels: np.ndarray, source: int, top: int, relax: float = 1.0) -> np.ndarray:
+    """How wide a label range each edge survives in when siblings enter by label gap: from its left to its right drop."""
+    low, high = np.zeros(len(d), np.int64), np.full(len(d), top, np.int64)
+
+    def drop(x: int, by: int) -> None:
+        if labels[by] < labels[x]:
+            low[x] = max(low[x], labels[by])
+        else:
+            high[x] = min(high[x], labels[by])
+
+    active: list[int] = []
+    for x in np.lexsort((np.arange(len(d)), np.abs(labels - source))):
+        by = next((y for y in active if d[y] < d[x] and between[y, x] < relax * d[x]), None)
+        if by is not None:
+            drop(x, by)
+            continue
+        beaten = [y for y in active if d[x] < d[y] and between[x, y] < relax * d[y]]
+        for y in beaten:
+            drop(y, x)
+        active = [y for y in active if y not in beaten] + [int(x)]
+    return high - low
+
+
+def reorder_survival(edges: DataFrame, vectors: DataFrame, core_first: bool = False, pinned: int = 8) -> DataFrame:
+    """Widest survival first, or greedy core first and by distance; the first ``pinned`` edges stay in place."""
+    top = vectors.agg(F.max("label")).first()[0]
+    lab = vectors.select("pos", "label")
+    e = edges.select("src", "rank", "dst").join(lab.toDF("src", "lu"), "src").join(lab.toDF("dst", "lv"), "dst")
 
     def run(pdf):
-        pdf = pdf.sort_values(["d2", "dst"]).reset_index(drop=True)
-        d, between, gap = pdf["d2"].to_numpy(), _pairwise(pdf), np.abs(pdf["dst"] - pdf["src"]).to_numpy()
+        pdf = pdf.sort_values("rank").reset_index(drop=True)
+        d, between = pdf["d2"].to_numpy(), _pairwise(pdf)
         if core_first:
-            kept = _accept(np.arange(len(pdf)), d, between)
-            return _emit(pdf, kept + [x for x in range(len(pdf)) if x not in kept])
-        span, active = np.zeros(len(pdf)), []
-        for c in np.lexsort((np.arange(len(pdf)), gap)):
-            for a in list(active):
-                if d[a] > d[c] and d[a] > between[a, c]:
-                    span[a] = gap[c] - gap[a]
-                    active.remove(a)
-            active.append(int(c))
-        for a in active:
-            span[a] = gap.max() + 1 - gap[a]
-        return _emit(pdf, list(np.lexsort((np.arange(len(pdf)), -span))))
-
-    return with_vectors(edges.select("src", "dst"), vectors).groupBy("src").applyInPandas(run, EDGES)
+            core = np.zeros(len(d), bool)
+            core[_accept(np.argsort(d, kind="stable"), d, between)] = True
+            keys = (d, ~core)
+        else:
+            keys = (-survival_key(d, between, pdf["lv"].to_numpy(), int(pdf["lu"].iloc[0]), top),)
+        order = np.lexsort((np.arange(len(d)), *keys))
+        return _emit(pdf, [*range(min(pinned, len(d))), *(x for x in order.tolist() if x >= pinned)])
+
+    return with_vectors(e, vectors).groupBy("src").applyInPandas(run, EDGES)
 
 
 def conflicts(edges: DataFrame, vectors: DataFrame, mode: str = "exact") -> DataFrame:
@@ -272,10 +361,12 @@ def chain_bridges(vectors: DataFrame, scored: DataFrame, limit: int = 6) -> Data
 
 
 def support_reserve(found: DataFrame, knn: DataFrame, room: int, min_gap: int = 0) -> DataFrame:
-    """``src, rank, dst``: by how often a node was found, then distance, sides in turn."""
-    votes = found.groupBy("src", "dst").agg(F.count("*").alias("support")).where(F.abs(F.col("src") - F.col("dst")) >= min_gap)
+    """``src, rank, dst``: by how often a node was found, then distance, sides in turn; with ``min_gap`` far levels come first."""
+    gap = F.abs(F.col("src") - F.col("dst"))
+    votes = found.groupBy("src", "dst").agg(F.count("*").alias("support")).where(gap >= min_gap)
     e = votes.join(knn.select("src", "dst", "d2"), ["src", "dst"])
-    out = graph.alternate_sides(e, (F.col("support").desc(), "d2", "dst"))
+    far = (jump_level(gap).desc(),) if min_gap else ()
+    out = graph.alternate_sides(e, (*far, F.col("support").desc(), "d2", "dst"))
     return out.where(F.col("rank") < room)
 
 
@@ -287,7 +378,7 @@ def box_prune(candidates: DataFrame, vectors: DataFrame, cap: int) -> DataFrame:
     def run(pdf):
         pdf = pdf.drop_duplicates("dst").sort_values(["d2", "dst"]).reset_index(drop=True)
         sx, sy, dx, dy = (pdf[k].to_numpy() for k in ("sx", "sy", "dx", "dy"))
-        inside = lambda c, k: min(sx[c], dx[c]) <= dx[k] <= max(sx[c], dx[c]) and min(sy[c], dy[c]) <= dy[k] <= max(sy[c], dy[c])
+        inside = lambda k: (np.minimum(sx, dx) <= dx[k]) & (dx[k] <= np.maximum(sx, dx)) & (np.minimum(sy, dy) <= dy[k]) & (dy[k] <= np.maximum(sy, dy))
         return _emit(pdf, _accept(np.arange(len(pdf)), pdf["d2"].to_numpy(), _pairwise(pdf), cap, inside))
 
     v = vectors.select("pos", "embedding")

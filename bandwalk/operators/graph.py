@@ -19,11 +19,17 @@ def band(vectors: DataFrame, step: int) -> DataFrame:
 
 
 def band_capped(vectors: DataFrame, step: int, cap: int) -> DataFrame:
-    """Of each side's window at most ``cap`` evenly spaced members: ``i * (n - 1) div (cap - 1)``."""
-    both = band(vectors, step).withColumn("side", (F.col("dst") > F.col("src")).cast("int"))
-    w = Window.partitionBy("src", "side")
-    both = both.withColumn("i", _rank(F.abs(F.col("dst") - F.col("src")), by=("src", "side"))).withColumn("n", F.count("*").over(w))
-    return even_sample(both, cap, "src", "side").select("src", "dst")
+    """Of a window of more than ``cap`` positions, evenly spaced ones: half of ``cap`` a side, room one side can't use goes to the other.
+
+    Positions run from 0 without gaps, so a window's members are computed, not joined.
+    """
+    n = vectors.count()
+    v = vectors.select(F.col("pos").alias("src")).withColumn("ln", F.least("src", F.lit(step))).withColumn("rn", F.least(F.lit(step), n - 1 - F.col("src")))
+    v = v.withColumn("l", F.least("ln", F.lit((cap + 1) // 2))).withColumn("r", F.least("rn", cap - F.col("l")))
+    v = v.withColumn("l", F.least("ln", cap - F.col("r"))).withColumn("r", F.least("rn", cap - F.col("l")))
+    spread = "if({q} = 1 and {n} > 1, array({b} + {n} div 2), if({q} < 1, array(), transform(sequence(0, {q} - 1), k -> {b} + if({q} >= {n}, k, k * ({n} - 1) div ({q} - 1)))))"
+    left, right = F.expr(spread.format(q="l", n="ln", b="(src - ln)")), F.expr(spread.format(q="r", n="rn", b="(src + 1)"))
+    return v.select("src", F.explode(F.concat(left, right).cast("array<bigint>")).alias("dst"))
 
 
 def even_sample(rows: DataFrame, want: int, *by: str) -> DataFrame:

@@ -90,7 +90,7 @@ def choose(raw: np.ndarray, u: int, want: int, o: Options, graph: Packed) -> np.
         back = np.array([u in graph.near(int(v))[: o.prefix] for v in raw])
         return raw[np.lexsort((np.arange(len(raw)), -gap, ~back))][:want]
     core = raw[: round(want * o.core_share)]
-    far = np.setdiff1d(raw, core, assume_unique=True)
+    far = raw[len(core) :]
     return np.concatenate([core, far[np.argsort(-np.abs(far - u), kind="stable")][: want - len(core)]])
 
 
@@ -123,7 +123,7 @@ def beam_search(graph: Packed, q: np.ndarray, lo: int, hi: int, seeds: np.ndarra
         if o.fallback_stall and stall >= o.fallback_stall:
             picked = raw[: 2 * want]
         if o.rescue:
-            picked = np.concatenate([picked, np.setdiff1d(raw, picked)[: o.rescue]])
+            picked = np.concatenate([picked, raw[~np.isin(raw, picked)][: o.rescue]])
         seen[picked - lo] = True
         stats["expanded_nodes"] += 1
         stats["raw_neighbors_scanned"] += len(near)
@@ -150,6 +150,7 @@ def beam_search(graph: Packed, q: np.ndarray, lo: int, hi: int, seeds: np.ndarra
     return found[: o.k], stats
 
 
+#: Column names of the search's counters and of its trace.
 STATS = ("expanded_nodes", "raw_neighbors_scanned", "range_filtered_out_neighbors", "distance_computations", "beam_insertions", "beam_rewinds")
 TRACE = "query_id long, round long, expanded_node long, insertions long, cumulative_insertions long, best_dist double, stall_rounds long, beam_label_span long, raw_count long, selected_count long, range_filtered long, dist_eval_count long"
 

@@ -16,8 +16,9 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.label_order(v).withColumn("x", F.col("label")).withColumn("y", F.col("vec_id") * 7919 % 1009)
 
 
-def queries(v: DataFrame, count: int = 8) -> DataFrame:
-    return v.where(F.col("vec_id") < count).select(
+def queries(v: DataFrame) -> DataFrame:
+    """Every row whose id is divisible by 20, as a query on all rows."""
+    return v.where(F.col("vec_id") % 20 == 0).select(
         F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"), (F.col("vec_id") % 6).alias("ql"), (F.col("vec_id") % 6 + 3).alias("qr"), F.lit(100).cast("long").alias("ly"), F.lit(700).cast("long").alias("ry")
     )
 

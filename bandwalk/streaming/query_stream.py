@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame
 
 
 def answer_stream(queries: DataFrame, answer: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
-    """Start a stream that appends ``answer(batch)`` for every micro-batch of ``queries`` to ``path``."""
+    """Start a stream that writes ``answer(batch)`` for every micro-batch of ``queries`` to ``path``.
 
-    def each(batch: DataFrame, _: int) -> None:
-        answer(batch).write.mode("append").parquet(path)
+    Each batch has a folder of its own, so a batch that is replayed replaces what it wrote.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        answer(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return queries.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -72,12 +72,46 @@ def test_prefix_policies_are_permutations():
             for ratio in (0.2, 0.5, 1.0):
                 assert sorted(folds.prefix_order(gaps, p, ratio=ratio)) == list(range(n)), (p, n)
     assert folds.prefix_order([1, 2, 3], "unknown") == [0, 1, 2]
+    # worked by hand
+    assert folds.prefix_order([5, 6, -7], "balance", warm=0) == [0, 2, 1]
+    assert folds.prefix_order([-1, 2, -3, -4, -5, -6, -7, -8, 9], "balance", warm=0) == [0, 1, 2, 3, 8, 4, 5, 6, 7]
+    assert folds.prefix_order([9, -2, 3, -8], "labelg", warm=0) == [1, 2, 3, 0]
+    assert folds.prefix_order([1, 2, 90, 3, 80, 4], "mix", ratio=0.5, warm=1, min_gap=50) == [0, 2, 1, 4, 3, 5]
+    assert folds.prefix_order([1, 2, 90, 3, 80, 4], "mix", warm=1, min_gap=50) == [0, 1, 2, 3, 4, 5]
+    assert folds.prefix_order([1, 2, 3, 90, 80, 4, 5, 6], "bridgefirst", warm=0, min_gap=50) == [3, 4, 0, 1, 2, 5, 6, 7]
+    assert folds.prefix_order([1, 2, 60, 55, 500, 3], "switchband", warm=0, min_gap=50) == [3, 2, 0, 1, 4, 5]
+    assert folds.prefix_order([90, 1, 2, 3, 4, 5, 6, 7, 8, 9], "thinbridge", warm=0, min_gap=50) == [1, 2, 3, 4, 5, 6, 7, 8, 0, 9]
+
+
+def test_window_cap_is_shared(table):
+    got = {}
+    for r in graph.band_capped(table, 6, 5).collect():
+        got.setdefault(r["src"], set()).add(r["dst"])
+    assert got[0] == {1, 2, 3, 4, 6} and got[1] == {0, 2, 3, 5, 7} and got[60] == {54, 56, 59, 61, 66}
 
 
-def test_interleave_tolerance():
-    place = {0: 0, 1: 1, 2: 2, 10: 10, 11: 11}
-    assert folds.interleave([0, 1, 2], [10, 11], place, 4) == [0, 1, 2, 10, 11]
-    assert folds.interleave([0, 2], [1], place, 4) == [0, 1, 2]
+def test_side_prune_gives_the_right_side_what_the_left_leaves(table):
+    wide = graph.band(table, 8).where("src = 0 or src = 60")
+    kept = folds.prune(wide, table, 4).collect()
+    x = ordered(table)
+    for src in (0, 60):
+        mine = sorted(r["dst"] for r in kept if r["src"] == src)
+        sides = []
+        for side in ([v for v in range(src - 1, src - 9, -1) if v >= 0], range(src + 1, src + 9)):
+            got = []
+            for v in side:
+                if not any(dist(x[v], x[src]) > dist(x[k], x[src]) and dist(x[v], x[src]) > dist(x[v], x[k]) for k in got):
+                    got.append(v)
+            sides.append(got)
+        left = sides[0][:2]
+        assert mine == sorted(left + sides[1][: 4 - len(left)])
+
+
+def test_lanes_change_sides_within_the_tolerance():
+    # ranks 0 to 2 on the left: the right side's 10 is more than 4 behind each
+    assert folds._alternate(folds.Lanes([0, 1, 2], [10, 11], 4)) == [0, 1, 2, 10, 11]
+    assert folds._alternate(folds.Lanes([0, 1, 2], [3, 4], 4)) == [0, 3, 1, 4, 2]
+    assert folds._alternate(folds.Lanes([0, 3], [1, 2], -1)) == [0, 1, 2, 3]
 
 
 def test_conflict_gate_replay(table, knn):

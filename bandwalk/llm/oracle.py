@@ -27,4 +27,22 @@ FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY n.doc_id, n.n
 """
 )
 
-ORACLE = {"op4_minhash_near_dedup": NEAR_DUPLICATES}
+#: Classes of equal sets, candidates by the rarest words of each, similarity on the full sets; ids are unique.
+LINE_DEDUP = r"""
+WITH x AS (SELECT doc_id, "text" AS t, string_split("text", chr(10)) AS parts FROM documents),
+l AS (SELECT doc_id, i, parts[i + 1] AS line FROM x, unnest(range(len(parts))) u(i) WHERE t <> ''),
+s AS (SELECT doc_id, i, line, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(line), '[ \t\n\x0B\f\r]+'), lambda w: w <> ''))) AS ws FROM l),
+c AS MATERIALIZED (SELECT row_number() OVER () AS id, ws, len(ws) AS n, min(struct_pack(d := doc_id, i := i)) AS f FROM s WHERE len(ws) > 0 GROUP BY ws),
+w AS MATERIALIZED (SELECT id, n, unnest(ws) AS w FROM c),
+o AS MATERIALIZED (SELECT id, w FROM (SELECT id, n, w, row_number() OVER (PARTITION BY id ORDER BY k, w) AS r FROM w JOIN (SELECT w, count(*) AS k FROM w GROUP BY w) USING (w)) WHERE r <= n - (90 * n + 99) // 100 + 1),
+p AS (SELECT DISTINCT a.id AS a, b.id AS b FROM o a JOIN o b ON a.w = b.w AND a.id <> b.id),
+g AS (SELECT DISTINCT a AS id FROM p JOIN c x ON x.id = a JOIN c y ON y.id = b WHERE x.f > y.f AND 190 * len(list_intersect(x.ws, y.ws)) >= 90 * (x.n + y.n)),
+k AS (SELECT s.doc_id, s.i, s.line FROM s LEFT JOIN c ON c.ws = s.ws AND c.f.d = s.doc_id AND c.f.i = s.i LEFT JOIN g ON g.id = c.id WHERE len(s.ws) = 0 OR (c.id IS NOT NULL AND g.id IS NULL)),
+r AS (SELECT doc_id, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS t FROM k GROUP BY doc_id)
+SELECT x.doc_id, CAST(CASE WHEN coalesce(x.t, '') = '' THEN 0 ELSE len(x.parts) END AS BIGINT) AS n_lines,
+  CAST(CASE WHEN coalesce(x.t, '') = '' THEN 0 ELSE len(x.parts) - coalesce(r.n, 0) END AS BIGINT) AS n_removed,
+  CASE WHEN x.t IS NULL THEN NULL ELSE sha256(coalesce(r.t, '')) END AS kept_sha256
+FROM x LEFT JOIN r USING (doc_id)
+"""
+
+ORACLE = {"op1_line_dedup": LINE_DEDUP, "op4_minhash_near_dedup": NEAR_DUPLICATES}

@@ -1,5 +1,6 @@
 """The full decoder on streams with prefix codes, back-references, colour cache and transforms."""
 
+import hashlib
 from collections import Counter
 
 import numpy as np
@@ -211,3 +212,57 @@ def test_palette(colours):
         return put_image(w, packed, inner, True)
 
     assert (media.decode_webp(file_of(width, height, body)[0]) == img).all()
+
+
+def payloads():
+    rng = np.random.default_rng(3)
+    words = rng.integers(0, 256, (400, 4), dtype=np.uint8)
+    text = b" ".join(b"word%d of line %d" % (i * i % 37, i) for i in range(900))
+    yield "noise", rng.integers(0, 256, 6400, dtype=np.uint8).tobytes()
+    for k in (1, 2, 3, 5, 17, 200, 400):
+        yield f"{k} colours", words[rng.integers(0, k, 2000)].tobytes()
+    yield "repeats", (text[:4000] * 3)[:11968]
+    yield "text", text[: len(text) // 64 * 64]
+    yield "slope", ((rng.integers(0, 256, 64) + np.arange(300)[:, None] * 3) & 255).astype(np.uint8).tobytes()
+    yield "zeros", bytes(64)
+    yield "long run", b"abcd" * 40000
+    yield "skewed", b"".join(bytes([i]) * (4 << i) for i in range(18))[: (4 << 18) // 64 * 64 - 64]
+
+
+@pytest.mark.parametrize("name,payload", list(payloads()), ids=lambda x: x if isinstance(x, str) else "")
+def test_written_files_read_back(name, payload):
+    payload = payload[: len(payload) // 64 * 64]
+    raw = media.write_webp(payload)
+    assert media.read_payload(raw, len(payload)) == payload
+    assert raw == media.write_webp(payload)
+    if name not in ("noise", "zeros"):
+        assert len(raw) < len(payload)
+
+
+def test_written_files_use_the_method(monkeypatch):
+    seen = Counter()
+    for name in ("undo_predictor", "undo_palette"):
+        real = getattr(media, name)
+        monkeypatch.setattr(media, name, lambda *a, name=name, real=real: (seen.update([name]), real(*a))[1])
+    for _, payload in payloads():
+        payload = payload[: len(payload) // 64 * 64]
+        assert media.read_payload(media.write_webp(payload), len(payload)) == payload
+    assert seen["undo_predictor"] and seen["undo_palette"] > 3
+    px = np.frombuffer(dict(payloads())["text"][:13312], "<u4").astype(np.uint32)
+    assert media._references(px) and media._cache_hits(px, 8)[1].any()
+
+
+def test_text_of_several_images(spark):
+    text = "".join(f"{i} lies in line {i % 97}\n" for i in range(60000))
+    raw = text.encode()
+    row = media.media_features(media.store_media(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    padded = raw + bytes(-len(raw) % 64)
+    assert row.feature.endswith("images=2") and row.payload_sha256 == hashlib.sha256(padded).hexdigest()
+    assert row.media_bytes < len(raw) / 2
+
+
+def test_cut_streams_are_refused():
+    raw = media.write_webp(dict(payloads())["noise"])
+    at = len(raw) // 2
+    with pytest.raises(ValueError):
+        media.decode_webp(raw[:12] + b"VP8L" + (at - 20).to_bytes(4, "little") + raw[20:at])

@@ -82,6 +82,12 @@ class Prefix:
         return (self.syms << 4 | self.lens).tolist()
 
 
+@functools.lru_cache(64)
+def _meta_table(lengths: tuple[int, ...]) -> tuple[list[int], int]:
+    code = Prefix(lengths)
+    return code.packed(), code.mask
+
+
 def _read_code(bits: Bits, size: int) -> Prefix:
     lengths = [0] * size
     if bits.read(1):
@@ -94,8 +100,7 @@ def _read_code(bits: Bits, size: int) -> Prefix:
     meta = [0] * 19
     for k in range(4 + bits.read(4)):
         meta[CODE_LENGTH_ORDER[k]] = bits.read(3)
-    reader = Prefix(meta)
-    table, mask = reader.packed(), reader.mask
+    table, mask = _meta_table(tuple(meta))
     left = size
     if bits.read(1):
         left = 2 + bits.read(2 + 2 * bits.read(3))
@@ -431,21 +436,29 @@ def _put_code(w: BitWriter, lengths: np.ndarray) -> None:
         runs.append((18, n - 11, 7))
         zeros -= n
     runs += [(17, zeros - 3, 3)] if zeros >= 3 else [(0, 0, 0)] * zeros
-    meta = _lengths(np.bincount([r[0] for r in runs], minlength=19), 7)
-    code, size = _codes(meta).tolist(), meta.tolist()
-    size_of = size if np.count_nonzero(meta) > 1 else [0] * 19
-    stored = max(4, 1 + max(k for k, s in enumerate(CODE_LENGTH_ORDER) if size[s]))
-    value, n = (stored - 4) << 1, 5
-    for s in CODE_LENGTH_ORDER[:stored]:
-        value |= size[s] << n
-        n += 3
-    n += 1  # all lengths are stored
+    value, n = _meta_head()
+    code = _META_CODES
     for s, extra, many in runs:
-        value |= (code[s] | extra << size_of[s]) << n
-        n += size_of[s] + many
+        value |= (code[s] | extra << META_LENGTHS[s]) << n
+        n += META_LENGTHS[s] + many
     w.put(value, n)
 
 
+#: Lengths of the one code in which code lengths are written: four bits for zeros, runs of zeros and the lengths 2 to 12.
+META_LENGTHS = [4, 5, *[4] * 11, 5, 5, 5, 0, 4, 4]
+_META_CODES = _codes(np.array(META_LENGTHS)).tolist()
+
+
+@functools.cache
+def _meta_head() -> tuple[int, int]:
+    """What leads each normal code: 0, the number of stored lengths less 4, these, and 0 as all lengths follow."""
+    value, n = (19 - 4) << 1, 5
+    for s in CODE_LENGTH_ORDER:
+        value |= META_LENGTHS[s] << n
+        n += 3
+    return value, n + 1
+
+
 def _split(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbol, extra bits and their number for lengths and distance codes."""
     v = v - 1

@@ -4,7 +4,7 @@ The decoder reads the whole lossless format: normal and simple prefix codes, gro
 codes chosen by an entropy image, back-references with the two-dimensional distance map,
 the colour cache, and the predictor, cross-colour, subtract-green and palette transforms.
 ``write_webp`` chooses, by what the bytes need, among Huffman codes, back-references,
-colour cache, palette, subtract-green and one predictor; equal bytes give equal files.
+colour cache, palette and one predictor; equal bytes give equal files.
 """
 
 from __future__ import annotations
@@ -98,8 +98,12 @@ def _read_code(bits: Bits, size: int) -> Prefix:
             lengths[bits.read(8)] = 1
         return Prefix(lengths)
     meta = [0] * 19
-    for k in range(4 + bits.read(4)):
-        meta[CODE_LENGTH_ORDER[k]] = bits.read(3)
+    many = 4 + bits.read(4)
+    value = int.from_bytes(bits.data[bits.pos >> 3 : (bits.pos >> 3) + 8], "little") >> (bits.pos & 7)
+    for k in CODE_LENGTH_ORDER[:many]:
+        meta[k] = value & 7
+        value >>= 3
+    bits.pos += 3 * many
     table, mask = _meta_table(tuple(meta))
     left = size
     if bits.read(1):
@@ -369,28 +373,25 @@ def _lengths(counts: np.ndarray, most: int) -> np.ndarray:
         return out
     weight = counts[used]
     order = np.argsort(weight, kind="stable")
+    n = len(used)
     while True:
-        # two queues: leaves in ascending order, and the nodes, which arise in ascending order
-        leaf = weight[order].tolist()
-        n = len(leaf)
-        nodes, parent, i, j = [], [0] * (2 * n - 1), 0, 0
-        for k in range(n, 2 * n - 1):
-            total = 0
-            for _ in (0, 1):
-                if j == len(nodes) or (i < n and leaf[i] <= nodes[j]):
-                    total += leaf[i]
-                    parent[i] = k
-                    i += 1
-                else:
-                    total += nodes[j]
-                    parent[n + j] = k
-                    j += 1
-            nodes.append(total)
-        depth = [0] * (2 * n - 1)
-        for k in range(2 * n - 3, -1, -1):
-            depth[k] = depth[parent[k]] + 1
-        if max(depth) <= most:
-            out[used[order]] = depth[:n]
+        # leaves ascend, and so do the nodes, in the order in which they arise
+        leaf, nodes, parent, i, j = [*weight[order].tolist(), 1 << 62], [1 << 62] * n, [0] * n, 0, 0
+        above = [0] * n
+        for k in range(n - 1):
+            if leaf[i] <= nodes[j]:
+                total, parent[i], i = leaf[i], k, i + 1
+            else:
+                total, above[j], j = nodes[j], k, j + 1
+            if leaf[i] <= nodes[j]:
+                nodes[k], parent[i], i = total + leaf[i], k, i + 1
+            else:
+                nodes[k], above[j], j = total + nodes[j], k, j + 1
+        depth = [1] * n
+        for k in range(n - 3, -1, -1):
+            depth[k] = depth[above[k]] + 1
+        if depth[parent[0]] <= most:
+            out[used[order]] = [depth[k] for k in parent]
             return out
         weight = (weight + 1) >> 1
 
@@ -417,30 +418,26 @@ def _put_code(w: BitWriter, lengths: np.ndarray) -> None:
         for value, n in ((1, 1), (0, 1), (1, 1), (only, 8)):
             w.put(value, n)
         return
-    runs, last = [], -1
-    for s in used.tolist():
+    value, n = _meta_head()
+    code, size, last = _META_CODES, META_LENGTHS, -1
+    for s, length in zip([*used.tolist(), len(lengths)], [*lengths[used].tolist(), -1], strict=True):
         zeros = s - last - 1
+        last = s
         while zeros >= 11:
-            n = min(zeros, 138)
-            runs.append((18, n - 11, 7))
-            zeros -= n
+            many = min(zeros, 138)
+            value |= (code[18] | (many - 11) << size[18]) << n
+            n += size[18] + 7
+            zeros -= many
         if zeros >= 3:
-            runs.append((17, zeros - 3, 3))
-        else:
-            runs += [(0, 0, 0)] * zeros
-        runs.append((int(lengths[s]), 0, 0))
-        last = s
-    zeros = len(lengths) - last - 1
-    while zeros >= 11:
-        n = min(zeros, 138)
-        runs.append((18, n - 11, 7))
-        zeros -= n
-    runs += [(17, zeros - 3, 3)] if zeros >= 3 else [(0, 0, 0)] * zeros
-    value, n = _meta_head()
-    code = _META_CODES
-    for s, extra, many in runs:
-        value |= (code[s] | extra << META_LENGTHS[s]) << n
-        n += META_LENGTHS[s] + many
+            value |= (code[17] | (zeros - 3) << size[17]) << n
+            n += size[17] + 3
+        elif zeros:
+            for _ in range(zeros):
+                value |= code[0] << n
+                n += size[0]
+        if length >= 0:
+            value |= code[length] << n
+            n += size[length]
     w.put(value, n)
 
 
@@ -520,7 +517,7 @@ def _put_pixels(w: BitWriter, px: np.ndarray, width: int, top: bool) -> None:
     if cache_bits:
         slot, every = _cache_hits(px, cache_bits)
         hit = every[at] & ~is_ref
-        if hit.sum() * 32 < len(at):
+        if hit.sum() * 8 < len(at):
             cache_bits, hit = 0, np.zeros(len(at), bool)
     v = px[at].astype(np.int64)
     symbols = np.stack([v >> 8 & 255, v >> 16 & 255, v & 255, v >> 24], 1)
@@ -559,19 +556,18 @@ def _put_pixels(w: BitWriter, px: np.ndarray, width: int, top: bool) -> None:
     w.put(int.from_bytes(words.astype("<u4").tobytes(), "little"), int(end[-1]))
 
 
-def _bits_needed(img: np.ndarray) -> float:
-    """Estimated bits of the pixels: the entropy of each channel alone."""
-    c = _channels(img).reshape(-1, 4).astype(np.int64) + np.arange(0, 1024, 256)
-    n = np.bincount(c.ravel(), minlength=1024)
+def _bits_needed(green: np.ndarray) -> float:
+    """Bits a code of one channel takes at least: its entropy."""
+    n = np.bincount(green.ravel(), minlength=256)
     n = n[n > 0]
-    return float(img.size * 4 * np.log2(img.size) - (n * np.log2(n)).sum())
+    return float(green.size * np.log2(green.size) - (n * np.log2(n)).sum())
 
 
 def write_webp(payload: bytes) -> bytes:
     """A lossless WebP whose pixels hold ``payload`` (a multiple of 64 bytes) as green, red, blue, alpha.
 
-    Up to 256 colours, each met twice on average, become a palette; otherwise green is subtracted and the pixel above
-    predicted where that needs fewer bits by estimate.  Equal bytes give equal files.
+    Up to 256 colours, each met twice on average, become a palette; otherwise the pixel above
+    predicts where green needs fewer bits then.  Equal bytes give equal files.
     """
     n = len(payload) // 4
     width = 16
@@ -583,7 +579,8 @@ def write_webp(payload: bytes) -> bytes:
     w = BitWriter()
     for value, bits in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3)):
         w.put(value, bits)
-    colours = np.unique(img)
+    colours = np.sort(img, None)
+    colours = colours[np.append(True, colours[1:] != colours[:-1])]
     inner = width
     if len(colours) <= min(256, img.size // 2):
         index = np.searchsorted(colours, img)
@@ -596,25 +593,16 @@ def write_webp(payload: bytes) -> bytes:
         index = index.reshape(height, inner, 1 << shift) << (np.arange(1 << shift) * (8 >> shift))
         img = (index.sum(2) << 8).astype(np.uint32)
     else:
-        need = _bits_needed(img)
-        c = _channels(img).copy()
-        c[..., 0] -= c[..., 1]
-        c[..., 2] -= c[..., 1]
-        other = c.reshape(height, width * 4).view("<u4").astype(np.uint32)
-        if (less := _bits_needed(other)) < need:
-            w.put(1 | 2 << 1, 3)
-            img, need = other, less
         c = _channels(img)
         left = c.copy()
         left[1:] -= c[:-1]
         left[0, 1:] -= c[0, :-1]
         left[0, 0, 3:] -= np.uint8(255)
-        other = left.reshape(height, width * 4).view("<u4").astype(np.uint32)
-        if _bits_needed(other) < need:
+        if _bits_needed(left[..., 1]) < _bits_needed(c[..., 1]):
             w.put(1 | 7 << 3, 6)
             tw, th = -(-width // 512), -(-height // 512)
             _put_pixels(w, np.full(tw * th, 0xFF000200, np.uint32), tw, False)
-            img = other
+            img = left.reshape(height, width * 4).view("<u4").astype(np.uint32)
     w.put(0, 1)
     _put_pixels(w, img.ravel(), inner, True)
     chunk = w.bytes()

@@ -213,6 +213,26 @@ def _histogram(knn: DataFrame, v: DataFrame) -> DataFrame:
 query("a12_pareto", "v", f", r AS (SELECT selectivity_label, run_id, CAST((run_id * 37) % 101 AS DOUBLE) AS recall, qps FROM (SELECT label % 3 AS selectivity_label, vec_id AS run_id, CAST(y AS DOUBLE) AS qps FROM v)) SELECT selectivity_label, run_id, recall, qps FROM r a WHERE NOT EXISTS (SELECT 1 FROM r b WHERE b.selectivity_label = a.selectivity_label AND b.recall >= a.recall AND b.qps >= a.qps AND (b.recall > a.recall OR b.qps > a.qps))")(
     lambda v: graph.pareto(v.select((F.col("label") % 3).alias("selectivity_label"), F.col("vec_id").alias("run_id"), (F.col("vec_id") * 37 % 101).cast("double").alias("recall"), F.col("y").cast("double").alias("qps"))).select("selectivity_label", "run_id", "recall", "qps")
 )
+RUNS = "r AS (SELECT label % 3 AS selectivity_label, vec_id AS run_id, CAST((vec_id * 37) % 101 AS DOUBLE) AS recall, CAST(y AS DOUBLE) AS qps, CASE pos % 4 WHEN 0 THEN '' WHEN 1 THEN 'OK' WHEN 2 THEN 'failed' END AS status FROM v)"
+
+
+def _runs(v: DataFrame) -> DataFrame:
+    status = F.expr("case pos % 4 when 0 then '' when 1 then 'OK' when 2 then 'failed' end").alias("status")
+    return v.select((F.col("label") % 3).alias("selectivity_label"), F.col("vec_id").alias("run_id"), (F.col("vec_id") * 37 % 101).cast("double").alias("recall"), F.col("y").cast("double").alias("qps"), status)
+
+
+query("f15_completed", "v", f", {RUNS} SELECT run_id, recall, qps FROM r WHERE status IS NULL OR lower(status) IN ('', 'completed', 'ok')")(lambda v: graph.completed(_runs(v)).select("run_id", "recall", "qps"))
+query("a13_even_rows", "v", f", {RUNS}, p AS (SELECT *, row_number() OVER (PARTITION BY selectivity_label ORDER BY recall, qps DESC, run_id) - 1 AS i, count(*) OVER (PARTITION BY selectivity_label) AS n FROM r a WHERE NOT EXISTS (SELECT 1 FROM r b WHERE b.selectivity_label = a.selectivity_label AND b.recall >= a.recall AND b.qps >= a.qps AND (b.recall > a.recall OR b.qps > a.qps))) SELECT selectivity_label, run_id, recall, qps FROM p WHERE n <= 3 OR i IN (0, CAST(round_even((n - 1) / 2, 0) AS BIGINT), n - 1)")(
+    lambda v: graph.even_rows(graph.pareto(_runs(v).drop("status")), 3).select("selectivity_label", "run_id", "recall", "qps")
+)
+SETS = "a AS (SELECT src AS query_id, dst AS id FROM knn WHERE rank < 10), b AS (SELECT src AS query_id, dst AS id FROM knn WHERE rank BETWEEN src % 2 AND 9 + src % 3)"
+LACKS = "(SELECT query_id, count(*) AS n FROM (SELECT * FROM {} EXCEPT ALL SELECT * FROM {}) GROUP BY query_id)"
+query("u4_set_equality", "knn", f", {SETS} SELECT g.query_id, coalesce(x.n, 0) AS only_a, coalesce(y.n, 0) AS only_b, x.n IS NULL AND y.n IS NULL AS equal FROM (SELECT DISTINCT src AS query_id FROM knn) g LEFT JOIN {LACKS.format('a', 'b')} x USING (query_id) LEFT JOIN {LACKS.format('b', 'a')} y USING (query_id)")(
+    lambda v: (lambda k: graph.set_equality(k.where("rank < 10"), k.where("rank between query_id % 2 and 9 + query_id % 3")))(fx.knn(v).withColumnsRenamed({"src": "query_id", "dst": "id"}))
+)
+query("p10_permutation", "v", "SELECT o.pos, s.vec_id, CAST(s.embedding[1] AS DOUBLE) AS first FROM v o JOIN v s ON s.pos = o.vec_id")(
+    lambda v: graph.permute(v, v.select("pos", F.col("vec_id").alias("source"))).select("pos", "vec_id", F.col("embedding")[0].cast("double").alias("first"))
+)
 query("a20_graph_stats", "e iv", "SELECT query_id, max(end_pos - first_pos) AS width, count(*) AS kept, count(*) / CAST((SELECT count(*) FROM e) AS DOUBLE) AS share FROM e JOIN iv ON src >= first_pos AND src < end_pos AND dst >= first_pos AND dst < end_pos GROUP BY query_id")(
     lambda v: (e := fx.edges(v)).join(exact.label_interval(v, fx.queries(v)), F.expr("src >= first_pos and src < end_pos and dst >= first_pos and dst < end_pos")).groupBy("query_id").agg(F.max(F.col("end_pos") - F.col("first_pos")).alias("width"), F.count("*").alias("kept"), (F.count("*") / F.lit(float(e.count()))).alias("share"))
 )

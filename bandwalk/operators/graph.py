@@ -197,3 +197,32 @@ def pareto(rows: DataFrame, by: str = "selectivity_label") -> DataFrame:
     above = F.max("top").over(Window.partitionBy(by).orderBy(F.col("recall").desc()).rowsBetween(Window.unboundedPreceding, -1))
     front = levels.withColumn("above", above).where("above is null or top > above").select(by, "recall", F.col("top").alias("qps"))
     return rows.join(front, [by, "recall", "qps"], "left_semi")
+
+
+def completed(rows: DataFrame) -> DataFrame:
+    """Rows of runs that ended well: ``completed`` or ``ok`` in any case, or no status (empty or null)."""
+    return rows.where(F.lower(F.coalesce("status", F.lit(""))).isin("", "completed", "ok"))
+
+
+def even_rows(front: DataFrame, most: int, by: str = "selectivity_label") -> DataFrame:
+    """At most ``most`` rows of each group of a front, evenly spaced by recall; all of them if ``most`` is 0 or less."""
+    if most <= 0:
+        return front
+    order = Window.partitionBy(by).orderBy("recall", F.col("qps").desc(), "run_id")
+    rows = front.withColumn("i", F.row_number().over(order) - 1).withColumn("n", F.count("*").over(Window.partitionBy(by)))
+    last = F.col("n") - 1
+    picks = F.array(last) if most == 1 else F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda j: F.bround(j * last / F.lit(most - 1)).cast("long"))
+    return rows.where((F.col("n") <= most) | F.array_contains(picks, F.col("i").cast("long"))).drop("i", "n")
+
+
+def set_equality(a: DataFrame, b: DataFrame, by: str = "query_id", key: str = "id") -> DataFrame:
+    """For each group, how many rows only one side has, and whether there are none: counts of both sides, no join."""
+    sides = a.select(by, key, F.lit(1).alias("n")).unionByName(b.select(by, key, F.lit(-1).alias("n")))
+    left = sides.groupBy(by, key).agg(F.sum("n").alias("n")).groupBy(by)
+    out = left.agg(F.sum(F.greatest("n", F.lit(0))).alias("only_a"), F.sum(F.greatest(-F.col("n"), F.lit(0))).alias("only_b"))
+    return out.withColumn("equal", F.expr("only_a = 0 and only_b = 0"))
+
+
+def permute(rows: DataFrame, order: DataFrame) -> DataFrame:
+    """Row ``pos`` of the result is row ``source`` of ``rows``, for each ``(pos, source)`` of ``order``."""
+    return rows.withColumnRenamed("pos", "source").join(order.select("pos", "source"), "source").drop("source")

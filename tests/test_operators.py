@@ -208,6 +208,19 @@ def test_json_lists(spark, tmp_path):
         src.read_uints(spark, put("n.json", [1, -2]))
 
 
+def test_even_rows_and_sets(spark):
+    front = spark.createDataFrame([("s", i, float(i), float(9 - i)) for i in range(8)], "selectivity_label string, run_id long, recall double, qps double")
+    for most in (0, 1, 2, 3, 4, 7, 8, 20):
+        last = 7
+        want = list(range(8)) if most in (0, 8, 20) else [last] if most == 1 else sorted({round(i * last / (most - 1)) for i in range(most)})
+        assert sorted(r.run_id for r in graph.even_rows(front, most).collect()) == want
+    a = spark.createDataFrame([(1, 5), (1, 5), (1, 6), (2, 7)], "query_id long, id long")
+    b = spark.createDataFrame([(1, 5), (1, 6), (2, 7), (3, 1)], "query_id long, id long")
+    assert sorted(tuple(r) for r in graph.set_equality(a, b).collect()) == [(1, 1, 0, False), (2, 0, 0, True), (3, 0, 1, False)]
+    runs = spark.createDataFrame([(1, "OK"), (2, None), (3, "error"), (4, "Completed"), (5, "")], "run_id long, status string")
+    assert sorted(r.run_id for r in graph.completed(runs).collect()) == [1, 2, 4, 5]
+
+
 def test_query_stream(spark, table, tmp_path):
     q = table.where("vec_id < 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
     q.write.parquet(str(tmp_path / "in"))

@@ -77,7 +77,9 @@ def read_uints(spark: SparkSession, path: str) -> DataFrame:
 def read_ranges(spark: SparkSession, path: str) -> DataFrame:
     """``query_id, ql, qr`` of a flat list of closed ranges."""
     v = read_uints(spark, path).withColumn("query_id", F.floor(F.col("pos") / 2).cast("long"))
-    return v.groupBy("query_id").agg(F.max(F.when(F.col("pos") % 2 == 0, F.col("value"))).alias("ql"), F.max(F.when(F.col("pos") % 2 == 1, F.col("value"))).alias("qr"))
+    high = F.max(F.when(F.col("pos") % 2 == 1, F.col("value")))
+    high = F.coalesce(high, F.raise_error(F.lit("the length of a list of ranges is no multiple of 2")).cast("long"))
+    return v.groupBy("query_id").agg(F.max(F.when(F.col("pos") % 2 == 0, F.col("value"))).alias("ql"), high.alias("qr"))
 
 
 def _nested(spark: SparkSession, path: str, width: int) -> DataFrame:
@@ -85,8 +87,8 @@ def _nested(spark: SparkSession, path: str, width: int) -> DataFrame:
     flat = F.from_json("value", "array<bigint>")
     nested = F.from_json("value", "array<array<bigint>>")
     is_nested = F.col("value").rlike(r"^\s*\[\s*\[")
-    count = F.floor(F.size(flat) / width).cast("int")
-    pieces = F.transform(F.sequence(F.lit(1), count), lambda i: F.slice(flat, (i - 1) * width + 1, width))
+    pieces = F.transform(F.filter(F.sequence(F.lit(0), F.size(flat)), lambda i: (i % width == 0) & (i < F.size(flat))), lambda i: F.slice(flat, i + 1, width))
+    pieces = F.when(F.size(flat) % width == 0, pieces).otherwise(F.raise_error(F.lit(f"the length of a flat list is no multiple of {width}")))
     return text.select(F.posexplode(F.when(is_nested, nested).otherwise(pieces)).alias("pos", "v"))
 
 

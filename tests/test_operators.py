@@ -204,6 +204,13 @@ def test_json_lists(spark, tmp_path):
     for v in ([[1, 2], [3, 4]], [1, 2, 3, 4]):
         assert [tuple(r) for r in src.read_points(spark, put("p.json", v)).orderBy("pos").collect()] == [(0, 1, 2), (1, 3, 4)]
     assert tuple(src.read_boxes(spark, put("b.json", [[9, 2, 3, 4]])).first()) == (0, 2, 9, 3, 4)
+    assert src.read_points(spark, put("e.json", [])).count() == 0
+    with pytest.raises(Exception, match="no multiple of 2"):
+        src.read_points(spark, put("o.json", [1, 2, 3])).collect()
+    with pytest.raises(Exception, match="no multiple of 2"):
+        src.read_ranges(spark, put("o.json", [1, 2, 3])).collect()
+    with pytest.raises(Exception, match="no multiple of 4"):
+        src.read_boxes(spark, put("o.json", [1, 2, 3, 4, 5])).collect()
     with pytest.raises(ValueError):
         src.read_uints(spark, put("n.json", [1, -2]))
 

@@ -45,4 +45,50 @@ SELECT x.doc_id, CAST(CASE WHEN coalesce(x.t, '') = '' THEN 0 ELSE len(x.parts)
 FROM x LEFT JOIN r USING (doc_id)
 """
 
-ORACLE = {"op1_line_dedup": LINE_DEDUP, "op4_minhash_near_dedup": NEAR_DUPLICATES}
+#: Five bits a document, then sums over sets of bits for each of the 120 orders.
+FILTER_AUDIT = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce("text", '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM d),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS q, max(CAST(toxic = 1 AS INT)) AS x FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(q, 0) AS q, coalesce(x, 0) AS x, CAST(len(w) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INT)
+  + 4 * CAST(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) AS INT) + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT)
+  + 16 * CAST(doc_id > min(doc_id) OVER (PARTITION BY t) AS INT) AS m FROM w LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, m, count(*) AS n, sum(q) AS good, sum(x) AS toxic FROM f GROUP BY part, m),
+y AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS y),
+o AS (SELECT concat(a.y, b.y, c.y, d.y, e.y) AS o FROM y a, y b, y c, y d, y e WHERE len(list_distinct([a.y, b.y, c.y, d.y, e.y])) = 5),
+s AS (SELECT o, k, 1 << (instr('ABCDE', o[k]) - 1) AS bit, CAST(list_sum(list_concat([0], list_transform(range(1, k), lambda j: 1 << (instr('ABCDE', o[j]) - 1)))) AS BIGINT) AS before FROM o, range(1, 6) t(k))
+SELECT part, o AS filter_order, CAST(k AS INTEGER) AS step,
+  CAST(coalesce(sum(n) FILTER (m & (before | bit) = 0), 0) AS BIGINT) AS kept,
+  CAST(coalesce(sum(n) FILTER (m & before = 0 AND m & bit <> 0), 0) AS BIGINT) AS removed,
+  CAST(coalesce(sum(n) FILTER (m & before <> 0 AND m & bit <> 0), 0) AS BIGINT) AS redundant,
+  CAST(coalesce(sum(n) FILTER (m = bit), 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(sum(good) FILTER (m & before = 0 AND m & bit <> 0), 0) AS BIGINT) AS good_lost,
+  CAST(coalesce(sum(toxic) FILTER (m & before = 0 AND m & bit <> 0), 0) AS BIGINT) AS toxic_lost,
+  CAST(coalesce(sum(n * (120 // greatest(1, bit_count(CAST(m AS BIGINT))))) FILTER (m & bit <> 0), 0) AS BIGINT) AS shapley
+FROM c, s GROUP BY part, o, k
+"""
+
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR) END"
+_LEAF = "sha256(concat(" + ", ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "{n}", '"text"')) + "))"
+#: CRC-32 of a short ASCII text, bit by bit (4294967295 and 3988292384 are fixed values of the checksum).
+_CRC = "xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda r, b: list_reduce(list_concat([xor(r, b)], CAST(range(8) AS BIGINT[])), lambda a, z: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)), 4294967295)"
+
+#: Levels of both trees, siblings by level, and a fold from the tampered leaves.
+MERKLE_MANIFEST = f"""
+WITH RECURSIVE a AS MATERIALIZED (SELECT doc_id, lang, {_LEAF.format(n="n_chars")} AS leaf, CASE WHEN {_CRC} % 7 = 0 THEN {_LEAF.format(n="(n_chars + 1)")} END AS claimed FROM documents),
+p AS MATERIALIZED (SELECT *, row_number() OVER () AS rid, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS part FROM a),
+lv(part, l, i, h, n) AS (SELECT part, 0, pos, leaf, n FROM p UNION ALL SELECT part, l + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM lv WHERE n > 1 GROUP BY part, l, i // 2, n),
+lt AS MATERIALIZED (SELECT * FROM lv),
+lr(l, i, h, n) AS (SELECT 0, part, h, (SELECT count(DISTINCT part) FROM p) FROM lt WHERE n = 1 UNION ALL SELECT l + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM lr WHERE n > 1 GROUP BY l, i // 2, n),
+rt AS MATERIALIZED (SELECT * FROM lr),
+sib AS (SELECT rid, 0 AS tree, l, t.h FROM p JOIN lt t ON t.part = p.part AND t.i = xor(p.pos >> t.l, 1) UNION ALL SELECT rid, 1, l, t.h FROM p JOIN rt t ON t.i = xor(p.part >> t.l, 1)),
+proof AS (SELECT rid, sha256(string_agg(h, '' ORDER BY tree, l)) AS s FROM sib GROUP BY rid),
+fa(rid, part, l, i, n, h) AS (SELECT rid, part, 0, pos, n, coalesce(claimed, leaf) FROM p UNION ALL
+  SELECT rid, fa.part, fa.l + 1, fa.i // 2, (fa.n + 1) // 2, sha256(CASE WHEN fa.i % 2 = 1 THEN coalesce(t.h, '') || fa.h ELSE fa.h || coalesce(t.h, '') END) FROM fa LEFT JOIN lt t ON t.part = fa.part AND t.l = fa.l AND t.i = xor(fa.i, 1) WHERE fa.n > 1),
+fb(rid, l, i, n, h) AS (SELECT rid, 0, part, (SELECT count(DISTINCT part) FROM p), h FROM fa WHERE n = 1 UNION ALL
+  SELECT rid, fb.l + 1, fb.i // 2, (fb.n + 1) // 2, sha256(CASE WHEN fb.i % 2 = 1 THEN coalesce(t.h, '') || fb.h ELSE fb.h || coalesce(t.h, '') END) FROM fb LEFT JOIN rt t ON t.l = fb.l AND t.i = xor(fb.i, 1) WHERE fb.n > 1)
+SELECT p.doc_id, p.leaf, s.h AS subroot, r.h AS root, coalesce(proof.s, sha256('')) AS proof_sha256, fb.h AS folded_root, fb.h = r.h AS verified
+FROM p JOIN lt s ON s.part = p.part AND s.n = 1 JOIN rt r ON r.n = 1 LEFT JOIN proof USING (rid) JOIN fb ON fb.rid = p.rid AND fb.n = 1
+"""
+
+ORACLE = {"op11_filter_audit": FILTER_AUDIT, "op12_merkle_manifest": MERKLE_MANIFEST, "op1_line_dedup": LINE_DEDUP, "op4_minhash_near_dedup": NEAR_DUPLICATES}

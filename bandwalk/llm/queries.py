@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, license_scan, line_dedup, media, near_dedup, packing, quality, secret_scan, sentencepiece, suffix_dedup
+from . import embedding_dedup, filter_audit, license_scan, line_dedup, media, merkle, near_dedup, packing, quality, secret_scan, sentencepiece, suffix_dedup, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,24 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(_table(spark, sf_dir, "documents")).drop("places")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    docs = _table(spark, sf_dir, "documents").select(columns)
+    tampered = [(F.col(c).cast("decimal(20,0)") + 1 if c == "n_chars" else F.col(c)) for c in columns]
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    docs = docs.withColumn("claimed", F.when(hit, merkle.leaf_hash(*tampered)))
+    proofs = merkle.manifest(docs, columns, keep=("claimed",)).withColumn("claimed", F.coalesce("claimed", "leaf"))
+    return merkle.verify(proofs, "claimed").select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.digest_tokens(token_files.write_tokens(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -82,6 +100,9 @@ QUERIES = {
         op8_quality_classifier,
         op9_suffix_array_dedup,
         op10_license_scan,
+        op11_filter_audit,
+        op12_merkle_manifest,
+        op13_token_files,
         pipeline,
     )
 }

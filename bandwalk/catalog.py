@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bandwalk.functions import kernels as K
-from bandwalk.operators import boxes, exact, folds, graph, search
+from bandwalk.operators import approximate, boxes, exact, folds, graph, ranges, search
 from bandwalk.plans import fixtures as fx
 from bandwalk.plans.duck import d2, sql
 
@@ -237,6 +237,10 @@ query("a20_graph_stats", "e iv", "SELECT query_id, max(end_pos - first_pos) AS w
     lambda v: (e := fx.edges(v)).join(exact.label_interval(v, fx.queries(v)), F.expr("src >= first_pos and src < end_pos and dst >= first_pos and dst < end_pos")).groupBy("query_id").agg(F.max(F.col("end_pos") - F.col("first_pos")).alias("width"), F.count("*").alias("kept"), (F.count("*") / F.lit(float(e.count()))).alias("share"))
 )
 
+query("d4_range_stats", "e c iv", ", h AS (SELECT h.label, s.pos AS node FROM (SELECT label, max(pos) AS hi FROM v GROUP BY label) h JOIN s ON s.pos <= h.hi WHERE NOT EXISTS (SELECT 1 FROM s j WHERE j.pos > s.pos AND j.pos <= h.hi AND j.d <= s.d)), g AS (SELECT pos, count(e.src) AS deg FROM v LEFT JOIN e ON e.src = v.pos GROUP BY pos), i AS (SELECT query_id, pos, deg, count(e.dst) AS n FROM iv JOIN g ON pos >= first_pos AND pos < end_pos LEFT JOIN e ON e.src = pos AND e.dst >= first_pos AND e.dst < end_pos GROUP BY ALL) SELECT query_id, any_value(end_pos - first_pos) AS width, (SELECT count(*) FROM h JOIN v ON v.label = h.label WHERE v.pos = iv.end_pos - 1 AND node >= first_pos AND node < end_pos) AS header_size, avg(deg) AS degree, avg(n) AS in_range_degree, round(coalesce(avg(n / CAST(deg AS DOUBLE)) FILTER (deg > 0), 0), 9) AS keep_ratio, CAST(sum(n) AS BIGINT) AS kept, sum(n) / CAST((SELECT count(*) FROM e) AS DOUBLE) AS share FROM i JOIN iv USING (query_id) GROUP BY query_id, first_pos, end_pos")(
+    lambda v: ranges.range_stats(fx.edges(v), v, exact.label_interval(v, fx.queries(v)), graph.headers(fx.scored(v))).withColumn("keep_ratio", F.round("keep_ratio", 9))
+)
+
 # prefix policies and reserves that are windows
 query("r1_distance", "knn", "SELECT src, rank, dst FROM knn")(lambda v: folds.reorder_prefix(fx.knn(v), "dist").select("src", "rank", "dst"))
 query("r12_score", "knn", f"SELECT src, row_number() OVER (PARTITION BY src ORDER BY rank - 0.5 * jr, rank) - 1 AS rank, dst FROM (SELECT src, rank, dst, row_number() OVER (PARTITION BY src ORDER BY {LVL} DESC, rank) - 1 AS jr FROM knn)")(lambda v: graph.jump_score(fx.knn(v), 0.5))
@@ -269,11 +273,16 @@ query("b22_header_seeds", "c iv", f", {HEAD} SELECT query_id, node AS seed FROM
 
 # folds and searches, checked by tests against plain versions
 query("g2_build")(lambda v: folds.build(v, fx.knn(v), refine=False))
-query("g3_build_refined")(lambda v: folds.build(v, fx.knn(v), window_cap=16, bridges=folds.chain_bridges(v, fx.scored(v))))
+SEEDING = {"limit": 4, "expand": 2, "beam": 24, "degree": 12}
+query("g3_build_refined")(lambda v: folds.build(v, k := fx.knn(v), window_cap=16, bridges=approximate.seed_bridges(v, k, fx.scored(v), **SEEDING)))
 query("g5_prune")(lambda v: folds.prune(fx.knn(v), v, 8, by_side=False))
 query("g7_side_prune")(lambda v: folds.prune(graph.band(v, 12), v, 16))
 query("g9_quota_merge")(lambda v: folds.quota_merge(fx.knn(v).select("src", "dst"), graph.band(v, 6), v, 16))
 query("g10_chain_bridges")(lambda v: folds.chain_bridges(v, fx.scored(v)))
+query("g10_seed_bridges")(lambda v: approximate.seed_bridges(v, fx.knn(v), fx.scored(v), **SEEDING))
+query("g10_far_chains")(lambda v: approximate.seed_chains(v, fx.scored(v), 3, "far"))
+query("g11_seed_queue")(lambda v: approximate.seed_search(v, fx.knn(v), approximate.seed_chains(v, fx.scored(v), 2).where("src % 20 = 0"), "queue", "expanded", batch=2, expand=4, degree=12))
+query("g1_nn_descent")(lambda v: approximate.nn_descent(v, 16))
 query("g23_box_prune")(lambda v: folds.box_prune(fx.knn(v).select("src", "dst"), v, 12))
 _SCORED = f"SELECT src, row_number() OVER (PARTITION BY src ORDER BY {{order}}) - 1 AS rank, dst, d2 FROM (SELECT *, row_number() OVER (PARTITION BY src, {{scope}} ORDER BY {LVL} DESC, rank) - 1 AS jr FROM knn)"
 _POLICY_SQL = {
@@ -289,9 +298,9 @@ query("e10_conflicts_exact")(lambda v: folds.conflicts(fx.knn(v), v))
 query("f11_conflict_gate")(lambda v: folds.conflict_gate(folds.conflicts(fx.knn(v), v), 100, 300))
 
 
-def _searchable(v: DataFrame) -> tuple[search.Packed | search.Shards, DataFrame]:
+def _searchable(v: DataFrame) -> tuple[search.Index, DataFrame]:
     v = v.cache()
-    g = search.pack_graph(v, folds.build(v, fx.knn(v).cache()).cache())
+    g = search.Index(v, folds.build(v, fx.knn(v).cache()).cache())
     q = _spans(v)
     return g, search.with_seeds(q, search.seeds("anchors", q, v, None, 3))
 
@@ -303,4 +312,7 @@ for _p in ("even", "sides", "reciprocal", "corebridge"):
     query(f"b_pick_{_p}")(lambda v, p=_p: search.search(*_searchable(v), search.Options(trunc=8, prefix=4, pick=p)))
 query("b9_nav_width")(lambda v: search.search(*_searchable(v), search.Options(nav_degree=4, early_stop=8)))
 query("b19_rescue")(lambda v: search.search(*_searchable(v), search.Options(trunc=8, rescue=2, fallback_stall=4)))
+query("s23_search_events")(lambda v: search.search(*_searchable(v), search.Options(), "events"))
+query("a8_event_benefit")(lambda v: search.benefit(search.search(*_searchable(v), search.Options(), "events"), search.gap_bucket(), "bucket"))
+query("w10_rank_benefit")(lambda v: search.benefit(search.search(*_searchable(v), search.Options(), "events"), F.col("selected_rank"), "selected_rank"))
 query("b33_sweep")(lambda v: search.sweep(*(gq := _searchable(v)), exact.topk(v, gq[1], 10, [("label", "ql", "qr")]).select("query_id", "id"), [(24, 8), (48, 16), (96, 32)]))

@@ -1,30 +1,40 @@
-"""Beam search over a range graph, one query at a time inside Arrow batches of queries.
-
-The packed graph goes to the workers as one broadcast, which is only done below
-``MAX_PACKED_BYTES``; larger graphs are searched as label-range shards, each beside the
-queries that reach it, and a top-k merge combines the answers.
+"""Beam search over a range graph as relations, for all queries at once.
+
+A round takes the best open nodes of every query's beam, joins them to their adjacency,
+leaves what is out of range or was seen (anti join), chooses among the rest, joins the
+chosen to their vectors, and ranks old and new together.  The index stays in two tables
+that are partitioned by position once, so a round moves the few rows of the beams only;
+nothing is gathered or broadcast.  A round's rows are written as one table: its beam, its
+evaluations and each query's counters; hits, counters, traces and events are read from them.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_PACKED_BYTES = 512 << 20
-SHARD_BYTES = 64 << 20
+from bandwalk import tables
+from bandwalk.functions.kernels import jump_level, squared_l2
 
 
 @dataclass(frozen=True)
 class Options:
-    """Width of the beam, neighbours a step, and the ways to choose and stop."""
+    """Width of the beam, neighbours a step, and the ways to choose and stop.
+
+    ``width`` nodes of a query are expanded in one round; 1 is the sequential order.  ``stall``
+    counts expansions since the best distance last fell: below ``stall_rounds`` a node gets
+    ``nav_degree`` neighbours (if not 0) instead of ``trunc``; from ``early_stop`` on (if not 0) a query ends
+    once the first third of its beam is expanded; from ``fallback_stall`` on (if not 0) a node gets
+    twice as many in adjacency order.  ``max_expand`` bounds a query's expansions, 0 does not.
+    """
 
     k: int = 10
     beam: int = 64
     trunc: int = 24
+    width: int = 16
     nav_degree: int = 0
     stall_rounds: int = 8
     early_stop: int = 0
@@ -32,200 +42,247 @@ class Options:
     prefix: int = 32
     core_share: float = 0.6
     rescue: int = 0
+    rescue_by: str = "prefix"  # or gap
     fallback_stall: int = 0
+    max_expand: int = 0
     seeds: str = "header"
 
 
-class Packed:
-    """Label-ordered vectors and adjacency in flat arrays."""
+class Index:
+    """Vectors ``(pos, vec_id, embedding)`` and adjacency ``(src, near)``, each partitioned by position and kept.
 
-    def __init__(self, x: np.ndarray, ids: np.ndarray, offsets: np.ndarray, dst: np.ndarray):
-        self.x, self.ids, self.offsets, self.dst, self.sq = x, ids, offsets, dst, (x * x).sum(1)
+    ``near`` lists ``(dst, mutual)`` by rank; ``mutual``: the source is among the first
+    ``depth`` neighbours of ``dst``.
+    """
 
-    def near(self, u: int) -> np.ndarray:
-        return self.dst[self.offsets[u] : self.offsets[u + 1]]
+    def __init__(self, vectors: DataFrame, edges: DataFrame, depth: int = 32):
+        spark = vectors.sparkSession
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        back = edges.where(F.col("rank") < depth).select(F.col("dst").alias("src"), F.col("src").alias("dst")).distinct().withColumn("mutual", F.lit(True))
+        e = edges.select("src", "rank", "dst").join(back, ["src", "dst"], "left")
+        near = F.transform(F.sort_array(F.collect_list(F.struct("rank", "dst", F.coalesce("mutual", F.lit(False)).alias("mutual")))), lambda x: F.struct(x["dst"].alias("dst"), x["mutual"].alias("mutual")))
+        v, v_path = tables.cut(vectors.select("pos", "vec_id", "embedding"), "vectors")
+        links, l_path = tables.cut(e.groupBy("src").agg(near.alias("near")), "links")
+        self.vectors = v.repartition(parts, "pos").persist(StorageLevel.MEMORY_AND_DISK)
+        self.links = links.repartition(parts, "src").persist(StorageLevel.MEMORY_AND_DISK)
+        self.paths = (v_path, l_path)
 
+    def release(self) -> None:
+        """Give back memory and delete the tables."""
+        self.vectors.unpersist()
+        self.links.unpersist()
+        tables.drop(self.vectors.sparkSession, *self.paths)
 
-@dataclass(frozen=True)
-class Shards:
-    """An index that stays in its tables, cut every ``size`` positions."""
-
-    vectors: DataFrame
-    edges: DataFrame
-    size: int
-
-    def rows(self) -> DataFrame:
-        near = self.edges.groupBy(F.col("src").alias("pos")).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "dst"))), lambda e: e["dst"]).alias("near"))
-        shard = F.floor(F.col("pos") / self.size).alias("shard")
-        return self.vectors.select("pos", "vec_id", "embedding").join(near, "pos", "left").select(shard, "pos", "vec_id", "embedding", F.coalesce("near", F.expr("cast(array() AS array<bigint>)")).alias("near"))
-
-
-def pack_graph(vectors: DataFrame, edges: DataFrame) -> Packed | Shards:
-    """Gather an index whose size is checked first; a larger one becomes shards."""
-    n, m = vectors.count(), edges.count()
-    dim = len(vectors.select("embedding").first()[0]) if n else 0
-    if (total := n * dim * 4 + m * 8) > MAX_PACKED_BYTES:
-        return Shards(vectors, edges, max(1, n * SHARD_BYTES // total))
-    v = vectors.select("pos", "vec_id", "embedding").orderBy("pos").toPandas()
-    e = edges.select("src", "rank", "dst").toPandas().sort_values(["src", "rank"])
-    offsets = np.zeros(n + 1, np.int64)
-    np.cumsum(np.bincount(e["src"], minlength=n), out=offsets[1:])
-    return Packed(np.stack([np.asarray(a, np.float32) for a in v["embedding"]]), v["vec_id"].to_numpy(), offsets, e["dst"].to_numpy(np.int64))
-
-
-def choose(raw: np.ndarray, u: int, want: int, o: Options, graph: Packed) -> np.ndarray:
-    """The neighbours of ``u`` to evaluate among those in range and new, in adjacency order."""
-    if len(raw) <= want or o.pick == "prefix":
-        return raw[:want]
-    head = raw[: min(o.prefix, want)]
-    rest, room = raw[len(head) :], want - len(head)
+
+#: What a round's table holds of each query beside the node itself.
+_STATE = ("lo", "hi", "beam", "trunc", "budget", "skip", "stall", "best", "spent")
+_ROUND = "query_id long, pos long, d2 double, open boolean, new boolean, expanded boolean, src long, rank int, selected int, raw int, lo long, hi long, beam long, trunc long, budget long, skip long, stall long, best double, spent long, place int, next boolean, active boolean"
+
+
+def _chosen(o: Options) -> Column:
+    """Of the rows ``i`` of ``n`` (adjacency order) of a node, those to evaluate; ``want`` many at most."""
     if o.pick == "even":
-        return np.concatenate([head, rest[np.unique(np.arange(room) * (len(rest) - 1) // max(1, room - 1))]]) if room else head
+        head = F.least(F.lit(o.prefix).cast("long"), F.col("want"))
+        spaced = F.expr(f"transform(sequence(0L, greatest(want - {o.prefix}L, 1L) - 1L), j -> j * (n - {o.prefix}L - 1L) div greatest(1L, want - {o.prefix}L - 1L))")
+        return (F.col("i") < head) | ((F.col("want") > o.prefix) & F.array_contains(spaced, F.col("i") - o.prefix))
+    node = Window.partitionBy("query_id", "src")
+    gap = F.abs(F.col("dst") - F.col("src"))
     if o.pick == "sides":
-        left, right = raw[raw < u], raw[raw > u]
-        half = min(len(left), want // 2)
-        return np.concatenate([left[:half], right[: want - half], left[half : half + max(0, want - half - len(right))]])
-    gap = np.abs(raw - u)
+        left = F.col("dst") < F.col("src")
+        at = F.row_number().over(Window.partitionBy("query_id", "src", left).orderBy("i")) - 1
+        n_left = F.count(F.when(left, 1)).over(node)
+        half = F.least(n_left, F.floor(F.col("want") / 2))
+        room = F.col("want") - half
+        return F.when(left, at < half + F.greatest(room - (F.col("n") - n_left), F.lit(0))).otherwise(at < room)
     if o.pick == "reciprocal":
-        back = np.array([u in graph.near(int(v))[: o.prefix] for v in raw])
-        return raw[np.lexsort((np.arange(len(raw)), -gap, ~back))][:want]
-    core = raw[: round(want * o.core_share)]
-    far = raw[len(core) :]
-    return np.concatenate([core, far[np.argsort(-np.abs(far - u), kind="stable")][: want - len(core)]])
-
-
-def beam_search(graph: Packed, q: np.ndarray, lo: int, hi: int, seeds: np.ndarray, o: Options, trace: list | None = None) -> tuple[list[tuple[float, int]], dict]:
-    """Nearest nodes in positions ``[lo, hi)``; the cursor goes back to where a better node entered."""
-    seeds = np.unique(seeds[(seeds >= lo) & (seeds < hi)])
-    if not len(seeds):
-        seeds = np.array([lo])
-    score = lambda at: graph.sq[at] - 2 * (graph.x[at] @ q)
-    seen = np.zeros(hi - lo, bool)
-    seen[seeds - lo] = True
-    width = max(o.beam, o.k)
-    found = sorted(zip(score(seeds).tolist(), seeds.tolist(), strict=True))[:width]
-    done: set[int] = set()
-    cursor = stall = rounds = 0
-    stats = {"expanded_nodes": 0, "raw_neighbors_scanned": 0, "range_filtered_out_neighbors": 0, "distance_computations": len(seeds), "beam_insertions": 0, "beam_rewinds": 0}
-    opened = False
-    while cursor < len(found):
-        u = found[cursor][1]
-        if u in done:
-            cursor += 1
-            continue
-        done.add(u)
-        near = graph.near(u)
-        inside = near[(near >= lo) & (near < hi)]
-        raw = inside[~seen[inside - lo]]
-        opened = opened or stall >= o.stall_rounds
-        want = o.nav_degree if o.nav_degree and not opened else o.trunc
-        picked = choose(raw, u, want, o, graph)
-        if o.fallback_stall and stall >= o.fallback_stall:
-            picked = raw[: 2 * want]
-        if o.rescue:
-            picked = np.concatenate([picked, raw[~np.isin(raw, picked)][: o.rescue]])
-        seen[picked - lo] = True
-        stats["expanded_nodes"] += 1
-        stats["raw_neighbors_scanned"] += len(near)
-        stats["range_filtered_out_neighbors"] += len(near) - len(inside)
-        stats["distance_computations"] += len(picked)
-        best, entered = found[0][0], 0
-        for d, v in zip(score(picked).tolist(), picked.tolist(), strict=True):
-            if len(found) >= width and d >= found[-1][0]:
-                continue
-            at = bisect_left(found, (d, v))
-            found.insert(at, (d, v))
-            del found[width:]
-            entered += 1
-            if at <= cursor:
-                stats["beam_rewinds"] += 1
-                cursor = at
-        stats["beam_insertions"] += entered
-        stall = 0 if found[0][0] < best else stall + 1
-        rounds += 1
-        if trace is not None:
-            trace.append((rounds, u, entered, stats["beam_insertions"], float(found[0][0] + q @ q), stall, max(v for _, v in found) - min(v for _, v in found), len(raw), len(picked), len(near) - len(inside), stats["distance_computations"]))
-        if o.early_stop and stall >= o.early_stop and cursor >= width // 3:
+        return F.row_number().over(node.orderBy(F.col("mutual").desc(), gap.desc(), "i")) <= F.col("want")
+    if o.pick == "corebridge":
+        core = F.bround(F.col("want") * o.core_share).cast("long")
+        far = F.row_number().over(Window.partitionBy("query_id", "src", F.col("i") < core).orderBy(gap.desc(), "i"))
+        return (F.col("i") < core) | (far <= F.col("want") - core)
+    return F.col("i") < F.col("want")
+
+
+def _neighbours(beams: DataFrame, index: Index, seen: DataFrame, o: Options) -> DataFrame:
+    """``query_id, pos, src, rank, selected, raw`` to evaluate: each new node once, for the first source that chose it."""
+    front = beams.where("next").select("query_id", F.col("pos").alias("src"), "place", "lo", "hi", "trunc", "skip", "stall")
+    rows = front.join(index.links, "src").select(*front.columns, F.posexplode("near").alias("rank", "e"))
+    rows = rows.withColumn("dst", F.col("e.dst")).withColumn("mutual", F.col("e.mutual")).drop("e")
+    rows = rows.where("dst >= lo and dst < hi and not (dst <=> skip)")
+    # one exchange by query serves what follows: seen nodes come along as marks instead of an anti join
+    marks = seen.select("query_id", F.col("pos").alias("dst"), F.lit(True).alias("old"))
+    rows = rows.unionByName(marks, allowMissingColumns=True).repartition("query_id")
+    rows = rows.withColumn("old", F.max("old").over(Window.partitionBy("query_id", "dst"))).where("old is null")
+    node = Window.partitionBy("query_id", "src")
+    rows = rows.withColumn("i", F.row_number().over(node.orderBy("rank")).cast("long") - 1).withColumn("n", F.count("*").over(node))
+    want = F.col("trunc")
+    if o.nav_degree:
+        want = F.when(F.col("stall") < o.stall_rounds, F.least(want, F.lit(o.nav_degree).cast("long"))).otherwise(want)
+    rows = rows.withColumn("want", want)
+    chosen = (F.col("n") <= F.col("want")) | _chosen(o)
+    if o.fallback_stall:
+        chosen = F.when(F.col("stall") >= o.fallback_stall, F.col("i") < 2 * F.col("want")).otherwise(chosen)
+    rows = rows.withColumn("chosen", chosen)
+    if o.rescue:
+        order = (F.abs(F.col("dst") - F.col("src")).desc(), "i") if o.rescue_by == "gap" else ("i",)
+        rows = rows.withColumn("chosen", F.col("chosen") | (F.row_number().over(Window.partitionBy("query_id", "src", "chosen").orderBy(*order)) <= o.rescue))
+    rows = rows.where("chosen").withColumn("selected", F.row_number().over(node.orderBy("i")).cast("int") - 1)
+    first = F.min(F.struct("place", "i", "src", "rank", "selected", F.col("n").cast("int").alias("raw"))).alias("f")
+    return rows.groupBy("query_id", F.col("dst").alias("pos")).agg(first).select("query_id", "pos", "f.src", "f.rank", "f.selected", "f.raw")
+
+
+def _distances(old: DataFrame | None, found: DataFrame, index: Index, queries: DataFrame) -> DataFrame:
+    """The rows of a round with ``d2``: found ones meet their vectors by position, then all meet their query."""
+    rows = found.join(index.vectors.select("pos", "embedding"), "pos").withColumn("d2", F.lit(None).cast("double"))
+    if old is not None:
+        rows = rows.unionByName(old.withColumn("embedding", F.lit(None).cast("array<float>")))
+    rows = rows.repartition("query_id").join(queries.select("query_id", "qv"), "query_id")
+    return rows.withColumn("d2", F.coalesce("d2", squared_l2("embedding", "qv"))).drop("embedding", "qv")
+
+
+def _ranked(rows: DataFrame, o: Options) -> DataFrame:
+    """A round's table from its rows: counters of the query, place in the beam, and what is expanded next."""
+    query = Window.partitionBy("query_id")
+    least = F.min("d2").over(query)
+    spent = F.count(F.when(F.col("expanded"), 1)).over(query)
+    before = {c: F.max(c).over(query) for c in _STATE}
+    rows = rows.withColumns(before | {"least_": least, "now_": spent})
+    better = F.col("best").isNull() | (F.col("least_") < F.col("best"))
+    rows = rows.withColumns({"stall": F.when(better, F.lit(0).cast("long")).otherwise(F.col("stall") + F.col("now_")), "best": F.col("least_"), "spent": F.col("spent") + F.col("now_")})
+    rows = rows.withColumn("place", F.row_number().over(query.orderBy("d2", "pos")))
+    rows = rows.withColumn("open", F.col("open") & (F.col("place") <= F.col("beam")))
+    if o.early_stop:
+        cursor = F.min(F.when(F.col("open"), F.col("place"))).over(query) - 1
+        rows = rows.withColumn("open", F.col("open") & ~((F.col("stall") >= o.early_stop) & (cursor >= F.floor(F.col("beam") / 3))))
+    turn = F.row_number().over(Window.partitionBy("query_id", "open").orderBy("place"))
+    room = F.when(F.col("budget") > 0, F.least(F.lit(o.width).cast("long"), F.col("budget") - F.col("spent"))).otherwise(o.width)
+    rows = rows.withColumn("next", F.col("open") & (turn <= room))
+    rows = rows.withColumn("active", F.max("next").over(query))
+    return rows.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in _ROUND.split(", ")])
+
+
+def _search(index: Index, queries: DataFrame, o: Options, max_rounds: int) -> tuple[DataFrame, str]:
+    """The tables of all rounds, with their ``round``, and where they are."""
+    spark = queries.sparkSession
+    width = lambda name, default: F.coalesce(F.col(name), F.lit(default)).cast("long") if name in queries.columns else F.lit(default).cast("long")
+    at = queries.where("end_pos > first_pos").select("query_id", "qv", F.col("first_pos").cast("long").alias("lo"), F.col("end_pos").cast("long").alias("hi"), F.greatest(width("beam_size", o.beam), F.lit(o.k)).alias("beam"), width("trunc_size", o.trunc).alias("trunc"), width("max_expand", o.max_expand).alias("budget"), (F.col("skip") if "skip" in queries.columns else F.lit(None)).cast("long").alias("skip"), "seed_ids")
+    at, at_path = tables.cut(at, "queries")
+    inside = F.filter(F.array_distinct("seed_ids"), lambda s: (s >= F.col("lo")) & (s < F.col("hi")) & ~s.eqNullSafe(F.col("skip")))
+    inside = F.when(F.size(inside) > 0, inside).when(F.col("skip").isNull(), F.array("lo")).otherwise(F.filter(F.array("lo"), lambda s: s != F.col("skip")))
+    first = at.select("query_id", "lo", "hi", "beam", "trunc", "budget", "skip", F.explode(inside.cast("array<bigint>")).alias("pos"))
+    fresh = {"open": F.lit(True), "new": F.lit(True), "expanded": F.lit(False)}
+    none = {"src": F.lit(None).cast("long"), "rank": F.lit(None).cast("int"), "selected": F.lit(None).cast("int"), "raw": F.lit(None).cast("int")}
+    start = {"stall": F.lit(0).cast("long"), "best": F.lit(None).cast("double"), "spent": F.lit(0).cast("long")}
+    rows = _distances(None, first.withColumns(fresh | none | start), index, at)
+    path, r = tables.shared_path(spark, "search"), 0
+    read = lambda: spark.read.schema(_ROUND + ", round int").parquet(path)
+    while True:
+        last = tables.put(_ranked(rows, o), f"{path}/round={r}")
+        if last.where("next").isEmpty() or r == max_rounds:
             break
-    return found[: o.k], stats
+        beams = last.where("active and place <= beam")
+        found = _neighbours(beams, index, read().where("new"), o)
+        found = found.withColumns(fresh | {c: F.lit(None).cast("double" if c == "best" else "long") for c in _STATE})
+        old = beams.withColumns({"open": F.col("open") & ~F.col("next"), "new": F.lit(False), "expanded": F.col("next")} | none)
+        rows, r = _distances(old.select(*found.columns, "d2"), found, index, at), r + 1
+    tables.drop(spark, at_path)
+    return read(), path
+
+
+def _final(rounds: DataFrame) -> DataFrame:
+    """The last beam of every query: finished queries leave the rounds."""
+    last = rounds.groupBy(F.col("query_id").alias("q_")).agg(F.max("round").alias("r_"))
+    return rounds.join(last, (F.col("query_id") == F.col("q_")) & (F.col("round") == F.col("r_"))).where("place <= beam").drop("q_", "r_")
+
+
+def _events(rounds: DataFrame, k: int) -> DataFrame:
+    """A row for each evaluation; seeds have no ``current_node``."""
+    final = _final(rounds).select("query_id", F.col("pos").alias("neighbor_node"), (F.col("place") <= k).alias("in_final_topk"), F.lit(True).alias("in_final_beam"))
+    e = rounds.where("new").select(
+        "query_id",
+        F.col("round").cast("long").alias("expansion_round"),
+        F.col("src").alias("current_node"),
+        F.col("pos").alias("neighbor_node"),
+        F.col("rank").cast("long").alias("edge_rank"),
+        F.col("selected").cast("long").alias("selected_rank"),
+        (F.col("place") <= F.col("beam")).alias("was_inserted"),
+        ((F.col("d2") == F.col("best")) & (F.col("place") == 1)).alias("improved_best"),
+        F.col("d2").alias("dist"),
+    )
+    e = e.join(final, ["query_id", "neighbor_node"], "left")
+    return e.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("in_final_beam", "in_final_topk")})
+
+
+def _trace(rounds: DataFrame, index: Index) -> DataFrame:
+    """A row for each expansion in order: the nodes of a round by their place, with that round's beam."""
+    gone = rounds.where("expanded").select("query_id", "round", F.col("pos").alias("src"), "d2", "lo", "hi")
+    near = F.col("near")
+    inside = F.size(F.filter(near, lambda e: (e["dst"] >= F.col("lo")) & (e["dst"] < F.col("hi"))))
+    gone = gone.join(index.links, "src", "left").withColumns({"degree": F.when(near.isNull(), 0).otherwise(F.size(near)), "inside": F.when(near.isNull(), 0).otherwise(inside)}).drop("near")
+    new = rounds.where("new and src is not null").groupBy("query_id", "round", "src").agg(F.count("*").alias("selected_count"), F.max("raw").alias("raw"), F.count(F.when(F.col("place") <= F.col("beam"), 1)).alias("insertions"))
+    of_round = rounds.groupBy("query_id", "round").agg(F.min("d2").alias("best_dist"), F.max("stall").alias("stall_rounds"), F.max(F.when(F.col("place") <= F.col("beam"), F.col("pos"))).alias("top"), F.min(F.when(F.col("place") <= F.col("beam"), F.col("pos"))).alias("bottom"))
+    seeds = rounds.where("round = 0").groupBy("query_id").agg(F.count("*").alias("seeds"))
+    t = gone.join(new, ["query_id", "round", "src"], "left").join(of_round, ["query_id", "round"]).join(seeds, "query_id")
+    t = t.fillna(0, ["selected_count", "insertions", "raw"])
+    order = Window.partitionBy("query_id").orderBy("round", "d2", "src")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    return t.select(
+        "query_id",
+        F.row_number().over(order).cast("long").alias("round"),
+        F.col("src").alias("expanded_node"),
+        "insertions",
+        F.sum("insertions").over(upto).alias("cumulative_insertions"),
+        "best_dist",
+        "stall_rounds",
+        (F.col("top") - F.col("bottom")).alias("beam_label_span"),
+        F.col("raw").cast("long").alias("raw_count"),
+        "selected_count",
+        (F.col("degree") - F.col("inside")).cast("long").alias("range_filtered"),
+        (F.col("seeds") + F.sum("selected_count").over(upto)).alias("dist_eval_count"),
+        F.col("degree").cast("long").alias("degree"),
+    )
+
+
+def _stats(rounds: DataFrame, index: Index) -> DataFrame:
+    t = _trace(rounds, index).groupBy("query_id").agg(F.count("*").alias("expanded_nodes"), F.sum("degree").alias("raw_neighbors_scanned"), F.sum("range_filtered").alias("range_filtered_out_neighbors"), F.sum("insertions").alias("beam_insertions"))
+    ahead = rounds.groupBy("query_id", "round").agg(F.max(F.when(F.col("expanded"), F.col("place"))).alias("cursor"))
+    back = rounds.where("new and round > 0").join(ahead, ["query_id", "round"]).groupBy("query_id").agg(F.count(F.when(F.col("place") < F.col("cursor"), 1)).alias("beam_rewinds"))
+    cost = rounds.groupBy("query_id").agg(F.count(F.when(F.col("new"), 1)).alias("distance_computations"))
+    out = cost.join(t, "query_id", "left").join(back, "query_id", "left").fillna(0)
+    return out.select("query_id", *STATS)
 
 
 #: Column names of the search's counters and of its trace.
 STATS = ("expanded_nodes", "raw_neighbors_scanned", "range_filtered_out_neighbors", "distance_computations", "beam_insertions", "beam_rewinds")
-TRACE = "query_id long, round long, expanded_node long, insertions long, cumulative_insertions long, best_dist double, stall_rounds long, beam_label_span long, raw_count long, selected_count long, range_filtered long, dist_eval_count long"
-
-
-COLUMNS = {"hits": ["query_id", "rk", "id", "d2"], "stats": ["query_id", *STATS], "trace": [c.split()[0] for c in TRACE.split(", ")]}
-
-
-def _answer(graph: Packed, r, options: Options, what: str, base: int = 0) -> list[tuple]:
-    """Rows for one query over the positions of ``graph``, the first of which is ``base``."""
-    q = np.asarray(r.qv, np.float32)
-    lo, hi = max(0, int(r.first_pos) - base), min(len(graph.ids), int(r.end_pos) - base)
-    seeds = np.asarray(r.seed_ids if r.seed_ids is not None else [], np.int64) - base
-    if base + lo > r.first_pos or base + hi < r.end_pos:  # part of the range: seeds of its own if it got none
-        seeds = seeds if ((seeds >= lo) & (seeds < hi)).any() else np.array([lo, (lo + hi - 1) // 2, hi - 1])
-    trace = [] if what == "trace" else None
-    hits, stats = beam_search(graph, q, lo, hi, seeds, options, trace)
-    if what == "trace":
-        return [(r.query_id, t[0], t[1] + base, *t[2:]) for t in trace]
-    if what == "stats":
-        return [(r.query_id, *(stats[s] for s in STATS))]
-    full = [(float(((graph.x[v].astype(np.float64) - q.astype(np.float64)) ** 2).sum()), int(graph.ids[v])) for _, v in hits]
-    return [(r.query_id, k + 1, i, d) for k, (d, i) in enumerate(sorted(full))]
+TRACE = ("query_id", "round", "expanded_node", "insertions", "cumulative_insertions", "best_dist", "stall_rounds", "beam_label_span", "raw_count", "selected_count", "range_filtered", "dist_eval_count")
 
 
-def _per_query(shared, options: Options, what: str):
-    def run(batches):
-        import pandas as pd
+def search(index: Index, queries: DataFrame, options: Options, what: str = "hits", max_rounds: int = 10_000) -> DataFrame:
+    """Answers, counters, traces or events of ``queries(query_id, qv, first_pos, end_pos, seed_ids)``.
 
-        for pdf in batches:
-            yield pd.DataFrame([x for r in pdf.itertuples() for x in _answer(shared.value, r, options, what)], columns=COLUMNS[what])
-
-    return run
-
-
-def _per_shard(options: Options, what: str):
-    def run(key, rows, queries):
-        import pandas as pd
-
-        out = []
-        if len(rows) and len(queries):
-            rows = rows.sort_values("pos")
-            near = [np.asarray(a, np.int64) for a in rows["near"]]
-            offsets = np.concatenate([[0], np.cumsum([len(a) for a in near])])
-            base = int(rows["pos"].iloc[0])
-            graph = Packed(np.stack([np.asarray(a, np.float32) for a in rows["embedding"]]), rows["vec_id"].to_numpy(), offsets, np.concatenate(near) - base)
-            out = [(int(key[0]), *x) for r in queries.itertuples() for x in _answer(graph, r, options, what, base)]
-        return pd.DataFrame(out, columns=["shard", *COLUMNS[what]])
-
-    return run
-
-
-def _search_shards(graph: Shards, queries: DataFrame, options: Options, what: str, schema: str) -> DataFrame:
-    reached = F.sequence(F.floor(F.col("first_pos") / graph.size), F.floor((F.col("end_pos") - 1) / graph.size))
-    parts = queries.where("end_pos > first_pos").select(F.explode(reached).alias("shard"), "query_id", "qv", "first_pos", "end_pos", "seed_ids")
-    found = graph.rows().groupBy("shard").cogroup(parts.groupBy("shard")).applyInPandas(_per_shard(options, what), "shard long, " + schema)
+    hits: ``query_id, rk, id, d2``; stats: a row per query; trace: a row per expansion; events:
+    a row per evaluation; expansions: ``query_id, pos``.  Positions run from ``first_pos`` to before
+    ``end_pos``; an empty range has no rows; a query without a seed in its range starts at its first position.
+    Optional columns ``beam_size, trunc_size, max_expand`` overrule the options for a query, ``skip`` is
+    a position that it must not meet.
+    """
+    spark = queries.sparkSession
+    rounds, path = _search(index, queries, options, max_rounds)
     if what == "stats":
-        return found.groupBy("query_id").agg(*[F.sum(s).alias(s) for s in STATS])
-    if what == "hits":
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("d2", "id")).cast("long")
-        return found.withColumn("rk", rank).where(F.col("rk") <= options.k).select(*COLUMNS[what])
-    # one trace a query, shard after shard
-    shard, query = Window.partitionBy("query_id", "shard").orderBy("round"), Window.partitionBy("query_id").orderBy("shard", "round")
-    upto = query.rowsBetween(Window.unboundedPreceding, 0)
-    found = found.withColumn("new", F.col("dist_eval_count") - F.lag("dist_eval_count", 1, 0).over(shard))
-    running = {"cumulative_insertions": F.sum("insertions").over(upto), "best_dist": F.min("best_dist").over(upto), "dist_eval_count": F.sum("new").over(upto), "at": F.row_number().over(query).cast("long")}
-    return found.withColumns(running).withColumn("round", F.col("at")).select(*COLUMNS[what])
-
-
-def search(graph: Packed | Shards, queries: DataFrame, options: Options, what: str = "hits") -> DataFrame:
-    """``queries(query_id, qv, first_pos, end_pos, seed_ids)``; hits, per-query stats or per-round trace."""
-    schema = {"hits": "query_id long, rk long, id long, d2 double", "stats": "query_id long, " + ", ".join(f"{s} long" for s in STATS), "trace": TRACE}[what]
-    if isinstance(graph, Shards):
-        return _search_shards(graph, queries, options, what, schema)
-    shared = queries.sparkSession.sparkContext.broadcast(graph)
-    return queries.mapInPandas(_per_query(shared, options, what), schema)
+        out = _stats(rounds, index)
+    elif what == "trace":
+        out = _trace(rounds, index).select(*TRACE)
+    elif what == "events":
+        out = _events(rounds, options.k)
+    elif what == "expansions":
+        out = rounds.where("expanded").select("query_id", "pos", F.col("round").cast("long").alias("round"), "d2")
+    else:
+        best = _final(rounds).where(F.col("place") <= options.k).join(index.vectors.select("pos", "vec_id"), "pos")
+        order = Window.partitionBy("query_id").orderBy("d2", "vec_id")
+        out = best.select("query_id", F.row_number().over(order).cast("long").alias("rk"), F.col("vec_id").alias("id"), "d2")
+    out, _ = tables.cut(out, what)
+    tables.drop(spark, path)
+    return out
 
 
 def seeds(kind: str, queries: DataFrame, vectors: DataFrame, headers: DataFrame, count: int = 4, sample: int = 64) -> DataFrame:
@@ -233,8 +290,6 @@ def seeds(kind: str, queries: DataFrame, vectors: DataFrame, headers: DataFrame,
 
     ``queries`` has ``first_pos`` and ``end_pos``; a query without seeds gets its first position.
     """
-    from bandwalk.functions.kernels import squared_l2
-
     q = queries.select("query_id", "qv", "ql", "qr", "first_pos", "end_pos")
     n = F.col("end_pos") - F.col("first_pos")
     spaced = lambda c: F.transform(F.sequence(F.lit(0), F.lit(c - 1)), lambda i: F.col("first_pos") + F.floor(i * (n - 1) / max(1, c - 1)))
@@ -257,14 +312,30 @@ def with_seeds(queries: DataFrame, chosen: DataFrame) -> DataFrame:
     return queries.join(chosen.groupBy("query_id").agg(F.sort_array(F.collect_set("seed")).alias("seed_ids")), "query_id")
 
 
-def sweep(graph: Packed | Shards, queries: DataFrame, truth: DataFrame, params: list[tuple[int, int]], k: int = 10) -> DataFrame:
-    """``beam_size, trunc_size, recall, distance_computations`` per setting of the sweep."""
-    out = None
-    for beam, trunc in params:
-        o = Options(k=k, beam=max(beam, k), trunc=trunc)
-        hits = search(graph, queries, o)
-        recall = truth.join(hits.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left").agg((F.count("hit") / F.count("*")).alias("recall"))
-        cost = search(graph, queries, o, "stats").agg(F.avg("distance_computations").alias("distance_computations"))
-        row = recall.withColumn("one", F.lit(1)).join(cost.withColumn("one", F.lit(1)), "one").select(F.lit(beam).alias("beam_size"), F.lit(trunc).alias("trunc_size"), "recall", "distance_computations")
-        out = row if out is None else out.unionByName(row)
-    return out
+def sweep(index: Index, queries: DataFrame, truth: DataFrame, params: list[tuple[int, int]], k: int = 10, options: Options = Options()) -> DataFrame:
+    """``beam_size, trunc_size, recall, distance_computations`` per setting: all settings are one search."""
+    m = len(params)
+    runs = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("run"), F.lit(max(b, k)).cast("long").alias("beam_size"), F.lit(t).cast("long").alias("trunc_size")) for i, (b, t) in enumerate(params)])).alias("p")
+    q = queries.select("query_id", "qv", "first_pos", "end_pos", "seed_ids", runs).select((F.col("query_id") * m + F.col("p.run")).alias("query_id"), "qv", "first_pos", "end_pos", "seed_ids", "p.beam_size", "p.trunc_size")
+    run = F.pmod(F.col("neighbor_query"), F.lit(m))
+    events = search(index, q, replace(options, k=k), "events").withColumnRenamed("query_id", "neighbor_query").withColumn("run", run)
+    ids = index.vectors.select(F.col("pos").alias("neighbor_node"), F.col("vec_id").alias("id"))
+    hits = events.where("in_final_topk").join(ids, "neighbor_node").select(((F.col("neighbor_query") - F.col("run")) / m).cast("long").alias("query_id"), "run", "id", F.lit(1).alias("hit"))
+    asked = truth.select("query_id", "id").withColumn("run", F.explode(F.array(*[F.lit(i).cast("long") for i in range(m)])))
+    recall = asked.join(hits, ["query_id", "id", "run"], "left").groupBy("run").agg((F.count("hit") / F.count("*")).alias("recall"))
+    cost = events.groupBy("run", "neighbor_query").agg(F.count("*").alias("n")).groupBy("run").agg(F.avg("n").alias("distance_computations"))
+    named = F.create_map(*[F.lit(x) for i, p in enumerate(params) for x in (i, F.struct(F.lit(p[0]).alias("beam_size"), F.lit(p[1]).alias("trunc_size")))])
+    out = recall.join(cost, "run").withColumn("p", named[F.col("run").cast("int")])
+    return out.select("p.beam_size", "p.trunc_size", "recall", "distance_computations").orderBy("beam_size", "trunc_size")
+
+
+def benefit(events: DataFrame, by: Column, name: str) -> DataFrame:
+    """Evaluations, insertions into the beam and new best distances by ``by``, with their three rates."""
+    e = events.where("current_node is not null").groupBy(by.alias(name)).agg(F.count("*").alias("evals"), F.count(F.when(F.col("was_inserted"), 1)).alias("inserts"), F.count(F.when(F.col("improved_best"), 1)).alias("bests"))
+    rate = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
+    return e.withColumns({"insert_rate": rate("inserts", "evals"), "best_rate": rate("bests", "evals"), "best_given_insert_rate": rate("bests", "inserts")})
+
+
+def gap_bucket() -> Column:
+    """Jump level of the edge of an event."""
+    return jump_level(F.abs(F.col("neighbor_node") - F.col("current_node"))).cast("long")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from bandwalk.operators import exact, folds, graph, search
+from bandwalk.operators import exact, folds, graph
 from bandwalk.sources import vectors as src
 from bandwalk.streaming.query_stream import answer_stream
 
@@ -131,49 +131,6 @@ def test_conflict_gate_replay(table, knn):
             assert sorted(got.get(u, [])) == kept
 
 
-def test_beam_is_exact_when_wide(spark, table, knn):
-    edges = folds.build(table, knn, step=8, cap=24)
-    assert edges.where("src = dst").count() == 0 and edges.groupBy("src").count().agg(F.max("count")).first()[0] <= 24
-    q = table.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"), (F.col("label") * 0).alias("ql"), (F.col("label") * 0 + 3).alias("qr"))
-    q = q.join(exact.label_interval(table, q), "query_id")
-    g = search.pack_graph(table, edges)
-    seeded = search.with_seeds(q, search.seeds("spread", q, table, None, 4))
-    truth = {(r["query_id"], r["id"]) for r in exact.topk(table, q, 5, [("label", "ql", "qr")]).collect()}
-    wide = {(r["query_id"], r["id"]) for r in search.search(g, seeded, search.Options(k=5, beam=120, trunc=64)).collect()}
-    assert wide == truth
-    for pick in ("prefix", "even", "sides", "reciprocal", "corebridge"):
-        hits = {(r["query_id"], r["id"]) for r in search.search(g, seeded, search.Options(k=5, beam=32, trunc=12, prefix=6, pick=pick)).collect()}
-        assert len(hits & truth) >= 0.9 * len(truth), pick
-    tight = search.sweep(g, seeded, exact.topk(table, q, 5, [("label", "ql", "qr")]).select("query_id", "id"), [(8, 4), (64, 24)], 5).collect()
-    assert tight[1]["recall"] >= tight[0]["recall"] and tight[1]["recall"] > 0.95
-
-
-def test_beam_in_shards(table, knn, monkeypatch):
-    edges = folds.build(table, knn, step=8, cap=24).cache()
-    q = table.where("vec_id % 6 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"), (F.col("label") * 0).alias("ql"), (F.col("label") * 0 + 3).alias("qr"))
-    q = q.join(exact.label_interval(table, q), "query_id")
-    seeded = search.with_seeds(q, search.seeds("anchors", q, table, None, 3)).cache()
-    whole = search.pack_graph(table, edges)
-    monkeypatch.setattr(search, "MAX_PACKED_BYTES", 1000)
-    monkeypatch.setattr(search, "SHARD_BYTES", 6000)
-    g = search.pack_graph(table, edges)
-    assert isinstance(g, search.Shards) and 2 <= -(-120 // g.size) <= 6
-    truth = {tuple(r) for r in exact.topk(table, q, 5, [("label", "ql", "qr")]).select("query_id", "rk", "id").collect()}
-    wide = search.Options(k=5, beam=120, trunc=64)
-    assert {tuple(r) for r in search.search(g, seeded, wide).select("query_id", "rk", "id").collect()} == truth
-    assert search.sweep(g, seeded, exact.topk(table, q, 5, [("label", "ql", "qr")]).select("query_id", "id"), [(32, 12)], 5).first()["recall"] > 0.95
-    stats = {r["query_id"]: r for r in search.search(g, seeded, search.Options(), "stats").collect()}
-    assert stats.keys() == {r["query_id"] for r in q.collect()}
-    best = {r["query_id"]: r["d2"] for r in search.search(whole, seeded, wide).where("rk = 1").collect()}
-    trace = {}
-    for r in search.search(g, seeded, search.Options(), "trace").orderBy("round").collect():
-        trace.setdefault(r["query_id"], []).append(r)
-    for k, t in trace.items():
-        assert [r["round"] for r in t] == list(range(1, len(t) + 1)) and len(t) == stats[k]["expanded_nodes"]
-        assert t[-1]["dist_eval_count"] == stats[k]["distance_computations"] and t[-1]["cumulative_insertions"] == stats[k]["beam_insertions"]
-        assert len({r["expanded_node"] for r in t}) == len(t) and abs(t[-1]["best_dist"] - best[k]) < 1e-4
-
-
 def test_band_is_an_equi_join(table):
     plan = graph.band(table, 3)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan

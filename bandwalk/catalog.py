@@ -50,13 +50,13 @@ query("t2_topk", "v q", f"SELECT query_id, row_number() OVER (PARTITION BY query
 query("t3_box_topk", "v q", f"SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY d2, vec_id) AS rk, vec_id AS id, d2 FROM (SELECT query_id, vec_id, {d2('embedding', 'qv')} AS d2 FROM q JOIN v ON x BETWEEN ql AND qr AND y BETWEEN ly AND ry) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d2, vec_id) <= 10")(
     lambda v: exact.topk(v, fx.queries(v), 10, [("x", "ql", "qr"), ("y", "ly", "ry")])
 )
-query("j1_range_join", "v q", "SELECT query_id, vec_id FROM q JOIN v ON label BETWEEN ql AND qr")(lambda v: fx.queries(v).join(v.select("vec_id", "label"), F.col("label").between(F.col("ql"), F.col("qr"))).select("query_id", "vec_id"))
+query("j1_range_join", "v q", "SELECT query_id, vec_id FROM q JOIN v ON label BETWEEN ql AND qr")(lambda v: ranges.positions(ranges.label_interval(v, fx.queries(v))).join(v.select("pos", "vec_id"), "pos").select("query_id", "vec_id"))
 query("j3_knn", "knn", "SELECT src, rank, dst, d2 FROM knn")(fx.knn)
 query("w1_label_order", "v", "SELECT vec_id, label, pos FROM v")(lambda v: v.select("vec_id", "label", "pos"))
 query("f1_label_range", "v", "SELECT vec_id, label FROM v WHERE label BETWEEN 2 AND 5")(lambda v: v.where(F.col("label").between(2, 5)).select("vec_id", "label"))
-query("f2_label_interval", "iv", "SELECT query_id, first_pos, end_pos FROM iv")(lambda v: exact.label_interval(v, fx.queries(v)))
+query("f2_label_interval", "iv", "SELECT query_id, first_pos, end_pos FROM iv")(lambda v: ranges.label_interval(v, fx.queries(v)))
 query("f8_box", "v q", "SELECT query_id, vec_id FROM q JOIN v ON x BETWEEN ql AND qr AND y BETWEEN ly AND ry")(
-    lambda v: fx.queries(v).withColumnRenamed("ly", "lo").withColumnRenamed("ry", "hi").join(v, F.col("x").between(F.col("ql"), F.col("qr")) & F.col("y").between(F.col("lo"), F.col("hi"))).select("query_id", "vec_id")
+    lambda v: ranges.positions(ranges.label_interval(v, q := fx.queries(v))).join(v.select("pos", "vec_id", "y"), "pos").join(q.select("query_id", "ly", "ry"), "query_id").where("y between ly and ry").select("query_id", "vec_id")
 )
 query("a1_centroid", "v", "SELECT dim - 1 AS dim, round(avg(CAST(embedding[dim] AS DOUBLE)), 9) AS mean FROM v, range(1, 65) t(dim) GROUP BY dim")(lambda v: exact.centroid(v).select(F.col("dim").cast("long").alias("dim"), F.round("mean", 9).alias("mean")))
 
@@ -82,7 +82,7 @@ query("p17_box_between", "v", "SELECT a.pos, b.x BETWEEN least(a.x, c.x) AND gre
     .join(v.select((F.col("pos") - 2).alias("pos"), F.col("x").alias("cx"), F.col("y").alias("cy")), "pos")
     .select("pos", (K.box_between("ax", "bx", "cx") & K.box_between("ay", "by", "cy")).alias("inside"))
 )
-query("p18_selectivity", "iv v", "SELECT query_id, (end_pos - first_pos) / CAST((SELECT count(*) FROM v) AS DOUBLE) AS share FROM iv")(lambda v: exact.label_interval(v, fx.queries(v)).select("query_id", ((F.col("end_pos") - F.col("first_pos")) / F.lit(float(v.count()))).alias("share")))
+query("p18_selectivity", "iv v", "SELECT query_id, (end_pos - first_pos) / CAST((SELECT count(*) FROM v) AS DOUBLE) AS share FROM iv")(lambda v: ranges.label_interval(v, fx.queries(v)).select("query_id", ((F.col("end_pos") - F.col("first_pos")) / F.lit(float(v.count()))).alias("share")))
 query("p22_selectivity_tag", "v", "SELECT pos, 'sel' || replace(regexp_replace(printf('%.3f', (pos + 1) / 1000.0 * 100), '\\.?0+$', ''), '.', 'p') || 'pct' AS tag FROM v")(lambda v: v.select("pos", K.selectivity_tag((F.col("pos") + 1) / 1000).alias("tag")))
 
 # joins and candidates
@@ -113,7 +113,7 @@ query("j7_transpose", "knn", "SELECT dst AS src, src AS dst FROM knn")(lambda v:
 query("f13_reciprocal", "knn", "SELECT src, rank, dst FROM knn a WHERE EXISTS (SELECT 1 FROM knn b WHERE b.src = a.dst AND b.dst = a.src AND b.rank < 8)")(lambda v: graph.reciprocal(fx.knn(v), 8).select("src", "rank", "dst"))
 query("j9_strict_rng", "e", "SELECT src, rank, dst, d2 FROM e")(fx.edges)
 query("j10_as_of_header", "q v", "SELECT query_id, max(label) AS label FROM q JOIN v ON label <= qr GROUP BY query_id")(lambda v: graph.as_of_header(v.select("label"), fx.queries(v)))
-query("f3_in_range_edges", "e iv", "SELECT query_id, src, rank, dst FROM e JOIN iv ON dst >= first_pos AND dst < end_pos")(lambda v: fx.edges(v).join(exact.label_interval(v, fx.queries(v)), (F.col("dst") >= F.col("first_pos")) & (F.col("dst") < F.col("end_pos"))).select("query_id", "src", "rank", "dst"))
+query("f3_in_range_edges", "e iv", "SELECT query_id, src, rank, dst FROM e JOIN iv ON dst >= first_pos AND dst < end_pos")(lambda v: fx.edges(v).join(ranges.positions(ranges.label_interval(v, fx.queries(v)), "dst"), "dst").select("query_id", "src", "rank", "dst"))
 TWO = "a AS (SELECT src AS query_id, dst AS id, d2 FROM knn WHERE rank < 10), b AS (SELECT src AS query_id, dst AS id, d2 FROM knn WHERE rank BETWEEN 3 AND 12)"
 
 
@@ -164,30 +164,30 @@ query("e9_conflicts_full", "dom", "SELECT src, dst, count(*) AS n, min(\"by\") A
 ROLE = "ro AS MATERIALIZED (SELECT src, rank, dst, CASE WHEN rank < 4 OR EXISTS (SELECT 1 FROM knn b WHERE b.src = a.dst AND b.dst = a.src AND b.rank < 4) THEN 'skeleton' WHEN gap > 0.3 THEN 'bridge' WHEN gap <= 0.1 THEN 'useful' ELSE 'reserve' END AS role, gap AS label_gap FROM (SELECT *, abs(src - dst) / CAST((SELECT count(*) FROM v) AS DOUBLE) AS gap FROM knn) a)"
 query("e12_roles", "knn", f", {ROLE} SELECT src, rank, dst, role, label_gap FROM ro")(lambda v: graph.roles(fx.knn(v), v.count(), 4))
 query("f12_role_gate", "knn", f", {ROLE} SELECT src, row_number() OVER (PARTITION BY src ORDER BY rank) - 1 AS rank, dst, role FROM (SELECT *, row_number() OVER (PARTITION BY src, role ORDER BY label_gap, rank) - 1 AS k FROM ro) WHERE k < CASE role WHEN 'skeleton' THEN 6 WHEN 'useful' THEN 4 ELSE 2 END")(lambda v: graph.role_gate(graph.roles(fx.knn(v), v.count(), 4), {"skeleton": 6, "useful": 4, "bridge": 2, "reserve": 2}))
-query("d9_no_in_range_dominator", "dom iv", "SELECT query_id, src, dst FROM knn k JOIN iv ON dst >= first_pos AND dst < end_pos WHERE NOT EXISTS (SELECT 1 FROM dom WHERE dom.src = k.src AND dom.dst = k.dst AND dom.by >= first_pos AND dom.by < end_pos)")(lambda v: _unruled(v, fx.knn(v), exact.label_interval(v, fx.queries(v))))
+query("d9_no_in_range_dominator", "dom iv", "SELECT query_id, src, dst FROM knn k JOIN iv ON dst >= first_pos AND dst < end_pos WHERE NOT EXISTS (SELECT 1 FROM dom WHERE dom.src = k.src AND dom.dst = k.dst AND dom.by >= first_pos AND dom.by < end_pos)")(lambda v: _unruled(v, fx.knn(v), ranges.label_interval(v, fx.queries(v))))
 
 
 def _unruled(v: DataFrame, knn: DataFrame, spans: DataFrame) -> DataFrame:
-    inside = knn.select("src", "dst").join(spans, F.col("dst").between(F.col("first_pos"), F.col("end_pos") - 1))
-    ruled = graph.dominators(knn, v).join(spans, F.col("by").between(F.col("first_pos"), F.col("end_pos") - 1)).select("query_id", "src", "dst")
+    inside = knn.select("src", "dst").join(ranges.positions(spans, "dst"), "dst")
+    ruled = graph.dominators(knn, v).join(ranges.positions(spans, "by"), "by").select("query_id", "src", "dst")
     return inside.join(ruled.distinct(), ["query_id", "src", "dst"], "left_anti").select("query_id", "src", "dst")
 
 
-query("d8_rng_in_range", "dom iv", "SELECT query_id, count(*) AS full, count(*) FILTER (NOT EXISTS (SELECT 1 FROM dom WHERE dom.src = k.src AND dom.dst = k.dst AND dom.by >= first_pos AND dom.by < end_pos)) AS kept FROM knn k JOIN iv ON dst >= first_pos AND dst < end_pos AND src >= first_pos AND src < end_pos GROUP BY query_id")(lambda v: _pruned_in_range(fx.knn(v), v, exact.label_interval(v, fx.queries(v))))
+query("d8_rng_in_range", "dom iv", "SELECT query_id, count(*) AS full, count(*) FILTER (NOT EXISTS (SELECT 1 FROM dom WHERE dom.src = k.src AND dom.dst = k.dst AND dom.by >= first_pos AND dom.by < end_pos)) AS kept FROM knn k JOIN iv ON dst >= first_pos AND dst < end_pos AND src >= first_pos AND src < end_pos GROUP BY query_id")(lambda v: _pruned_in_range(fx.knn(v), v, ranges.label_interval(v, fx.queries(v))))
 ORACLE["d8_rng_in_range"] = ORACLE["d8_rng_in_range"].replace("count(*) FILTER (NOT EXISTS (SELECT 1 FROM dom WHERE dom.src = k.src AND dom.dst = k.dst AND dom.by >= first_pos AND dom.by < end_pos)) AS kept FROM knn k", "count(*) FILTER (free) AS kept FROM (SELECT query_id, NOT EXISTS (SELECT 1 FROM dom WHERE dom.src = k.src AND dom.dst = k.dst AND dom.by >= first_pos AND dom.by < end_pos) AS free FROM knn k").replace("src < end_pos GROUP BY", "src < end_pos) GROUP BY")
 
 
 def _pruned_in_range(knn: DataFrame, v: DataFrame, spans: DataFrame) -> DataFrame:
     """Per query the edges inside its range, and those left by the strict rule among in-range neighbours."""
-    inside = knn.join(spans, F.expr("src >= first_pos and src < end_pos and dst >= first_pos and dst < end_pos")).select("query_id", "src", "dst")
+    inside = knn.join(ranges.positions(spans, "dst"), "dst").where("src >= first_pos and src < end_pos").select("query_id", "src", "dst")
     free = _unruled(v, knn, spans).withColumn("free", F.lit(1))
     return inside.join(free, ["query_id", "src", "dst"], "left").groupBy("query_id").agg(F.count("*").alias("full"), F.count("free").alias("kept"))
 
 
 query("d10_local_and_unruled", "dom iv", "SELECT DISTINCT query_id, src, dst FROM knn k JOIN iv ON dst >= first_pos AND dst < end_pos WHERE rank < 3 OR NOT EXISTS (SELECT 1 FROM dom WHERE dom.src = k.src AND dom.dst = k.dst AND dom.by >= first_pos AND dom.by < end_pos)")(
-    lambda v: _unruled(v, k := fx.knn(v), s := exact.label_interval(v, fx.queries(v))).unionByName(k.where("rank < 3").join(s, F.expr("dst >= first_pos and dst < end_pos")).select("query_id", "src", "dst")).distinct()
+    lambda v: _unruled(v, k := fx.knn(v), s := ranges.label_interval(v, fx.queries(v))).unionByName(k.where("rank < 3").join(ranges.positions(s, "dst"), "dst").select("query_id", "src", "dst")).distinct()
 )
-query("d11_switch_band", "knn iv", "SELECT query_id, src, dst FROM knn JOIN iv ON dst >= first_pos AND dst < end_pos WHERE abs(src - dst) * 100 BETWEEN 4 * (end_pos - first_pos) AND 25 * (end_pos - first_pos)")(lambda v: fx.knn(v).join(exact.label_interval(v, fx.queries(v)), F.expr("dst >= first_pos and dst < end_pos")).where("abs(src - dst) * 100 between 4 * (end_pos - first_pos) and 25 * (end_pos - first_pos)").select("query_id", "src", "dst"))
+query("d11_switch_band", "knn iv", "SELECT query_id, src, dst FROM knn JOIN iv ON dst >= first_pos AND dst < end_pos WHERE abs(src - dst) * 100 BETWEEN 4 * (end_pos - first_pos) AND 25 * (end_pos - first_pos)")(lambda v: fx.knn(v).join(ranges.positions(ranges.label_interval(v, fx.queries(v)), "dst"), "dst").where("abs(src - dst) * 100 between 4 * (end_pos - first_pos) and 25 * (end_pos - first_pos)").select("query_id", "src", "dst"))
 
 # statistics
 query("a5_degree_stats", "e", "SELECT CAST(sum(n) AS BIGINT) AS total, avg(n) AS mean, max(n) AS largest FROM (SELECT src, count(*) AS n FROM e GROUP BY src)")(lambda v: graph.degree_stats(fx.edges(v)))
@@ -234,11 +234,11 @@ query("p10_permutation", "v", "SELECT o.pos, s.vec_id, CAST(s.embedding[1] AS DO
     lambda v: graph.permute(v, v.select("pos", F.col("vec_id").alias("source"))).select("pos", "vec_id", F.col("embedding")[0].cast("double").alias("first"))
 )
 query("a20_graph_stats", "e iv", "SELECT query_id, max(end_pos - first_pos) AS width, count(*) AS kept, count(*) / CAST((SELECT count(*) FROM e) AS DOUBLE) AS share FROM e JOIN iv ON src >= first_pos AND src < end_pos AND dst >= first_pos AND dst < end_pos GROUP BY query_id")(
-    lambda v: (e := fx.edges(v)).join(exact.label_interval(v, fx.queries(v)), F.expr("src >= first_pos and src < end_pos and dst >= first_pos and dst < end_pos")).groupBy("query_id").agg(F.max(F.col("end_pos") - F.col("first_pos")).alias("width"), F.count("*").alias("kept"), (F.count("*") / F.lit(float(e.count()))).alias("share"))
+    lambda v: ranges.inside_sums(e := fx.edges(v), s := ranges.label_interval(v, fx.queries(v)), {"kept": "1L"}, v.count()).join(s, "query_id").where("kept > 0").select("query_id", (F.col("end_pos") - F.col("first_pos")).alias("width"), "kept", (F.col("kept") / F.lit(float(e.count()))).alias("share"))
 )
 
 query("d4_range_stats", "e c iv", ", h AS (SELECT h.label, s.pos AS node FROM (SELECT label, max(pos) AS hi FROM v GROUP BY label) h JOIN s ON s.pos <= h.hi WHERE NOT EXISTS (SELECT 1 FROM s j WHERE j.pos > s.pos AND j.pos <= h.hi AND j.d <= s.d)), g AS (SELECT pos, count(e.src) AS deg FROM v LEFT JOIN e ON e.src = v.pos GROUP BY pos), i AS (SELECT query_id, pos, deg, count(e.dst) AS n FROM iv JOIN g ON pos >= first_pos AND pos < end_pos LEFT JOIN e ON e.src = pos AND e.dst >= first_pos AND e.dst < end_pos GROUP BY ALL) SELECT query_id, any_value(end_pos - first_pos) AS width, (SELECT count(*) FROM h JOIN v ON v.label = h.label WHERE v.pos = iv.end_pos - 1 AND node >= first_pos AND node < end_pos) AS header_size, avg(deg) AS degree, avg(n) AS in_range_degree, round(coalesce(avg(n / CAST(deg AS DOUBLE)) FILTER (deg > 0), 0), 9) AS keep_ratio, CAST(sum(n) AS BIGINT) AS kept, sum(n) / CAST((SELECT count(*) FROM e) AS DOUBLE) AS share FROM i JOIN iv USING (query_id) GROUP BY query_id, first_pos, end_pos")(
-    lambda v: ranges.range_stats(fx.edges(v), v, exact.label_interval(v, fx.queries(v)), graph.headers(fx.scored(v))).withColumn("keep_ratio", F.round("keep_ratio", 9))
+    lambda v: ranges.range_stats(fx.edges(v), v, ranges.label_interval(v, fx.queries(v)), graph.headers(fx.scored(v))).withColumn("keep_ratio", F.round("keep_ratio", 9))
 )
 
 # prefix policies and reserves that are windows
@@ -262,7 +262,7 @@ SPACED = "SELECT DISTINCT query_id, first_pos + i * (end_pos - first_pos - 1) //
 
 def _spans(v: DataFrame) -> DataFrame:
     q = fx.queries(v)
-    return q.join(exact.label_interval(v, q), "query_id")
+    return q.join(ranges.label_interval(v, q), "query_id")
 
 
 query("b23_anchor_seeds", "iv", SPACED.format(m=2, n=3))(lambda v: search.seeds("anchors", _spans(v), v, None, 3))

@@ -22,13 +22,6 @@ def label_order(vectors: DataFrame, label: str = "label", key: str = "vec_id") -
     return out.withColumn("pos", (F.col("off") + F.col("in_")).cast("long")).drop("in_", "off", "l_")
 
 
-def label_interval(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """``query_id, first_pos, end_pos`` (exclusive) of the labels in ``[ql, qr]``; empty ranges give no row."""
-    span = vectors.groupBy("label").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
-    hit = queries.join(span, F.col("label").between(F.col("ql"), F.col("qr")))
-    return hit.groupBy("query_id").agg(F.min("lo").alias("first_pos"), (F.max("hi") + 1).alias("end_pos"))
-
-
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Squared distances of all rows, summed over the dimensions in order."""
     out = np.zeros((len(x), len(y)))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bandwalk.functions.kernels import jump_level, squared_l2
+from bandwalk.operators import ranges
 
 
 def _rank(*order, by=("src",)):
@@ -73,8 +74,7 @@ def strict_rng(knn: DataFrame, vectors: DataFrame) -> DataFrame:
 
 def as_of_header(headers: DataFrame, queries: DataFrame) -> DataFrame:
     """``query_id, label``: the largest header label not above ``qr``."""
-    labels = headers.select("label").distinct()
-    return queries.join(labels, F.col("label") <= F.col("qr")).groupBy("query_id").agg(F.max("label").alias("label"))
+    return ranges.as_of(headers, queries, "label", "qr")
 
 
 def headers(scored: DataFrame, limit: int = 20) -> DataFrame:
@@ -147,8 +147,8 @@ def survival(edges: DataFrame, doms: DataFrame, vectors: DataFrame) -> DataFrame
 
 def survival_gate(annotated: DataFrame, vectors: DataFrame, queries: DataFrame, skeleton: int = 8) -> DataFrame:
     """``query_id, src, dst``: in-range edges, beyond the skeleton only those no in-range sibling replaces."""
-    e = annotated.join(vectors.select(F.col("pos").alias("dst"), "label"), "dst")
-    hit = queries.select("query_id", "ql", "qr").join(e, F.col("label").between(F.col("ql"), F.col("qr")))
+    inside = ranges.positions(ranges.label_interval(vectors, queries), "dst").select("query_id", "dst")
+    hit = inside.join(annotated, "dst").join(queries.select("query_id", "ql", "qr"), "query_id")
     dropped = F.coalesce(F.col("ql") <= F.col("l_drop"), F.lit(False)) | F.coalesce(F.col("qr") >= F.col("r_drop"), F.lit(False))
     return hit.where((F.col("rank") < skeleton) | ~dropped).select("query_id", "src", "dst")
 

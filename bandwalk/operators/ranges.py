@@ -18,22 +18,51 @@ from bandwalk import tables
 BITS = 4
 
 
-def running_sums(rows: DataFrame, by: list[str], order: list[str], values: list[str]) -> DataFrame:
-    """``rows`` with the sums of ``values`` over the rows of the same ``by`` up to each, in ``order``; nulls add nothing."""
-    spark = rows.sparkSession
+def running(rows: DataFrame, by: list[str], order: list[str], values: list[str], how: str = "sum") -> DataFrame:
+    """``rows`` with the sums (or maxima) of ``values`` over the rows of the same ``by`` up to each, in ``order``; nulls add nothing."""
+    spark, fold = rows.sparkSession, {"sum": F.sum, "max": F.max}[how]
+    join = (lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))) if how == "sum" else F.greatest
     dealt = rows.repartitionByRange(*by, *order).withColumn("part_", F.spark_partition_id())
     dealt, path = tables.cut(dealt, "dealt")
-    total = dealt.groupBy(*by, "part_").agg(*[F.sum(c).alias(f"{c}_") for c in values])  # a row for each key and task
+    total = dealt.groupBy(*by, "part_").agg(*[fold(c).alias(f"{c}_") for c in values])  # a row for each key and task
     earlier = Window.partitionBy(*by).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
-    carried = total.select(*by, "part_", *[F.coalesce(F.sum(f"{c}_").over(earlier), F.lit(0)).alias(f"{c}_") for c in values])
+    carried = total.select(*by, "part_", *[fold(f"{c}_").over(earlier).alias(f"{c}_") for c in values])
     own = Window.partitionBy(*by, "part_").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = dealt.withColumns({c: F.coalesce(F.sum(c).over(own), F.lit(0)) for c in values}).join(carried, [*by, "part_"])
-    out = out.withColumns({c: F.col(c) + F.col(f"{c}_") for c in values}).drop("part_", *[f"{c}_" for c in values])
-    out, _ = tables.cut(out, "sums")
+    out = dealt.withColumns({c: fold(c).over(own) for c in values}).join(carried, [*by, "part_"])
+    out = out.withColumns({c: join(F.col(c), F.col(f"{c}_")) for c in values}).drop("part_", *[f"{c}_" for c in values])
+    out, _ = tables.cut(out, "running")
     tables.drop(spark, path)
     return out
 
 
+def label_interval(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """``query_id, first_pos, end_pos`` (exclusive) of the labels in ``[ql, qr]``; empty ranges give no row.
+
+    Labels with their counts and the bounds of all queries are put in one order, whose running
+    sums are the positions: nothing is joined by comparison.
+    """
+    none = F.lit(None).cast("long")
+    labels = vectors.groupBy(F.col("label").cast("long").alias("at")).agg(F.count("*").alias("n")).select("at", F.lit(1).alias("kind"), none.alias("query_id"), "n")
+    bound = lambda c, kind: F.struct(F.col(c).cast("long").alias("at"), F.lit(kind).alias("kind"))
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.explode(F.array(bound("ql", 0), bound("qr", 2))).alias("b")).select("b.at", "b.kind", "query_id", none.alias("n"))
+    sums = running(labels.unionByName(asked).withColumn("one", F.lit(0)), ["one"], ["at", "kind"], ["n"]).where("kind <> 1")
+    out = sums.groupBy("query_id").agg(F.max(F.when(F.col("kind") == 0, F.col("n"))).alias("first_pos"), F.max(F.when(F.col("kind") == 2, F.col("n"))).alias("end_pos"))
+    return out.where("first_pos < end_pos")
+
+
+def as_of(values: DataFrame, queries: DataFrame, value: str, bound: str) -> DataFrame:
+    """``query_id`` and the largest ``value`` not above its ``bound``; no row if there is none. A running maximum over both."""
+    known = values.select(F.col(value).cast("long").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("query_id"), F.col(value).cast("long").alias(value)).distinct()
+    asked = queries.select(F.col(bound).cast("long").alias("at"), F.lit(1).alias("kind"), F.col("query_id").cast("long").alias("query_id"), F.lit(None).cast("long").alias(value))
+    last = running(known.unionByName(asked).withColumn("one", F.lit(0)), ["one"], ["at", "kind"], [value], "max")
+    return last.where(f"kind = 1 and {value} is not null").select("query_id", value)
+
+
+def positions(spans: DataFrame, name: str = "pos") -> DataFrame:
+    """Each range's positions, one row each: joined by equality, a range join makes its result's rows and no others."""
+    return spans.select("query_id", "first_pos", "end_pos", F.explode(F.sequence("first_pos", F.col("end_pos") - 1)).alias(name))
+
+
 def _lower_blocks(level: int, digit: int):
     """At a level, the blocks before the one of ``first_pos`` under the same block above."""
     at, above = F.shiftright("first_pos", level * BITS), F.shiftright("first_pos", (level + 1) * BITS)
@@ -57,7 +86,7 @@ def inside_sums(edges: DataFrame, spans: DataFrame, values: dict[str, str], n: i
     asks = spans.select("query_id", F.col("end_pos").alias("at"), F.explode(asked).alias("b"))
     kinds = dict(entered.dtypes)
     asks = asks.select("b.level", "b.block", "at", F.lit(0).alias("kind"), F.col("query_id").cast("long").alias("query_id"), F.col("b.sign").cast("long").alias("sign"), *[F.lit(None).cast(kinds[c]).alias(c) for c in names])
-    sums = running_sums(entered.unionByName(asks), ["level", "block"], ["at", "kind"], names)
+    sums = running(entered.unionByName(asks), ["level", "block"], ["at", "kind"], names)
     return sums.where("kind = 0").groupBy("query_id").agg(*[F.sum(F.col(c) * F.col("sign")).alias(c) for c in names])
 
 
@@ -76,7 +105,7 @@ def range_stats(edges: DataFrame, vectors: DataFrame, spans: DataFrame, headers:
     marks = deg.select(F.col("pos").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("long").alias("sign"), "deg", (F.col("deg") > 0).cast("long").alias("linked"))
     bounds = spans.select("query_id", F.explode(F.array(F.struct(F.col("first_pos").alias("at"), F.lit(-1).alias("sign")), F.struct(F.col("end_pos").alias("at"), F.lit(1).alias("sign")))).alias("b"))
     bounds = bounds.select(F.col("b.at").alias("at"), F.lit(0).alias("kind"), F.col("query_id").cast("long").alias("query_id"), F.col("b.sign").cast("long").alias("sign"), F.lit(None).cast("long").alias("deg"), F.lit(None).cast("long").alias("linked"))
-    sums = running_sums(marks.unionByName(bounds).withColumn("one", F.lit(0)), ["one"], ["at", "kind"], ["deg", "linked"])
+    sums = running(marks.unionByName(bounds).withColumn("one", F.lit(0)), ["one"], ["at", "kind"], ["deg", "linked"])
     sums = sums.where("kind = 0").groupBy("query_id").agg(F.sum(F.col("deg") * F.col("sign")).alias("out"), F.sum(F.col("linked") * F.col("sign")).alias("linked"))
     last = spans.select("query_id", "first_pos", "end_pos", (F.col("end_pos") - 1).alias("pos")).join(vectors.select("pos", "label"), "pos")
     head = last.join(headers.select("label", "node"), "label").where("node >= first_pos and node < end_pos").groupBy("query_id").agg(F.count("*").alias("header_size"))

@@ -22,7 +22,7 @@ def index(table, edges):  # noqa: F811
 @pytest.fixture(scope="module")
 def queries(table):  # noqa: F811
     q = table.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"), (F.col("label") * 0 + F.col("vec_id") % 3).alias("ql"), (F.col("label") * 0 + 3).alias("qr"))
-    q = q.join(exact.label_interval(table, q), "query_id")
+    q = q.join(ranges.label_interval(table, q), "query_id")
     return search.with_seeds(q, search.seeds("anchors", q, table, None, 3)).cache()
 
 
@@ -263,5 +263,5 @@ def test_sums_inside_ranges(spark):
 
 def test_running_sums_split_a_hot_key(spark):
     rows = spark.createDataFrame([("hot", i, 1) for i in range(500)] + [("cold", i, 2) for i in range(3)], "k string, i int, w long").repartition(7)
-    out = ranges.running_sums(rows, ["k"], ["i"], ["w"])
+    out = ranges.running(rows, ["k"], ["i"], ["w"])
     assert sorted((r["k"], r["i"], r["w"]) for r in out.collect()) == [("cold", i, 2 * i + 2) for i in range(3)] + [("hot", i, i + 1) for i in range(500)]

@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bandwalk.functions import kernels as K
-from bandwalk.operators import approximate, boxes, exact, folds, graph, ranges, search
+from bandwalk.operators import approximate, boxes, exact, folds, graph, quotas, ranges, search, trace
 from bandwalk.plans import fixtures as fx
 from bandwalk.plans.duck import d2, sql
+from bandwalk.sources.vectors import check_runs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -251,6 +252,45 @@ query("g15_bridge_gap_reserve", "knn", "SELECT src, rank, dst FROM (SELECT src,
     lambda v: folds.support_reserve((k := fx.knn(v)).select("src", "dst").unionByName(graph.transpose(k)), k, 6, 50)
 )
 
+# quotas by role and side
+VOTES = f"vo AS (SELECT k.src, k.dst, k.d2, k.rank, CASE WHEN EXISTS (SELECT 1 FROM knn b WHERE b.src = k.dst AND b.dst = k.src) THEN 2 ELSE 1 END AS support, abs(k.src - k.dst) AS gap, CAST(k.dst > k.src AS INT) AS side, {LVL.replace('src', 'k.src').replace('dst', 'k.dst')} AS lvl FROM knn k)"
+TURNS = "row_number() OVER (PARTITION BY src{by} ORDER BY 2 * {k} + side)"
+
+
+def _votes(v: DataFrame) -> DataFrame:
+    """The k-NN edges with a support of 2 if mutual, else 1."""
+    k = fx.knn(v)
+    back = graph.transpose(k).withColumn("support", F.lit(2).cast("long"))
+    return k.join(back, ["src", "dst"], "left").fillna(1, ["support"])
+
+
+_ROLE_ORDER = "CASE role WHEN 'local' THEN 0 ELSE -support END, CASE role WHEN 'far' THEN -gap ELSE 0 END, d2, CASE role WHEN 'mid' THEN -gap ELSE 0 END, dst"
+query("g18_role_quota", "knn", f""", {VOTES},
+a AS (SELECT *, CASE WHEN rank < 3 THEN 'head' WHEN gap >= 150 THEN 'far' WHEN gap >= 40 THEN 'mid' ELSE 'local' END AS role FROM vo),
+b AS (SELECT *, count(*) FILTER (role = 'local') OVER w AS nl, count(*) FILTER (role = 'mid') OVER w AS nm, count(*) FILTER (role = 'far') OVER w AS nf FROM a WINDOW w AS (PARTITION BY src)),
+c AS (SELECT *, least(nm, 2) AS tm, least(nf, 1) AS tf, row_number() OVER (PARTITION BY src, role, side ORDER BY {_ROLE_ORDER}) AS k FROM b),
+d AS (SELECT *, 7 - tm - tf AS tl, greatest(7 - tm - tf - nl, 0) AS short, {TURNS.format(by=', role', k='k')} AS turn FROM c),
+e AS (SELECT *, least(short, nm - tm) AS xm, turn <= CASE role WHEN 'mid' THEN tm WHEN 'far' THEN tf ELSE tl END AS first FROM d),
+f AS (SELECT *, row_number() OVER (PARTITION BY src, role, first, side ORDER BY k) AS k2 FROM e),
+g AS (SELECT *, {TURNS.format(by=', role, first', k='k2')} AS again FROM f),
+h AS (SELECT *, CASE WHEN role = 'head' THEN 0 WHEN first THEN CASE role WHEN 'local' THEN 1 WHEN 'mid' THEN 2 ELSE 3 END WHEN role = 'mid' AND again <= xm THEN 4 WHEN role = 'far' AND again <= least(short - xm, nf - tf) THEN 5 END AS stage FROM g)
+SELECT src, row_number() OVER (PARTITION BY src ORDER BY stage, CASE WHEN stage = 0 THEN rank WHEN stage <= 3 THEN turn ELSE again END) - 1 AS rank, dst, CASE role WHEN 'head' THEN 'local' ELSE role END AS role FROM h WHERE stage IS NOT NULL""")(
+    lambda v: quotas.select_roles(_votes(v), 10, warm=3, mid_gap=40, far_gap=150, mid_share=0.22, far_share=0.08)
+)
+query("g18_pool_support", "knn", f", {VOTES}, m AS (SELECT *, row_number() OVER (PARTITION BY src, side ORDER BY support DESC, gap DESC, d2, dst) AS k FROM vo WHERE rank >= 6 AND gap >= 20), t AS (SELECT *, {TURNS.format(by='', k='k')} AS turn FROM m) SELECT src, rank, dst FROM knn WHERE rank < 6 UNION ALL SELECT src, 5 + turn, dst FROM t WHERE turn <= 4")(
+    lambda v: quotas.append_support((k := _votes(v)).where("rank < 6"), k, 4, 20)
+)
+query("g17_tail_reserve", "knn", f", {VOTES}, m AS (SELECT *, row_number() OVER (PARTITION BY src, side, lvl ORDER BY support DESC, d2, dst) AS k FROM vo WHERE rank >= 6), t AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY k, lvl DESC, side) AS turn FROM m) SELECT src, rank, dst FROM knn WHERE rank < 6 UNION ALL SELECT src, 5 + turn, dst FROM t WHERE turn <= 4")(
+    lambda v: quotas.tail_reserve((k := _votes(v)).where("rank < 6").select("src", "rank", "dst"), k.withColumn("core", F.col("support") == 2), 4)
+)
+BATCH = "CASE pos % 5 WHEN 1 THEN '' ELSE 'q' || pos % 3 END AS qrange_file, CASE pos % 7 WHEN 2 THEN NULL WHEN 3 THEN '-4' WHEN 4 THEN '1x' ELSE '' || (pos % 9 + 1) END AS topk, CASE pos % 11 WHEN 5 THEN ' ' ELSE ' ' || pos % 6 END AS beam_size, '8' AS trunc_size, CASE pos % 4 WHEN 0 THEN 'g1' END AS groundtruth_file"
+query("f16_checked_runs", "v", f""", b AS (SELECT vec_id AS run_id, {BATCH} FROM v), c AS (SELECT *, TRY_CAST(trim(topk) AS BIGINT) AS k, TRY_CAST(trim(beam_size) AS BIGINT) AS m, CASE qrange_file WHEN 'q0' THEN 20 WHEN 'q1' THEN 19 ELSE 0 END AS n FROM b),
+d AS (SELECT *, CASE WHEN qrange_file = '' THEN 'no qrange_file' WHEN coalesce(trim(topk), '') = '' THEN 'no topk' WHEN k IS NULL OR k <= 0 THEN 'bad topk' WHEN trim(beam_size) = '' THEN 'no beam_size' WHEN m IS NULL OR m <= 0 THEN 'bad beam_size' WHEN n < 20 THEN 'too few ranges' WHEN groundtruth_file IS NOT NULL AND 50 < k * 10 THEN 'too few ids' END AS reason FROM c)
+SELECT run_id, k AS topk, CASE WHEN k IS NULL THEN m WHEN m IS NULL THEN k ELSE greatest(m, k) END AS beam_size, CASE WHEN reason IS NULL THEN 'ok' ELSE 'failed' END AS status, reason FROM d""")(
+    lambda v: check_runs(v.selectExpr("vec_id AS run_id", *BATCH_COLUMNS), v.sparkSession.createDataFrame([("q0", 20), ("q1", 19), ("g1", 50)], "file string, length long"), 10).select("run_id", "topk", "beam_size", "status", "reason")
+)
+BATCH_COLUMNS = [BATCH.split(", ")[0], *BATCH.split(", ")[1:]]
+
 # two labels
 query("g25_entry_grid", "v", "SELECT gx, gy, list(vec_id ORDER BY vec_id) AS ids FROM (SELECT vec_id, least(7, CAST(floor((x - x0) * 8 / CAST(x1 - x0 + 1 AS DOUBLE)) AS BIGINT)) AS gx, least(7, CAST(floor((y - y0) * 8 / CAST(y1 - y0 + 1 AS DOUBLE)) AS BIGINT)) AS gy FROM v, (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM v)) GROUP BY gx, gy")(lambda v: boxes.entry_grid(v, 8).withColumn("ids", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")))
 ORACLE["g25_entry_grid"] = ORACLE["g25_entry_grid"].replace("list(vec_id ORDER BY vec_id) AS ids", "string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY vec_id) AS ids")
@@ -315,4 +355,18 @@ query("b19_rescue")(lambda v: search.search(*_searchable(v), search.Options(trun
 query("s23_search_events")(lambda v: search.search(*_searchable(v), search.Options(), "events"))
 query("a8_event_benefit")(lambda v: search.benefit(search.search(*_searchable(v), search.Options(), "events"), search.gap_bucket(), "bucket"))
 query("w10_rank_benefit")(lambda v: search.benefit(search.search(*_searchable(v), search.Options(), "events"), F.col("selected_rank"), "selected_rank"))
+TEACHER = search.Options(k=10, beam=24, trunc=16, pick="even", prefix=8)
+
+
+def _taught(v: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges, and events of every row searched from the last label's header."""
+    v = v.cache()
+    edges, last = fx.knn(v).cache(), graph.headers(fx.scored(v))
+    starts = last.join(last.agg(F.max("label").alias("label")), "label").agg(F.sort_array(F.collect_set("node"))).first()[0]  # one header: 20 nodes at most
+    return edges, trace.teach(search.Index(v, edges), v, starts, TEACHER)
+
+
+query("a16_edge_scores")(lambda v: trace.edge_scores(_taught(v)[1]))
+query("e7_trace_reorder")(lambda v: trace.reorder_by_score((t := _taught(v))[0], trace.edge_scores(t[1]), 4, 12))
+query("a17_coverage")(lambda v: trace.coverage(*(t := _taught(v)), trace.edge_scores(t[1]), v.count()))
 query("b33_sweep")(lambda v: search.sweep(*(gq := _searchable(v)), exact.topk(v, gq[1], 10, [("label", "ql", "qr")]).select("query_id", "id"), [(24, 8), (48, 16), (96, 32)]))

@@ -206,6 +206,7 @@ def _events(rounds: DataFrame, k: int) -> DataFrame:
         F.col("rank").cast("long").alias("edge_rank"),
         F.col("selected").cast("long").alias("selected_rank"),
         (F.col("place") <= F.col("beam")).alias("was_inserted"),
+        (F.col("place") <= k).alias("entered_topk"),
         ((F.col("d2") == F.col("best")) & (F.col("place") == 1)).alias("improved_best"),
         F.col("d2").alias("dist"),
     )

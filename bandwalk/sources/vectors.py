@@ -109,6 +109,31 @@ def read_params(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, comment="#", quote='"', escape='"')
 
 
+#: Columns of a sweep's row that have to hold positive integers.
+RUN_NUMBERS = ("topk", "beam_size", "trunc_size")
+
+
+def check_runs(params: DataFrame, lists: DataFrame, n_queries: int) -> DataFrame:
+    """``params`` (all text) with numbers, ``status`` (ok or failed) and ``reason``: a bad row fails alone.
+
+    A row needs a range file, positive integers in ``topk, beam_size, trunc_size``, at least as many ranges as
+    queries, and, if it names a ground truth file, ``topk`` ids a query in it.  ``lists(file, length)`` gives the
+    lengths of the lists.  The first failing test, in this order, is the reason.  A beam below ``topk`` is raised to it.
+    """
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    number = {c: F.expr(f"try_cast(trim({c}) AS long)") for c in RUN_NUMBERS}
+    of = lambda c, name: lists.groupBy(F.col("file").alias(c)).agg(F.max("length").alias(name))
+    rows = params.withColumns({f"{c}_": number[c] for c in RUN_NUMBERS}).join(of("qrange_file", "ranges_"), "qrange_file", "left").join(of("groundtruth_file", "truth_"), "groundtruth_file", "left")
+    reason = F.when(blank("qrange_file"), "no qrange_file")
+    for c in RUN_NUMBERS:
+        reason = reason.when(blank(c), f"no {c}").when(F.col(f"{c}_").isNull() | (F.col(f"{c}_") <= 0), f"bad {c}")
+    reason = reason.when(F.coalesce("ranges_", F.lit(0)) < 2 * n_queries, "too few ranges")
+    reason = reason.when(~blank("groundtruth_file") & (F.coalesce("truth_", F.lit(0)) < F.col("topk_") * n_queries), "too few ids")
+    rows = rows.withColumn("reason", reason).withColumn("status", F.when(F.col("reason").isNull(), "ok").otherwise("failed"))
+    rows = rows.withColumn("beam_size_", F.greatest("beam_size_", "topk_"))
+    return rows.select(*[F.col(f"{c}_").alias(c) if c in RUN_NUMBERS else F.col(c) for c in params.columns], "status", "reason")
+
+
 def beam_grid(spec: str) -> list[tuple[int, int]]:
     """Pairs of a grid such as ``24:8,32:12``."""
     out = [tuple(int(x) for x in p.split(":")) for p in spec.split(",") if p.strip()]

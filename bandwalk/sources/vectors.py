@@ -6,49 +6,21 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: dtype and header of each binary kind (fixed by the formats)
-KINDS = {"fvecs": "<f4", "u8bin": "u1", "i8bin": "i1"}
-
-
-def _binary(kind: str):
-    def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            for path, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
-                raw = np.frombuffer(content.as_buffer(), np.uint8)
-                if kind == "fvecs":
-                    if not len(raw):
-                        continue
-                    dim = int(raw[:4].view("<i4")[0])
-                    if dim <= 0 or len(raw) % (4 + 4 * dim):
-                        raise ValueError(f"{path}: not whole records of dimension {dim}")
-                    rows = raw.reshape(-1, 4 + 4 * dim)
-                    if (np.ascontiguousarray(rows[:, :4]).view("<i4") != dim).any():
-                        raise ValueError(f"{path}: dimensions differ")
-                    x = np.ascontiguousarray(rows[:, 4:]).view("<f4")
-                else:
-                    n, dim = (int(v) for v in raw[:8].view("<u4" if kind == "u8bin" else "<i4"))
-                    if kind == "i8bin" and (n <= 0 or dim <= 0) or len(raw) != 8 + n * dim:
-                        raise ValueError(f"{path}: size does not match its header")
-                    x = raw[8:].view(KINDS[kind]).reshape(n, dim)
-                for i in range(0, len(x), 50_000):
-                    part = x[i : i + 50_000].astype(np.float32)
-                    at = np.arange(len(part) + 1, dtype=np.int32) * part.shape[1]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + len(part))), pa.ListArray.from_arrays(pa.array(at), pa.array(part.ravel()))], names=["vec_id", "embedding"])
-
-    return run
-
-
-def read_vectors(spark: SparkSession, path: str, keep_bytes: bool = False) -> DataFrame:
-    """``vec_id, embedding`` from .fvecs, .u8bin, .i8bin or Parquet, chosen by the extension."""
+from bandwalk.sources.blocks import BLOCK_BYTES, KINDS, VectorSource
+
+def read_vectors(spark: SparkSession, path: str, keep_bytes: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``vec_id, embedding`` from .fvecs, .u8bin, .i8bin or Parquet, chosen by the extension.
+
+    A packed file, or a folder ``x.fvecs`` of such files in name order, is read in partitions of about
+    ``block_bytes`` of whole records, so a file may be of any size; ids run on from file to file.
+    """
     kind = path.rstrip("/").rsplit(".", 1)[-1]
     if kind == "parquet":
         return spark.read.parquet(path)
     if kind not in KINDS:
         raise ValueError(f"unknown vector file: {path}")
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    out = files.mapInArrow(_binary(kind), "vec_id long, embedding array<float>")
+    spark.dataSource.register(VectorSource)
+    out = spark.read.format("packed_vectors").option("kind", kind).option("block_bytes", block_bytes).load(path)
     return out.withColumn("embedding", F.col("embedding").cast("array<tinyint>")) if keep_bytes and kind == "i8bin" else out
 
 

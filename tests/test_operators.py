@@ -152,6 +152,21 @@ def test_vector_files(spark, tmp_path):
         src.read_vectors(spark, str(tmp_path / "bad.fvecs")).collect()
     with pytest.raises(ValueError):
         src.read_vectors(spark, "x.txt")
+    many = tmp_path / "many.fvecs"  # a folder: ids run on
+    many.mkdir()
+    wide = np.arange(1000, dtype="<f4").reshape(250, 4)
+    for name, rows in (("b.fvecs", wide[100:]), ("a.fvecs", wide[:100]), ("note.txt", wide[:0])):
+        (many / name).write_bytes(b"".join(np.int32(4).tobytes() + r.tobytes() for r in rows))
+    split = src.read_vectors(spark, str(many), block_bytes=20 * 30)
+    assert split.rdd.getNumPartitions() == 9
+    assert [(r["vec_id"], r["embedding"]) for r in split.orderBy("vec_id").collect()] == list(enumerate(wide.tolist()))
+    (tmp_path / "none.fvecs").write_bytes(b"")
+    assert src.read_vectors(spark, str(tmp_path / "none.fvecs")).count() == 0
+    mixed = x.tobytes()[:16], x.tobytes()[16:32]
+    (tmp_path / "mixed.fvecs").write_bytes(np.int32(4).tobytes() + mixed[0] + np.int32(3).tobytes() + mixed[1])
+    with pytest.raises(Exception, match="dimensions differ"):
+        src.read_vectors(spark, str(tmp_path / "mixed.fvecs")).collect()
+    assert src.check_fvecs(split).first() == (4, 250)
     assert src.beam_grid("24:8, 32:12") == [(24, 8), (32, 12)]
 
 

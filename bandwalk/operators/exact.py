@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from bandwalk.operators.ranges import label_interval
+
 BLOCK = 2048
 
 
@@ -48,13 +50,15 @@ def _block(k: int, ranges: list[tuple[str, str, str]], strict: bool):
             allowed &= (v >= queries[lo].to_numpy()[:, None]) & (v <= queries[hi].to_numpy()[:, None])
         if strict:
             allowed &= base["id"].to_numpy()[None, :] != queries["query_id"].to_numpy()[:, None]
-        ids = base["id"].to_numpy()
-        rows = []
-        for i in range(len(d)):
-            at = np.flatnonzero(allowed[i])
-            best = at[np.lexsort((ids[at], d[i, at]))[:k]]
-            rows.append(pd.DataFrame({"query_id": queries["query_id"].iloc[i], "id": ids[best], "d2": d[i, best]}))
-        return pd.concat(rows)
+        ids, found = base["id"].to_numpy(), []
+        d[~allowed] = np.inf
+        for i, row in enumerate(d):
+            at = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1]) if k < len(row) else np.arange(len(row))
+            at = at[np.isfinite(row[at])]
+            found.append((i, at[np.lexsort((ids[at], row[at]))[:k]]))
+        which = np.concatenate([np.full(len(at), i) for i, at in found])
+        best = np.concatenate([at for _, at in found])
+        return pd.DataFrame({"query_id": queries["query_id"].to_numpy()[which], "id": ids[best], "d2": d[which, best]})
 
     return run
 
@@ -64,15 +68,27 @@ def topk(base: DataFrame, queries: DataFrame, k: int, ranges=(), exclude_self: b
 
     ``ranges`` lists ``(base column, low, high)`` with closed bounds from the query's columns.
     Base and queries meet block by block, so neither is broadcast or gathered; each meeting
-    keeps k rows per query and a window with a group limit merges them.
+    keeps k rows per query and a window with a group limit merges them.  If the first range is on
+    ``label`` and the base has positions, blocks are runs of positions, and a query meets only
+    those that its label interval touches.
     """
     extra = [v for v, _, _ in ranges]
     bounds = [c for _, lo, hi in ranges for c in (lo, hi)]
-    n_base, n_query = (max(1, -(-d.count() // BLOCK)) for d in (base, queries))
-    left = base.select(F.col(key).alias("id"), "embedding", *extra).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n_base)).cast("int"))
-    left = left.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))))
+    by_pos = bool(extra) and extra[0] == "label" and "pos" in base.columns
+    n_query = max(1, -(-queries.count() // BLOCK))
     right = queries.select("query_id", "qv", *bounds).withColumn("c", F.pmod(F.xxhash64("query_id"), F.lit(n_query)).cast("int"))
-    right = right.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_base - 1))))
+    if by_pos:
+        block = F.floor(F.col("pos") / BLOCK).cast("int")
+        reach = F.sequence(F.floor(F.col("first_pos") / BLOCK), F.floor((F.col("end_pos") - 1) / BLOCK))
+        spans = label_interval(base, queries).select("query_id", F.explode(reach.cast("array<int>")).alias("b"))
+        right = right.join(spans, "query_id")
+    else:
+        n_base = max(1, -(-base.count() // BLOCK))
+        block = F.pmod(F.xxhash64("id"), F.lit(n_base)).cast("int")
+        right = right.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_base - 1))))
+    place = ["pos"] if by_pos else []
+    left = base.select(F.col(key).alias("id"), "embedding", *extra, *[p for p in place if p not in extra]).withColumn("b", block).drop(*place)
+    left = left.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))))
     left, right = left.toDF(*left.columns), right.toDF(*right.columns)
     near = left.groupBy("b", "c").cogroup(right.groupBy("b", "c")).applyInPandas(_block(k, list(ranges), exclude_self), "query_id long, id long, d2 double")
     rk = F.row_number().over(Window.partitionBy("query_id").orderBy("d2", "id"))

@@ -86,6 +86,14 @@ query("p17_box_between", "v", "SELECT a.pos, b.x BETWEEN least(a.x, c.x) AND gre
 query("p18_selectivity", "iv v", "SELECT query_id, (end_pos - first_pos) / CAST((SELECT count(*) FROM v) AS DOUBLE) AS share FROM iv")(lambda v: ranges.label_interval(v, fx.queries(v)).select("query_id", ((F.col("end_pos") - F.col("first_pos")) / F.lit(float(v.count()))).alias("share")))
 query("p22_selectivity_tag", "v", "SELECT pos, 'sel' || replace(regexp_replace(printf('%.3f', (pos + 1) / 1000.0 * 100), '\\.?0+$', ''), '.', 'p') || 'pct' AS tag FROM v")(lambda v: v.select("pos", K.selectivity_tag((F.col("pos") + 1) / 1000).alias("tag")))
 
+query("p23_small_selectivity_tag", "v", "SELECT pos, 'sel' || replace(CASE WHEN abs(p - round(p)) < 1e-9 THEN CAST(CAST(round(p) AS BIGINT) AS VARCHAR) ELSE printf('%.3g', p) END, '.', 'p') || 'pct' AS tag FROM (SELECT pos, (pos + 1) / 7000.0::DOUBLE * 100 AS p FROM v)")(lambda v: v.select("pos", K.selectivity_tag((F.col("pos") + 1) / F.lit(7000.0)).alias("tag")))
+query("p22_inferred_selectivity", "v", "SELECT pos, CASE pos % 3 WHEN 0 THEN round((pos % 40 + (pos % 10) / 10.0::DOUBLE) / 100, 9) WHEN 1 THEN round((pos % 10) / 10.0::DOUBLE, 9) END AS share FROM v")(
+    lambda v: v.select("pos", F.round(K.selectivity_of(F.expr("case pos % 3 when 0 then concat('q', pos % 7, '_Sel', pos % 40, 'p', pos % 10, ' pct') when 1 then concat('x', pos, '-selectivity_0.', pos % 10) else concat('run', pos) end")), 9).alias("share"))
+)
+query("p22_clean_label", "v", "SELECT pos, CASE pos % 3 WHEN 0 THEN 'a_' || pos || '.b-c' WHEN 1 THEN 'range' END AS label FROM v")(
+    lambda v: v.select("pos", K.clean_label(F.expr("case pos % 3 when 0 then concat(' a !', pos, '.b-c? ') when 1 then '!?_' else '  ' end")).alias("label"))
+)
+
 # joins and candidates
 query("j4_band", "v", "SELECT a.pos AS src, b.pos AS dst FROM v a JOIN v b ON a.pos <> b.pos AND abs(a.pos - b.pos) <= 12")(lambda v: graph.band(v, 12))
 SPREAD = "SELECT pos AS src, {b} + CASE WHEN {q} = 1 AND {n} > 1 THEN {n} // 2 WHEN {q} >= {n} THEN k ELSE k * ({n} - 1) // ({q} - 1) END AS dst FROM z, range(0, 5) t(k) WHERE k < {q}"
@@ -315,6 +323,7 @@ query("b22_header_seeds", "c iv", f", {HEAD} SELECT query_id, node AS seed FROM
 query("g2_build")(lambda v: folds.build(v, fx.knn(v), refine=False))
 SEEDING = {"limit": 4, "expand": 2, "beam": 24, "degree": 12}
 query("g3_build_refined")(lambda v: folds.build(v, k := fx.knn(v), window_cap=16, bridges=approximate.seed_bridges(v, k, fx.scored(v), **SEEDING)))
+query("a14_build_profile")(lambda v: folds.build_profile(v, fx.knn(v), window_cap=16)[1])
 query("g5_prune")(lambda v: folds.prune(fx.knn(v), v, 8, by_side=False))
 query("g7_side_prune")(lambda v: folds.prune(graph.band(v, 12), v, 16))
 query("g9_quota_merge")(lambda v: folds.quota_merge(fx.knn(v).select("src", "dst"), graph.band(v, 6), v, 16))

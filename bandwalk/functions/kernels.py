@@ -57,12 +57,27 @@ def seed_string(ids) -> Column:
 
 
 def selectivity_of(tag) -> Column:
-    """A share from a label such as ``sel10pct`` or ``sel0p5pct``; numbers over 1 are percent."""
-    n = F.regexp_replace(F.regexp_extract(tag, r"([0-9]+(?:[._p][0-9]+)?)", 1), "[_p]", ".").cast("double")
-    return F.when(tag.contains("pct") | (n > 1), n / 100).otherwise(n)
+    """A share from a label: a number before ``pct`` is percent; else one after ``sel`` or ``selectivity``, percent if over 1; else null.
+
+    ``p`` and ``_`` between digits are decimal points: ``q2_sel0p5pct`` is 0.005.
+    """
+    text = F.regexp_replace(F.lower(tag), r"(?<=\d)[p_](?=\d)", ".")
+    percent = F.regexp_extract(text, r"(\d+\.?\d*) *pct", 1).try_cast("double")
+    share = F.regexp_extract(text, r"sel(?:ectivity)?[-_]?(\d+\.?\d*)", 1).try_cast("double")
+    return F.when(percent.isNotNull(), percent / 100).when(share > 1, share / 100).otherwise(share)
+
+
+def clean_label(label) -> Column:
+    """Letters, digits, ``_``, ``.`` and ``-``; what lies between becomes one ``_``, none at the ends; ``range`` if nothing is left, null for a blank."""
+    text = F.trim(label)
+    kept = F.btrim(F.regexp_replace(text, r"[^\w.\-]+", "_"), F.lit("_"))
+    return F.when(text == "", F.lit(None)).when(kept == "", "range").otherwise(kept)
 
 
 def selectivity_tag(share) -> Column:
-    """``sel10pct`` for 0.1, ``sel0p5pct`` for 0.005."""
-    text = F.regexp_replace(F.format_string("%.3f", share * 100), r"\.?0+$", "")
+    """``sel10pct`` for 0.1, ``sel0p5pct`` for 0.005: whole percent, else three significant digits."""
+    percent = share * 100
+    scale = F.pow(F.lit(10.0), 2 - F.floor(F.log10(percent)))
+    digits = F.when(F.abs(percent - F.round(percent)) < 1e-9, F.round(percent)).otherwise(F.round(percent * scale) / scale)
+    text = F.regexp_replace(digits.cast("decimal(30,12)").cast("string"), r"\.?0+$", "")
     return F.concat(F.lit("sel"), F.replace(text, F.lit("."), F.lit("p")), F.lit("pct"))

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from bandwalk import tables
 from bandwalk.functions.kernels import jump_level, squared_l2
 from bandwalk.operators import exact, graph
 
@@ -347,6 +348,44 @@ def build(vectors: DataFrame, knn: DataFrame, step: int = 32, cap: int = 24, win
     return reorder_prefix(first, policy)
 
 
+def build_profile(vectors: DataFrame, knn: DataFrame, step: int = 32, cap: int = 24, window_cap: int | None = None, policy: str = "dist", refine: bool = True, bridges: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The graph of ``build``, and one row of its stages' counts and their means a node.
+
+    ``nodes, knn, window, bridge, candidates, first_edges, merged, edges`` and ``*_per_node``: rows are
+    counted by observations while the stages run, each of which is written once.
+    """
+    spark, seen, paths = vectors.sparkSession, {}, []
+
+    def watched(name: str, df: DataFrame) -> DataFrame:
+        seen[name] = Observation()
+        return df.observe(seen[name], F.count(F.lit(1)).alias("rows"))
+
+    def staged(name: str, df: DataFrame) -> DataFrame:
+        out, path = tables.cut(watched(name, df), name)
+        paths.append(path)
+        return out
+
+    sources = {"knn": knn, "window": graph.band(vectors, step) if window_cap is None else graph.band_capped(vectors, step, window_cap)}
+    if bridges is not None:
+        sources["bridge"] = bridges
+    pool = None
+    for name, df in sources.items():
+        df = watched(name, df.select("src", "dst"))
+        pool = df if pool is None else pool.unionByName(df)
+    first = staged("first_edges", prune(staged("candidates", pool.distinct()), vectors, cap))
+    if refine:
+        pairs = first.select("src", "dst")
+        first = prune(staged("merged", pairs.unionByName(graph.transpose(pairs)).distinct()), vectors, cap)
+    edges, _ = tables.cut(watched("edges", reorder_prefix(first, policy)), "edges")
+    tables.drop(spark, *paths)
+    names = ("knn", "window", "bridge", "candidates", "first_edges", "merged", "edges")
+    counts = {n: seen[n].get["rows"] if n in seen else 0 for n in names}
+    n = vectors.count()
+    row = (n, *counts.values(), *(c / n if n else 0.0 for c in counts.values()))
+    schema = ", ".join(["nodes long", *(f"{c} long" for c in names), *(f"{c}_per_node double" for c in names)])
+    return edges, spark.createDataFrame([row], schema)
+
+
 def chain_bridges(vectors: DataFrame, scored: DataFrame, limit: int = 6) -> DataFrame:
     """``src, dst``: walk from each node's neighbour along the previous (next) smaller chain, ``limit`` steps a side."""
     step = graph.smaller_neighbours(scored)

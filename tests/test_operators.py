@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from bandwalk.functions import kernels as K
 from bandwalk.operators import exact, folds, graph
 from bandwalk.sources import vectors as src
 from bandwalk.streaming.query_stream import answer_stream
@@ -200,6 +201,31 @@ def test_even_rows_and_sets(spark):
     assert sorted(r.run_id for r in graph.completed(runs).collect()) == [1, 2, 4, 5]
 
 
+def test_build_profile(spark, table, knn):
+    edges, profile = folds.build_profile(table, knn, step=6, cap=20)
+    row = profile.first()
+    window, candidates = graph.band(table, 6), graph.band(table, 6).unionByName(knn.select("src", "dst")).distinct()
+    first = folds.build(table, knn, step=6, cap=20, refine=False)
+    pairs = first.select("src", "dst")
+    assert (row["nodes"], row["knn"], row["window"], row["bridge"]) == (120, knn.count(), window.count(), 0)
+    assert (row["candidates"], row["first_edges"], row["merged"]) == (candidates.count(), first.count(), pairs.unionByName(graph.transpose(pairs)).distinct().count())
+    whole = folds.build(table, knn, step=6, cap=20)
+    assert row["edges"] == whole.count() == edges.count() and row["edges_per_node"] == row["edges"] / 120
+    assert {tuple(r) for r in edges.collect()} == {tuple(r) for r in whole.collect()}
+
+
+def test_labels_and_shares(spark):
+    tags = {"sel10pct": 0.1, "q2_sel10pct": 0.1, "SEL0p5 pct": 0.005, "x1_2_3pct": 0.023, "sel_25": 0.25, "selectivity-0.5": 0.5, "sel_0_5": 0.5, "run7": None, "": None, "12": None}
+    got = spark.createDataFrame([(t,) for t in tags], "t string").select("t", K.selectivity_of(F.col("t")).alias("s")).collect()
+    assert {r["t"]: None if r["s"] is None else round(r["s"], 12) for r in got} == tags
+    labels = {" a b/c ": "a_b_c", "__x__": "x", "?!": "range", " ": None, "s-1.5_z": "s-1.5_z"}
+    got = spark.createDataFrame([(t,) for t in labels], "t string").select("t", K.clean_label(F.col("t")).alias("s")).collect()
+    assert {r["t"]: r["s"] for r in got} == labels
+    shares = {0.1: "sel10pct", 0.005: "sel0p5pct", 0.12345: "sel12p3pct", 0.00012346: "sel0p0123pct", 1.0: "sel100pct"}
+    got = spark.createDataFrame([(t,) for t in shares], "t double").select("t", K.selectivity_tag(F.col("t")).alias("s")).collect()
+    assert {r["t"]: r["s"] for r in got} == shares
+
+
 def test_query_stream(spark, table, tmp_path):
     q = table.where("vec_id < 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
     q.write.parquet(str(tmp_path / "in"))

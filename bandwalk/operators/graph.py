@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from bandwalk import tables
 from bandwalk.functions.kernels import jump_level, squared_l2
 from bandwalk.operators import ranges
 
@@ -80,22 +84,98 @@ def as_of_header(headers: DataFrame, queries: DataFrame) -> DataFrame:
 def headers(scored: DataFrame, limit: int = 20) -> DataFrame:
     """``label, ord, node``: per label boundary the strict suffix minima of ``d`` so far, newest first.
 
-    ``scored(pos, label, d)``.  Equal to the stack scan as long as no stack exceeds ``limit``.
+    ``scored(pos, label, d)``.  They are the chain of previous smaller places from the boundary's last
+    place; ``limit`` nodes of it are kept, 0 keeps all.  (A stack that forgets its oldest node beyond the
+    limit for good differs once it was full.)
+    """
+    spark = scored.sparkSession
+    step, step_path = tables.cut(smaller_neighbours(scored).select(F.col("pos").alias("node"), "prev"), "steps")
+    at, paths, done = scored.groupBy("label").agg(F.max("pos").alias("n0")), [step_path], []
+    stride = min(limit, 8) or 8  # steps of the walk between two tables
+    while not limit or len(done) * stride < limit:
+        for i in range(stride):
+            at = at.join(step.select(F.col("node").alias(f"n{i}"), F.when(F.col("prev") >= 0, F.col("prev")).alias(f"n{i + 1}")), f"n{i}", "left")
+        at, path = tables.cut(at, "header")
+        paths.append(path)
+        if at.isEmpty():
+            break
+        walked = F.filter(F.transform(F.array(*[F.col(f"n{i}") for i in range(stride)]), lambda x, i: F.struct((i + len(done) * stride).cast("long").alias("ord"), x.alias("node"))), lambda x: x["node"].isNotNull())
+        done.append(at.select("label", F.inline(walked)))
+        at = at.where(f"n{stride} is not null").select("label", F.col(f"n{stride}").alias("n0"))
+    out = spark.createDataFrame([], "label long, ord long, node long")
+    for d in done:
+        out = out.unionByName(d)
+    out, _ = tables.cut(out.where(F.col("ord") < limit) if limit else out, "headers")
+    tables.drop(spark, *paths)
+    return out
+
+
+def _nearest(key, values, asks):
+    """Of one block's ``values(pos, d)``, for each ask the nearest place left (side 0) or right (1) of ``rel`` with a smaller value."""
+    values = values.sort_values("pos")
+    v, first = values["d"].tolist(), int(values["pos"].iloc[0]) if len(values) else 0
+    asks = asks.reset_index(drop=True)
+    found = [None] * len(asks)
+    for side in (0, 1):
+        mine = asks[asks["side"] == side]
+        seq = v if side == 0 else v[::-1]
+        rel = (mine["rel"] if side == 0 else len(v) - 1 - mine["rel"]).clip(0, len(v))  # in the direction walked
+        order, stack, places, j = rel.sort_values(kind="stable"), [], [], 0
+        for i, at in order.items():
+            while j < at:  # what stands behind an equal or smaller value is never the nearest
+                while stack and stack[-1] >= seq[j]:
+                    stack.pop()
+                    places.pop()
+                stack.append(seq[j])
+                places.append(j)
+                j += 1
+            k = bisect_left(stack, asks.at[i, "d"]) - 1
+            if k >= 0:
+                found[i] = first + (places[k] if side == 0 else len(v) - 1 - places[k])
+    return asks[["id", "side", "d", "at"]].assign(found=pd.array(found, dtype="Int64"))
+
+
+def smaller_neighbours(scored: DataFrame, block: int = 4096) -> DataFrame:
+    """``pos, prev, next``: nearest places on either side with strictly smaller ``d``, -1 if none.
+
+    Positions run from 0 without gaps.  Blocks of ``block`` places answer what they can; what is left
+    asks among the minima of the blocks, of blocks of blocks, and so on, and is then led down again into
+    the block that holds its answer.  A group is a block and the asks that reach it.
     """
-    ends = scored.groupBy("label").agg(F.max("pos").alias("hi")).select(F.col("label").alias("edge"), "hi")
-    upto = ends.join(scored, F.col("pos") <= F.col("hi"))
-    later = F.min("d").over(Window.partitionBy("edge").orderBy("pos").rowsBetween(1, Window.unboundedFollowing))
-    kept = upto.withColumn("least", later).where("least is null or d < least")
-    kept = kept.withColumn("ord", _rank(F.col("pos").desc(), by=("edge",))).where(F.col("ord") < limit)
-    return kept.select(F.col("edge").alias("label"), "ord", F.col("pos").alias("node"))
-
-
-def smaller_neighbours(scored: DataFrame) -> DataFrame:
-    """``pos, prev, next``: nearest places on either side with strictly smaller ``d``, -1 if none."""
-    other = scored.select(F.col("pos").alias("j"), F.col("d").alias("dj"))
-    pairs = scored.join(other, F.col("dj") < F.col("d"))
-    near = pairs.groupBy("pos").agg(F.max(F.when(F.col("j") < F.col("pos"), F.col("j"))).alias("prev"), F.min(F.when(F.col("j") > F.col("pos"), F.col("j"))).alias("next"))
-    return scored.join(near, "pos", "left").select("pos", F.coalesce("prev", F.lit(-1)).alias("prev"), F.coalesce("next", F.lit(-1)).alias("next"))
+    spark, paths = scored.sparkSession, []
+    scored, path = tables.cut(scored.select("pos", "d"), "scored")
+    paths.append(path)
+    levels, size = [scored], (scored.agg(F.max("pos")).first()[0] or 0) + 1
+    while size > block:
+        size = -(-size // block)
+        low = levels[-1].groupBy(F.expr(f"pos div {block}").alias("pos")).agg(F.min("d").alias("d"))
+        low, path = tables.cut(low, "minima")
+        paths.append(path)
+        levels.append(low)
+
+    def ask(level: int, asks: DataFrame) -> DataFrame:
+        """``id, side, d, at, found`` for ``asks(id, side, d, at, g, rel)`` in block ``g`` of a level."""
+        values = levels[level].withColumn("g", F.expr(f"pos div {block}"))
+        values, asks = values.toDF(*values.columns), asks.toDF(*asks.columns)
+        met = values.groupBy("g").cogroup(asks.groupBy("g")).applyInPandas(_nearest, "id long, side int, d double, at long, found long")
+        out, path = tables.cut(met, "asked")
+        paths.append(path)
+        return out
+
+    sides = F.explode(F.array(F.lit(0), F.lit(1))).alias("side")
+    asks, found = scored.select(F.col("pos").alias("id"), sides, "d", F.col("pos").alias("at")), []
+    for level in range(len(levels)):
+        got = ask(level, asks.withColumns({"g": F.expr(f"at div {block}"), "rel": F.expr(f"at % {block}")}))
+        found.append(got.where("found is not null"))
+        asks = got.where("found is null").select("id", "side", "d", F.expr(f"at div {block}").alias("at"))
+    down = found[-1]
+    for level in range(len(levels) - 1, 0, -1):
+        inner = down.select("id", "side", "d", "at", F.col("found").alias("g"), F.when(F.col("side") == 0, F.lit(block)).otherwise(-1).cast("long").alias("rel"))
+        down = found[level - 1].unionByName(ask(level - 1, inner))
+    near = down.groupBy(F.col("id").alias("pos")).agg(F.max(F.when(F.col("side") == 0, F.col("found"))).alias("prev"), F.max(F.when(F.col("side") == 1, F.col("found"))).alias("next"))
+    out, _ = tables.cut(scored.select("pos").join(near, "pos", "left").select("pos", F.coalesce("prev", F.lit(-1)).alias("prev"), F.coalesce("next", F.lit(-1)).alias("next")), "smaller")
+    tables.drop(spark, *paths)
+    return out
 
 
 def reorder(edges: DataFrame, key, pinned: int = 8) -> DataFrame:

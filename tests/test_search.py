@@ -232,6 +232,25 @@ def test_seed_chains_and_searches(table, knn):  # noqa: F811
     assert {(s, v) for (s, _), c in chains.items() for v in c[:2]} <= {(r["src"], r["dst"]) for r in rows}
 
 
+@pytest.mark.parametrize("block", [5, 4096])
+def test_smaller_neighbours_and_headers(spark, block):
+    rng = np.random.default_rng(block)
+    for d in ([float(x) for x in rng.integers(0, 30, 130)], [float(-i) for i in range(40)]):
+        n = len(d)
+        scored = spark.createDataFrame([(i, i // 25, d[i]) for i in range(n)], "pos long, label long, d double").repartition(3)
+        for r in graph.smaller_neighbours(scored, block).collect():
+            left = [j for j in range(r["pos"]) if d[j] < d[r["pos"]]]
+            right = [j for j in range(r["pos"] + 1, n) if d[j] < d[r["pos"]]]
+            assert (r["prev"], r["next"]) == (left[-1] if left else -1, right[0] if right else -1)
+    if block == 4096:
+        up = spark.createDataFrame([(i, i // 8, float(i)) for i in range(16)], "pos long, label long, d double")  # every place is a minimum
+        for limit, want in ((5, 5), (0, 8)):
+            got = {r["ord"]: r["node"] for r in graph.headers(up, limit).where("label = 0").collect()}
+            assert got == {k: 7 - k for k in range(want)}
+        assert graph.headers(up, 0).where("label = 1").count() == 16
+        assert graph.smaller_neighbours(up.limit(0)).count() == 0 and graph.headers(up.limit(0)).count() == 0
+
+
 def test_sums_inside_ranges(spark):
     rng = np.random.default_rng(7)
     n = 300

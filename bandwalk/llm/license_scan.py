@@ -4,8 +4,8 @@ Templates are short word lists.  One pass counts in how many documents each temp
 occurs; each template is then indexed under its words of highest inverse document frequency.
 A document that holds none of the indexed words is done after one regular expression.  The
 others list the places of their indexed words once; a place and the word's place in a
-template give a relative position, and equal positions from several words are intersected.
-At each position the words are compared, and the mandatory key phrase has to stand whole.
+template give a relative position, and the positions from several words are united, so that a
+copy which changed one rare word is not lost.  At each position the words are compared, and the mandatory key phrase has to stand whole.
 """
 
 from __future__ import annotations

@@ -5,7 +5,7 @@ occurrences over all documents, counted in a fixed number of buckets (so the tab
 proven size), then by hash.  Lines with equal sets (by 128 bits of hash) are one class, which
 its earliest line stands for; groups of copies shrink to it before anything is shuffled.
 
-The prefix filter takes neighbours in that order: of two similar sets with ``a`` and ``b`` words
+The prefix filter takes neighbours in that order (above a similarity of two thirds): of two similar sets with ``a`` and ``b`` words
 of their own, each own word parts one pair of common neighbours at most, so one of the first
 ``a + b + 1`` such pairs is whole in both, among the first ``2 + 2a + b`` words.  A class is posted
 under each pair of neighbours of its prefix; two classes that meet go on if their sizes and the
@@ -159,8 +159,11 @@ def dedup_lines(docs: DataFrame, percent: int = 90, min_words: int = 1) -> DataF
     they are and have no lines.  Rows that repeat both id and text are one document: all get
     the same text.  Rows without id come last in the order.  Extra columns, whatever their
     names, are kept; columns called n_lines or n_removed are replaced.  A table without rows
-    gives none.
+    gives none.  ``percent`` is 67 to 100: similar sets surely share a pair of neighbours only
+    above a similarity of two thirds, so lower ones are refused.
     """
+    if not 67 <= percent <= 100:
+        raise ValueError(f"percent has to be 67 to 100, not {percent}")
     src = _source(docs)
     scale = rarity(src)
     reps = cut(classes(src, scale, percent, min_words), "classes")

@@ -57,6 +57,12 @@ def test_line_dedup_keeps_columns_of_any_name(spark):
     assert sorted(tuple(r) for r in out.collect()) == [(1, "a b", 5, 6, 7, "x", 1, 0)] + [(2, "", 5, 6, 7, "y", 1, 1)] * 2
 
 
+def test_line_dedup_refuses_what_it_cannot_find(docs):
+    for percent in (0, 50, 66, 101):
+        with pytest.raises(ValueError, match="67 to 100"):
+            line_dedup.dedup_lines(docs, percent)
+
+
 def test_components(spark):
     edges = [(5, 4), (4, 9), (9, 2), (7, 8), (8, 7), (3, 3)] + [(100 + i, 101 + i) for i in range(30)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

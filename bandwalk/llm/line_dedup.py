@@ -10,10 +10,13 @@ of their own, each own word parts one pair of common neighbours at most, so one
 ``a + b + 1`` such pairs is whole in both, among the first ``2 + 2a + b`` words.  A class is posted
 under each pair of neighbours of its prefix; two classes that meet go on if their sizes and the
 positions leave room for the overlap needed.  Classes too small for any other set to be
-similar are not posted.  Each posting first compares its classes with the one of most copies;
-what stays open meets the earlier rest.  All is verified on the full sets.  A class goes if any
+similar are not posted.  Each posting first compares its classes with its lead, the one of most
+copies.  What stays open in a small posting meets the earlier rest.  In a large one the lead's
+words say nothing, so the same filter runs once more over the words by which a set and the lead
+differ: sets as near to the lead as together to be similar need no comparison, all others share a
+word of a prefix of these differences.  All is verified on the full sets.  A class goes if any
 earlier one, kept or not, is similar.  Keys that seem to hold more than a thousandth of all
-postings take a broadcast of that class and never gather in one task.
+postings take a broadcast of their leads and never gather in one task.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ HOT_SHARE = 1000
 HOT_SAMPLE = 64
 #: Postings that no key is hot below.
 HOT_LEAST = 256
+#: Members of a posting up to which its open classes meet the earlier rest as pairs; larger ones go by differences, with the same result.
+SMALL = 8
 LINE = ("d", "th", "ln")
 
 
@@ -114,41 +119,85 @@ def line_matches(src: DataFrame, reps: DataFrame, scale: Column, percent: int) -
     if hot is not None:
         post = post.unionByName(hot_rows)
     post = cut(post, "post")
-    star = post.where("s <> lead.s").selectExpr("s", "n", "i", "lead.s AS s2", "lead.n AS n2", "lead.i AS i2").where(fits)
-    star = cut(star.select(F.least("s", "s2").alias("a"), F.greatest("s", "s2").alias("b")).distinct(), "pairs")
-    done = _verified(star, reps, src, scale, percent)
-    open_ = post.where("c > 2 and s <> lead.s").join(done, "s", "left_anti").select("key", "s", "d", "ln", "n", "i", F.col("lead.s").alias("led"))
-    other = post.where("c > 2").selectExpr("key", "s AS s2", "d AS d2", "ln AS ln2", "n AS n2", "i AS i2")
-    rest = open_.join(other, "key").where("s2 <> s and s2 <> led and struct(d2, ln2) <= struct(d, ln)").where(fits)
-    rest = cut(rest.select(F.least("s", "s2").alias("a"), F.greatest("s", "s2").alias("b")).distinct().join(star, ["a", "b"], "left_anti"), "rest")
+    star = post.where("s <> lead.s").selectExpr("s", "n", "i", "lead.s AS led", "lead.n AS n2", "lead.i AS i2", "c")
+    star = star.where(f"c > {SMALL} or ({fits})").groupBy("s", "led").agg(F.max(F.col("c") > SMALL).alias("wide"))
+    star = cut(star, "pairs")
+    apart = cut(_apart(star, reps, src, scale), "apart")
+    done = cut(_near_lead(apart, percent), "done")
+    few = post.where(f"c between 3 and {SMALL}")
+    open_ = few.where("s <> lead.s").join(done, "s", "left_anti").select("key", "s", "d", "ln", "n", "i", F.col("lead.s").alias("first"))
+    other = few.selectExpr("key", "s AS led", "d AS d2", "ln AS ln2", "n AS n2", "i AS i2")
+    rest = open_.join(other, "key").where("led <> s and led <> first and struct(d2, ln2) <= struct(d, ln)").where(fits).select("s", "led")
+    steps = cut(_steps(apart, percent), "steps")
+    rest = cut(rest.unionByName(_by_differences(steps, done, percent)).distinct(), "rest")
     if not rest.isEmpty():
-        done = done.unionByName(_verified(rest, reps, src, scale, percent))
-    for t in (post, star, rest):
+        near = _apart(rest.withColumn("wide", F.lit(False)), reps, src, scale).where(f"{100 + percent} * m <= {100 - percent} * (n + n2)")
+        later = F.when(F.col("place") < F.col("place2"), F.col("led")).otherwise(F.col("s"))
+        done = done.unionByName(cut(near.select(later.alias("s")).distinct(), "done"))
+    for t in (post, star, apart, steps, rest):
         discard(t)
     return done
 
 
-def _hot_keys(reps: DataFrame) -> DataFrame | None:
-    """The keys that hold more than a ``HOT_SHARE``-th of the postings looked at: at most ``HOT_SHARE`` rows."""
-    sizes = _postings(reps.where(F.pmod("s", F.lit(HOT_SAMPLE)) == 0)).groupBy("key").count()
-    total = sizes.agg(F.sum("count")).first()[0] or 0
-    hot = sizes.where(F.col("count") > max(HOT_LEAST // HOT_SAMPLE, total // HOT_SHARE)).select("key")
-    return None if hot.isEmpty() else cut(hot, "hot")
-
+def _apart(pairs: DataFrame, reps: DataFrame, src: DataFrame, scale: Column) -> DataFrame:
+    """Per pair ``(s, led, wide)``: ``place`` and ``n`` of ``s``, the same of ``led``, and ``m``, the words that only one of both has.
 
-def _verified(pairs: DataFrame, reps: DataFrame, src: DataFrame, scale: Column, percent: int) -> DataFrame:
-    """``s`` of the later class of every pair ``(a, b)`` whose full sets are similar."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()
+    Where ``wide``, ``x`` holds these words: those that ``led`` lacks first, both parts rarest first.
+    """
+    ends = pairs.select(F.explode(F.array("s", "led")).alias("s")).distinct()
     at = reps.select("s", *LINE).join(ends, "s").groupBy("d", "th").agg(F.collect_list(F.struct("ln", "s")).alias("at"))
     full = src.join(at, ["d", "th"]).select("d", "th", "at", F.split(_folded("text"), "\n").alias("parts"))
     full = full.select("d", "th", F.explode(F.transform("at", lambda e: F.struct(e["ln"].alias("ln"), e["s"].alias("s"), F.get("parts", e["ln"]).alias("line")))).alias("e"))
     full = full.select("d", "th", "e.*").dropDuplicates(["s", *LINE]).withColumn("t", token_codes("line", scale))
     full = cut(full.select("s", F.struct(*LINE).alias("place"), "t"), "sets")
-    both = pairs.join(full.toDF("a", "place", "t"), "a").join(full.toDF("b", "place2", "t2"), "b").withColumn("k", F.size(F.array_intersect("t", "t2")))
-    both = both.where(f"100 * k >= {percent} * (size(t) + size(t2) - k)")
-    done = cut(both.select(F.when(F.col("place") < F.col("place2"), F.col("b")).otherwise(F.col("a")).alias("s")).distinct(), "done")
-    discard(full)
-    return done
+    both = pairs.join(full, "s").join(full.toDF("led", "place2", "t2"), "led")
+    both = both.withColumn("x", F.concat(F.array_except("t", "t2"), F.array_except("t2", "t")))
+    return both.select("s", "led", "wide", "place", "place2", F.size("t").cast("long").alias("n"), F.size("t2").cast("long").alias("n2"), F.size("x").cast("long").alias("m"), F.when(F.col("wide"), F.col("x")).alias("x"))
+
+
+def _near_lead(apart: DataFrame, percent: int) -> DataFrame:
+    """``s`` of the classes, leads among them, that have an earlier one of the same lead so near that both must be similar.
+
+    Two sets are similar if the words that only one of them has are at most ``100 - percent`` for each
+    ``100 + percent`` of both sizes; of two sets, these are no more than what both differ from the lead by.
+    So each set has a debt, and two whose debts add up to nothing or less are similar.
+    """
+    debt = f"{100 + percent} * m - {100 - percent} * n AS debt"
+    members = apart.selectExpr("s", "led", "place", "n", debt)
+    leads = apart.groupBy("led").agg(F.min("place2").alias("place"), F.min("n2").alias("n")).selectExpr("led AS s", "led", "place", "n", f"{percent - 100} * n AS debt")
+    members = members.unionByName(leads).where(f"{percent} * debt <= {100 * (100 - percent)} * n")
+    first = members.groupBy("led", "debt").agg(F.min("place").alias("place2")).withColumnRenamed("debt", "debt2").withColumnRenamed("led", "of")
+    earlier = (F.col("led") == F.col("of")) & (F.col("debt") + F.col("debt2") <= 0) & (F.col("place2") < F.col("place"))
+    return members.join(first, earlier, "left_semi").select("s").distinct()
+
+
+def _steps(apart: DataFrame, percent: int) -> DataFrame:
+    """``led, w, s, place, n, m, i``: a row per word of the prefix of each difference from the lead of a large posting.
+
+    Similar sets of ``n`` and any size differ by ``own = n * (100 - percent) / percent`` words at most, so
+    their differences from the lead share all but ``own`` of either, and one word unless ``_near_lead`` decides.
+    """
+    own = f"{100 - percent} * n div {percent}"
+    prefix = f"slice(x, 1, cast(m - greatest(1, m - {own}) + 1 AS int))"
+    return apart.where("wide and m > 0").select("led", "s", "place", "n", "m", F.posexplode(F.expr(prefix)).alias("i", "w"))
+
+
+def _by_differences(steps: DataFrame, done: DataFrame, percent: int) -> DataFrame:
+    """``s, led``: open classes with earlier ones of the same lead whose differences from it may share enough."""
+    other = steps.selectExpr("led AS of", "w AS w2", "s AS s2", "place AS place2", "n AS n2", "m AS m2", "i AS i2")
+    open_ = steps.join(done, "s", "left_anti")
+    most = f"{100 - percent} * (n + n2) div {100 + percent}"
+    room = f"2 * (1 + least(m - i - 1, m2 - i2 - 1)) >= m + m2 - {most}"
+    both = open_.join(other, (F.col("led") == F.col("of")) & (F.col("w") == F.col("w2")) & (F.col("place2") < F.col("place")))
+    return both.where(f"least(n, n2) * 100 >= {percent} * greatest(n, n2) and {room}").select("s", F.col("s2").alias("led"))
+
+
+def _hot_keys(reps: DataFrame) -> DataFrame | None:
+    """The keys that hold more than a ``HOT_SHARE``-th of the postings looked at: at most ``HOT_SHARE`` rows."""
+    sizes = _postings(reps.where(F.pmod("s", F.lit(HOT_SAMPLE)) == 0)).groupBy("key").count()
+    total = sizes.agg(F.sum("count")).first()[0] or 0
+    hot = sizes.where(F.col("count") > max(HOT_LEAST // HOT_SAMPLE, total // HOT_SHARE)).select("key")
+    return None if hot.isEmpty() else cut(hot, "hot")
 
 
 def dedup_lines(docs: DataFrame, percent: int = 90, min_words: int = 1) -> DataFrame:

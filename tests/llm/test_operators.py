@@ -1,4 +1,5 @@
 import hashlib
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -50,6 +51,30 @@ def test_line_dedup_in_a_crowd(spark, monkeypatch):
             assert r["text"] == "\n".join(x for k, x in enumerate(rows[r["doc_id"]][1].split("\n")) if k not in gone)
 
 
+@pytest.mark.parametrize("percent", [67, 75, 90])
+def test_line_dedup_of_near_copies_of_one_line(spark, monkeypatch, percent):
+    """Copies of a line with words left out and put in resemble each other less than the line, which comes late."""
+    rng = random.Random(percent)
+    base, other = [f"b{i}" for i in range(30)], [f"w{i}" for i in range(60)]
+    lines = []
+    for _ in range(150):
+        k = rng.choice([1, 1, 2, 3, 4, 6, 9])
+        lines.append(rng.sample(base, 30 - rng.randrange(k + 1)) + rng.sample(other, rng.randrange(k + 1)))
+    for k in range(40):  # near copies of some of them
+        some = list(lines[rng.randrange(len(lines))])
+        some[rng.randrange(len(some))] = f"n{k % 7}"
+        lines.append(some)
+    lines += [base] * 5 + [rng.sample(base, 12) + rng.sample(other, 18) for _ in range(40)]
+    rows = [(d, "\n".join(" ".join(x) for x in lines[d * 5 : d * 5 + 5])) for d in range(len(lines) // 5)]
+    want = plain.similar_lines(rows, percent)
+    assert 20 < sum(map(len, want.values())) < len(lines) - 20
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5).cache()
+    for small in (1, 8):
+        monkeypatch.setattr(line_dedup, "SMALL", small)
+        for r in line_dedup.dedup_lines(df, percent).collect():
+            assert r["n_removed"] == len(want.get((r["doc_id"], rows[r["doc_id"]][1]), ())), (small, r)
+
+
 def test_line_dedup_keeps_columns_of_any_name(spark):
     df = spark.createDataFrame([(1, "a b", 5, 6, 7, "x"), (2, "A  b", 5, 6, 7, "y"), (2, "A  b", 5, 6, 7, "y")], "doc_id long, text string, _d int, __th int, th int, _parts string")
     out = line_dedup.dedup_lines(df)

@@ -36,7 +36,7 @@ HOT_SAMPLE = 64
 #: Postings that no key is hot below.
 HOT_LEAST = 256
 #: Members of a posting up to which its open classes meet the earlier rest as pairs; larger ones go by differences, with the same result.
-SMALL = 8
+SMALL = 32
 LINE = ("d", "th", "ln")
 
 
@@ -128,13 +128,12 @@ def line_matches(src: DataFrame, reps: DataFrame, scale: Column, percent: int) -
     open_ = few.where("s <> lead.s").join(done, "s", "left_anti").select("key", "s", "d", "ln", "n", "i", F.col("lead.s").alias("first"))
     other = few.selectExpr("key", "s AS led", "d AS d2", "ln AS ln2", "n AS n2", "i AS i2")
     rest = open_.join(other, "key").where("led <> s and led <> first and struct(d2, ln2) <= struct(d, ln)").where(fits).select("s", "led")
-    steps = cut(_steps(apart, percent), "steps")
-    rest = cut(rest.unionByName(_by_differences(steps, done, percent)).distinct(), "rest")
+    rest = cut(rest.unionByName(_by_differences(apart, done, percent)).distinct(), "rest")
     if not rest.isEmpty():
         near = _apart(rest.withColumn("wide", F.lit(False)), reps, src, scale).where(f"{100 + percent} * m <= {100 - percent} * (n + n2)")
         later = F.when(F.col("place") < F.col("place2"), F.col("led")).otherwise(F.col("s"))
         done = done.unionByName(cut(near.select(later.alias("s")).distinct(), "done"))
-    for t in (post, star, apart, steps, rest):
+    for t in (post, star, apart, rest):
         discard(t)
     return done
 
@@ -172,23 +171,25 @@ def _near_lead(apart: DataFrame, percent: int) -> DataFrame:
 
 
 def _steps(apart: DataFrame, percent: int) -> DataFrame:
-    """``led, w, s, place, n, m, i``: a row per word of the prefix of each difference from the lead of a large posting.
+    """``led, w, s, place, n, m, i``: a row per word of the prefix of each difference from the lead.
 
     Similar sets of ``n`` and any size differ by ``own = n * (100 - percent) / percent`` words at most, so
     their differences from the lead share all but ``own`` of either, and one word unless ``_near_lead`` decides.
     """
     own = f"{100 - percent} * n div {percent}"
     prefix = f"slice(x, 1, cast(m - greatest(1, m - {own}) + 1 AS int))"
-    return apart.where("wide and m > 0").select("led", "s", "place", "n", "m", F.posexplode(F.expr(prefix)).alias("i", "w"))
+    return apart.where("m > 0").select("led", "s", "place", "n", "m", F.posexplode(F.expr(prefix)).alias("i", "w"))
 
 
-def _by_differences(steps: DataFrame, done: DataFrame, percent: int) -> DataFrame:
-    """``s, led``: open classes with earlier ones of the same lead whose differences from it may share enough."""
-    other = steps.selectExpr("led AS of", "w AS w2", "s AS s2", "place AS place2", "n AS n2", "m AS m2", "i AS i2")
-    open_ = steps.join(done, "s", "left_anti")
+def _by_differences(apart: DataFrame, done: DataFrame, percent: int) -> DataFrame:
+    """``s, led``: open classes of large postings with earlier ones of the same lead whose differences from it may share enough."""
+    wide = apart.where("wide")
+    open_ = wide.join(done, "s", "left_anti")
+    other = wide.join(open_.groupBy("led").agg(F.max("place").alias("last")), "led").where("place < last")
+    other = _steps(other, percent).selectExpr("led AS of", "w AS w2", "s AS s2", "place AS place2", "n AS n2", "m AS m2", "i AS i2")
     most = f"{100 - percent} * (n + n2) div {100 + percent}"
     room = f"2 * (1 + least(m - i - 1, m2 - i2 - 1)) >= m + m2 - {most}"
-    both = open_.join(other, (F.col("led") == F.col("of")) & (F.col("w") == F.col("w2")) & (F.col("place2") < F.col("place")))
+    both = _steps(open_, percent).join(other, (F.col("led") == F.col("of")) & (F.col("w") == F.col("w2")) & (F.col("place2") < F.col("place")))
     return both.where(f"least(n, n2) * 100 >= {percent} * greatest(n, n2) and {room}").select("s", F.col("s2").alias("led"))
 
 
